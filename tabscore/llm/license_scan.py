@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import LOWER, UPPER, let
+from tabscore.llm.common import ascii_lower, let
 
 STRIDE = 64
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,7 +67,7 @@ def catalogue() -> list[Template]:
 
 
 def license_words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def token_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
