@@ -24,8 +24,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 
 def line_keys(text: Column) -> Column:
     """Keys of a text's lines, by line: stripped of ASCII white space at both ends, A-Z lower-cased."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.transform(lines, lambda x: F.regexp_replace(ascii_lower(x), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    lines = F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n", -1)
+    return F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,9 +155,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """
     text = F.coalesce("text", F.lit(""))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.size(F.split(text, "\n", -1)).alias("n_lines"), F.posexplode(line_keys(F.col("text"))).alias("line", "key"))
-    digest = F.md5("key")
-    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
-    lines = keys.filter(F.length("key") >= min_chars).select(half(1).alias("a"), half(17).alias("b"), "doc_id", "text_key", "n_lines", "line")
+    # Two hashes with different seeds: 128 bits.
+    lines = keys.filter(F.length("key") >= min_chars).select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"), "doc_id", "text_key", "n_lines", "line")
     order = [F.col("a"), F.col("b"), F.col("doc_id").desc_nulls_last(), F.col("line")]
     shared_dir(docs.sparkSession)
     # The checkpoint keeps partitions and their order, so both passes stream the same ranges.
