@@ -11,8 +11,8 @@ A set is made of 64-bit hashes of its shingles. The join loses no pair and never
    shorter) differ in no more bits than the sets differ in shingles: bit counts bound the overlap from above.
 4. The pairs that are left are verified by intersecting the sorted arrays, made from the texts of these sets alone.
 
-A group of n near copies isn't expanded: a first round tests each set with few neighbours of its tile and joins what
-is linked; the second round tests, of every tile, only the pairs whose sets aren't in one component yet. Components
+A group of n near copies isn't expanded: first rounds test each set with a few neighbours of its tile and join what
+is linked; the last one compares signatures, block by block, of the pairs of a tile that aren't in one component yet. Components
 are the same as with all links, as a pair that isn't tested lies in one component already.
 """
 
@@ -30,7 +30,9 @@ from tabscore.llm.common import materialize
 
 SHINGLE = 5
 #: Likeness as a fraction, FREQUENT: rows of a batch of one shingle, TILE: sets of one shingle, from which it is marked.
-LIKE, FREQUENT, TILE, MARK_BITS, STEPS = (4, 5), 3, 256, 24, (1, 2, 5)
+LIKE, FREQUENT, TILE, MARK_BITS, STEPS = (4, 5), 3, 256, 24, ((1, 2, 5), (3, 8, 21, 55))
+#: Rows of a tile that are compared with each other, or with as many others, at once.
+BLOCK = 512
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -67,9 +69,9 @@ def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parities of the shingles by hash: 64 bits at least, about as many as the set has elements, a power of two."""
+    """Parities of the shingles by hash: 64 bits at least, four times as many as the set has elements, a power of two."""
     bits = 64
-    while bits < len(s) and bits < 1 << 16:
+    while bits < 4 * len(s) and bits < 1 << 16:
         bits *= 2
     counts = np.bincount((s >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits) & 1
     return np.packbits(counts.astype(bool), bitorder="little").tobytes()
@@ -206,6 +208,60 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
 
+def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows sorted by (h, lo, hi): pairs of blocks lo and hi of a tile, one of them outside its largest
+    component, of different components, whose sizes and bitmap signatures don't rule them out."""
+    group, rows, seen = None, [], set()
+
+    def compare() -> list[tuple[bytes, bytes]]:
+        out = []
+        lo, hi = group[1], group[2]
+        left = [r for r in rows if r[0] == lo]
+        right = left if lo == hi else [r for r in rows if r[0] == hi]
+        for ours, theirs, twice in ((left, right, True), (right, left, False)) if lo != hi else ((left, right, True),):
+            theirs_n = np.array([r[2] for r in theirs])
+            roots = [r[3] for r in theirs]
+            # By length of the signature: those of one length are compared as one matrix.
+            shapes: dict[int, list[int]] = {}
+            for j, r in enumerate(theirs):
+                shapes.setdefault(len(r[5]), []).append(j)
+            matrices = {size: (np.array(at), np.frombuffer(b"".join(theirs[j][5] for j in at), np.uint64).reshape(len(at), -1)) for size, at in shapes.items()}
+            for r in ours:
+                if r[4]:  # of the tile's largest component
+                    continue
+                for at, matrix in matrices.values():
+                    x, y = np.frombuffer(r[5], np.uint64), matrix
+                    while len(x) > y.shape[1]:
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    while y.shape[1] > len(x):
+                        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                    n = theirs_n[at]
+                    differ = np.bitwise_count(y ^ x).sum(axis=1, dtype=np.int64)
+                    near = sum(LIKE) * ((n + r[2] - differ) // 2) >= LIKE[0] * (n + r[2])
+                    near &= (LIKE[0] * n <= LIKE[1] * r[2]) & (LIKE[0] * r[2] <= LIKE[1] * n)
+                    for j in at[near].tolist():
+                        if roots[j] != r[3]:
+                            pair = (min(r[1], theirs[j][1]), max(r[1], theirs[j][1]))
+                            if pair not in seen:
+                                if len(seen) < 500_000:
+                                    seen.add(pair)
+                                out.append(pair)
+        return out
+
+    def batch_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for h, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (h, lo, hi) != group:
+                if group and (pairs := compare()):
+                    yield batch_of(pairs)
+                group, rows = (h, lo, hi), []
+            rows.append(row)
+    if group and (pairs := compare()):
+        yield batch_of(pairs)
+
+
 def linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) from (a, b, xa, xb): the pairs whose sorted arrays share enough elements."""
     for batch in batches:
@@ -278,31 +334,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = keyed.withColumnRenamed("doc_id", "id").join(rows, F.col("id").eqNullSafe(F.col("doc_id"))).select("k", "text")
     sets = materialize(texts.mapInArrow(set_rows, "k binary, n bigint, sig binary, x binary"), "arrays")
 
+    def exact(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("k").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(linked_pairs, "a binary, b binary")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         sig = sets.select("k", "n", "sig")
         x, y = (sig.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
         bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near_pairs, "a binary, b binary")
-        x, y = (sets.select(F.col("k").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
-        return materialize(bounded.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(linked_pairs, "a binary, b binary"), name)
+        return materialize(exact(bounded), name)
 
-    ahead = tiles.select("h", "n", "place", "k")
-    step = F.explode(F.array(*[F.lit(s) for s in STEPS]))
-    first = ahead.withColumn("step", step).select("h", "n", "k", (F.col("place") + F.col("step")).alias("place")).alias("p").join(ahead.alias("q"), ["h", "place"])
-    close = F.col("q.n") * LIKE[0] <= F.col("p.n") * LIKE[1]
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    edges = verified(first.filter(close).select(*ordered(F.col("p.k"), F.col("q.k"))).distinct(), "links1")
-    groups = components(edges)
-
-    tagged = tiles.join(groups.withColumnRenamed("node", "k"), "k", "left").select("h", "n", "place", "k", F.coalesce("root", "k").alias("root"))
-    # Of a tile with several components, only pairs with a set outside the largest one can be new.
-    largest = tagged.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = materialize(tagged.join(largest.select("h", "major"), "h"), "open")
-    p, q = open_.filter("root != major").alias("p"), open_.alias("q")
-    once = (F.col("q.root") == F.col("q.major")) | (F.col("p.k") < F.col("q.k"))
-    alike = (F.col("q.n") * LIKE[0] <= F.col("p.n") * LIKE[1]) & (F.col("p.n") * LIKE[0] <= F.col("q.n") * LIKE[1])
-    second = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") != F.col("q.root")) & once & alike)
-    rest = second.select(*ordered(F.col("p.k"), F.col("q.k"))).distinct()
-    edges = edges.unionByName(verified(rest, "links2"))
+
+    def neighbours(of: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+        """Pairs (a, b) of sets some places apart in a tile, of different components."""
+        step = F.explode(F.array(*[F.lit(s) for s in steps]))
+        p = of.withColumn("step", step).select("h", "n", "k", "root", (F.col("place") + F.col("step")).alias("place")).alias("p")
+        pairs = p.join(of.alias("q"), ["h", "place"]).filter((F.col("p.root") != F.col("q.root")) & (F.col("q.n") * LIKE[0] <= F.col("p.n") * LIKE[1]))
+        return pairs.select(*ordered(F.col("p.k"), F.col("q.k"))).distinct()
+
+    # A few neighbours first: what they link needs no more pairs.
+    edges, open_ = None, tiles.withColumn("root", F.col("k"))
+    for i, steps in enumerate(STEPS):
+        found = verified(neighbours(open_, steps), f"links{i}")
+        edges = found if edges is None else edges.unionByName(found)
+        tagged = tiles.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        largest = tagged.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots")).filter("roots > 1")
+        open_ = materialize(tagged.join(largest.select("h", "major"), "h"), "open")
+
+    # Then, of the tiles that still have several components, all pairs with a set outside the largest one. A large
+    # tile is cut into blocks, and a task compares two blocks.
+    block = (F.col("place") / BLOCK).cast("int")
+    other = F.explode(F.sequence(F.lit(0), ((F.col("sets") - 1) / BLOCK).cast("int")))
+    dealt = open_.join(sets.select("k", "sig"), "k").withColumns({"block": block, "other": other})
+    dealt = dealt.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "n", "root", (F.col("root") == F.col("major")).alias("in_major"), "sig")
+    rest = dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(tile_pairs, "a binary, b binary").distinct()
+    edges = edges.unionByName(materialize(exact(rest), "links"))
     groups = components(edges, name="classes")
 
     classes = members.join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.coalesce("root", "k"))
