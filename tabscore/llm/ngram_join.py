@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import materialize
+from tabscore.llm.common import discard, materialize
 
 SHINGLE = 5
 #: Likeness as a fraction, FREQUENT: rows of a batch of one shingle, TILE: sets of one shingle, from which it is marked.
@@ -296,7 +296,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     e = materialize(e, name)
     while True:
-        e = materialize(stars(stars(e, True), False), name)
+        before, e = e, materialize(stars(stars(e, True), False), name)
+        discard(before)
         # All stars: every node has one edge, and none of them is a centre too.
         one_each = e.groupBy("u").count().filter("count > 1").limit(1).count() == 0
         if one_each and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count() == 0:
@@ -317,15 +318,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
 
     marked = _bitmap(docs.select("text").mapInArrow(frequent_rows, "mark bigint, n bigint").select("mark").distinct())
-    for _ in range(3):
+    for again in (True, True, False):
         bitmap = spark.sparkContext.broadcast(marked)
         prefixes = docs.select("text").mapInArrow(prefix_rows(bitmap), "h bigint, n int, ka bigint, kb bigint")
         tiles = prefixes.repartition("h").sortWithinPartitions("h", "n", "ka", "kb")
         tiles = materialize(tiles.mapInArrow(shared_rows, "h bigint, n bigint, place bigint, sets bigint, k binary"), "tiles")
         long = tiles.filter(F.col("sets") > TILE).select(F.shiftright("h", 64 - MARK_BITS).bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")).distinct()
         more = _bitmap(long, marked)
-        if more == marked:
+        if more == marked or not again:
             break
+        discard(tiles)
         marked = more
 
     # Sets of which a tile has two: made from the text of one of their documents.
@@ -371,6 +373,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(tile_pairs, "a binary, b binary").distinct()
     edges = edges.unionByName(materialize(exact(rest), "links"))
     groups = components(edges, name="classes")
+    discard(tiles, sets, open_)
 
     classes = members.join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.coalesce("root", "k"))
     smallest = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"))
