@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -525,6 +527,22 @@ def _(s, d):
     return s.createDataFrame([tuple(map(float, ordering.chain_scores(h, _ORD)))], "ce double, mi double")
 
 
+_orders = " UNION ALL ".join(
+    f"SELECT '{'>'.join(o)}' AS ordering, " + " + ".join([f"h('{o[0]}', '{o[0]}')", *[f"h('{a}', '{b}') - h('{a}', '{a}')" for a, b in zip(o, o[1:], strict=False)]]) + " AS ce, " + " + ".join(f"h('{a}', '{a}') + h('{b}', '{b}') - h('{a}', '{b}')" for a, b in zip(o, o[1:], strict=False)) + " AS mi"
+    for o in permutations(_ORD)
+)
+
+
+@query("ordering_scores", f"WITH {GEO}, e AS ({_ent}), o AS (" + re.sub(r"h\('(\w+)', '(\w+)'\)", r"(SELECT max(h) FROM e WHERE a = '\1' AND b = '\2' OR a = '\2' AND b = '\1')", _orders) + ") SELECT ordering, round(ce, 6) AS ce, round(mi, 6) AS mi FROM o")
+def _(s, d):
+    return s.createDataFrame([(">".join(o), float(ce), float(mi)) for o, ce, mi in ordering.score_all_permutations(P.geo(s, d)[0], _ORD)], "ordering string, ce double, mi double")
+
+
+@query("stacked_sides", f"WITH {REAL}, {SYNTH} SELECT side, l_returnflag, count(*) AS n FROM (SELECT 1 AS side, l_returnflag FROM real UNION ALL SELECT 0, l_returnflag FROM synth) GROUP BY ALL")
+def _(s, d):
+    return fidelity.stacked(*P.li(s, d), ["l_returnflag"]).groupBy("side", "l_returnflag").agg(F.count("*").alias("n"))
+
+
 # Leaderboards and significance
 
 RUNS = f"runs(model, run, metric, value) AS ({values(P.RUNS)})"
@@ -598,6 +616,16 @@ def _(s, d):
     return significance.ci_overlap(s.createDataFrame(P.INTERVALS, "metric string, lo_a double, hi_a double, lo_b double, hi_b double"))
 
 
+@query("run_alignment", f"WITH {_PAIRED} SELECT metric, run::INT AS run, round(d, 6) AS d FROM pr")
+def _(s, d):
+    return significance.paired(P.runs(s), "alpha", "beta")
+
+
+@query("probe_minimum", f"WITH l(model, learner, value) AS ({values(P.LEARNERS)}) SELECT model, coalesce(min(value), 0.5)::DOUBLE AS value FROM l GROUP BY model")
+def _(s, d):
+    return leaderboard.best_model_metric(s.createDataFrame(P.LEARNERS, "model string, learner string, value double"), higher=False).select("model", F.coalesce("best", F.lit(0.5)).alias("value"))
+
+
 # Samples, folds, texts
 
 
