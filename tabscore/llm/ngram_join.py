@@ -9,7 +9,7 @@ A set is made of 64-bit hashes of its shingles. The join loses no pair and never
    A shingle that still is in very many prefixes is marked too and the deal is made anew.
 3. A pair's bitmap signatures (parities of hashed shingles, as long as the set's size band asks for, folded to the
    shorter) differ in no more bits than the sets differ in shingles: bit counts bound the overlap from above.
-4. The pairs that are left are verified by intersecting the sorted arrays, made from the texts of these sets alone.
+4. The pairs that are left are verified by intersecting the sorted arrays, which are made of these pairs' sets alone.
 
 A group of n near copies isn't expanded: first rounds test each set with a few neighbours of its tile and join what
 is linked; the last one compares signatures, block by block, of the pairs of a tile that aren't in one component yet. Components
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.llm.common import discard, materialize
 
 SHINGLE = 5
 #: Likeness as a fraction, FREQUENT: rows of a batch of one shingle, TILE: sets of one shingle, from which it is marked.
-LIKE, FREQUENT, TILE, MARK_BITS, STEPS = (4, 5), 3, 256, 24, ((1, 2, 5), (3, 8, 21, 55))
+LIKE, FREQUENT, TILE, MARK_BITS, STEPS = (4, 5), 3, 256, 24, (1, 2, 5, 13)
 #: Rows of a tile that are compared with each other, or with as many others, at once.
 BLOCK = 512
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -69,9 +69,9 @@ def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parities of the shingles by hash: 64 bits at least, four times as many as the set has elements, a power of two."""
+    """Parities of the shingles by hash: 64 bits at least, twice as many as the set has elements, a power of two."""
     bits = 64
-    while bits < 4 * len(s) and bits < 1 << 16:
+    while bits < 2 * len(s) and bits < 1 << 16:
         bits *= 2
     counts = np.bincount((s >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits) & 1
     return np.packbits(counts.astype(bool), bitorder="little").tobytes()
@@ -105,8 +105,15 @@ def _digest(s: np.ndarray) -> bytes | None:
 
 
 def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, k, sig): every row's set by its digest; the signature once for equal sets of a task's rows."""
+    seen: set[bytes] = set()
     for batch, sets in _each_set(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], ["doc_id", "n", "k"])
+        ks, sigs = [_digest(s) for s in sets], []
+        for k, s in zip(ks, sets, strict=True):
+            sigs.append(None if k is None or k in seen else signature(s))
+            if k is not None and len(seen) < 1_000_000:
+                seen.add(k)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "k", "sig"])
 
 
 def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +279,29 @@ def linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, n, sig, x) from (k, text), where the text's set is k's."""
-    for batch, sets in _each_set(batches):
-        own = [k == _digest(s) for k, s in zip(batch.column(0).to_pylist(), sets, strict=True)]
-        batch, sets = batch.filter(pa.array(own)), [s for s, o in zip(sets, own, strict=True) if o]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "n", "sig", "x"])
+def array_rows(wanted):
+    """(k, x): the sorted arrays of the sets whose digests the bitmap has, equal ones of a task's rows once."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, seen = np.frombuffer(wanted.value, np.uint8), set()
+        for _, sets in _each_set(batches):
+            found = []
+            for s in sets:
+                k = _digest(s)
+                if k is not None and k not in seen:
+                    mark = int.from_bytes(k[:4], "big") >> 32 - MARK_BITS
+                    if bitmap[mark >> 3] >> (mark & 7) & 1:
+                        seen.add(k)
+                        found.append((k, s.tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["k", "x"])
+
+    return kernel
+
+
+def digest_marks(k: Column) -> Column:
+    """The first MARK_BITS bits of a digest, as a number."""
+    return F.shiftright(F.conv(F.hex(F.substring(k, 1, 4)), 16, 10).cast("long"), 32 - MARK_BITS)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -314,7 +338,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = materialize(rows.mapInArrow(member_rows, f"doc_id {kind}, n bigint, k binary"), "sets")
+    members = materialize(rows.mapInArrow(member_rows, f"doc_id {kind}, n bigint, k binary, sig binary"), "sets")
     spark = docs.sparkSession
 
     marked = _bitmap(docs.select("text").mapInArrow(frequent_rows, "mark bigint, n bigint").select("mark").distinct())
@@ -330,21 +354,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         discard(tiles)
         marked = more
 
-    # Sets of which a tile has two: made from the text of one of their documents.
-    wanted = tiles.select("k").distinct()
-    keyed = members.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id")).join(wanted, "k", "left_semi")
-    texts = keyed.withColumnRenamed("doc_id", "id").join(rows, F.col("id").eqNullSafe(F.col("doc_id"))).select("k", "text")
-    sets = materialize(texts.mapInArrow(set_rows, "k binary, n bigint, sig binary, x binary"), "arrays")
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("k").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(linked_pairs, "a binary, b binary")
+    # Tiles with the same sets have the same pairs: one of them is enough.
+    alike = tiles.groupBy("h").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("y"), F.count("*").alias("c"))
+    kept = alike.groupBy("x", "y", "c").agg(F.min("h").alias("h")).select("h")
+    every, tiles = tiles, materialize(tiles.join(kept, "h", "left_semi"), "tiles")
+    sigs = members.filter("sig is not null").select("k", "n", "sig").join(tiles.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    sigs = materialize(sigs, "signatures")
+    discard(every)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        sig = sets.select("k", "n", "sig")
-        x, y = (sig.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-        bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near_pairs, "a binary, b binary")
-        return materialize(exact(bounded), name)
+        """The pairs that are links: arrays are made, in one more pass over the texts, of their sets only."""
+        pairs = materialize(pairs, f"{name}-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(digest_marks(F.col("k")).alias("mark")).distinct()
+        wanted = spark.sparkContext.broadcast(_bitmap(ends))
+        arrays = materialize(docs.select("text").mapInArrow(array_rows(wanted), "k binary, x binary").repartition("k").dropDuplicates(["k"]), f"{name}-arrays")
+        x, y = (arrays.select(F.col("k").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
+        out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(linked_pairs, "a binary, b binary"), name)
+        discard(pairs, arrays)
+        return out
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs that their signatures don't rule out."""
+        x, y = (sigs.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near_pairs, "a binary, b binary")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -356,24 +388,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.select(*ordered(F.col("p.k"), F.col("q.k"))).distinct()
 
     # A few neighbours first: what they link needs no more pairs.
-    edges, open_ = None, tiles.withColumn("root", F.col("k"))
-    for i, steps in enumerate(STEPS):
-        found = verified(neighbours(open_, steps), f"links{i}")
-        edges = found if edges is None else edges.unionByName(found)
-        tagged = tiles.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        largest = tagged.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots")).filter("roots > 1")
-        open_ = materialize(tagged.join(largest.select("h", "major"), "h"), "open")
+    edges = verified(bounded(neighbours(tiles.withColumn("root", F.col("k")), STEPS)), "links")
+    tagged = tiles.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    largest = tagged.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots")).filter("roots > 1")
+    open_ = materialize(tagged.join(largest.select("h", "major"), "h"), "open")
 
     # Then, of the tiles that still have several components, all pairs with a set outside the largest one. A large
     # tile is cut into blocks, and a task compares two blocks.
     block = (F.col("place") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), ((F.col("sets") - 1) / BLOCK).cast("int")))
-    dealt = open_.join(sets.select("k", "sig"), "k").withColumns({"block": block, "other": other})
+    dealt = open_.join(sigs.select("k", "sig"), "k").withColumns({"block": block, "other": other})
     dealt = dealt.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "n", "root", (F.col("root") == F.col("major")).alias("in_major"), "sig")
     rest = dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(tile_pairs, "a binary, b binary").distinct()
-    edges = edges.unionByName(materialize(exact(rest), "links"))
+    edges = edges.unionByName(verified(rest, "links"))
     groups = components(edges, name="classes")
-    discard(tiles, sets, open_)
+    discard(tiles, sigs, open_)
 
     classes = members.join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.coalesce("root", "k"))
     smallest = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"))
