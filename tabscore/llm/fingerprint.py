@@ -114,7 +114,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         ids = F.coalesce(F.col(f"{a}.doc_id").cast("long"), F.lit(-1)).bitwiseXOR(F.coalesce(F.col(f"{b}.{id_}").cast("long"), F.lit(-1)))
         return (F.col(f"{a}.h").bitwiseXOR(F.col(f"{b}.{h}")) == 0) & (ids == 0)
 
-    once = full.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("h"))).filter("rn = 1")
+    # lag(), not row_number(): a limit on ranks would be pushed below the exchange, which both joins are to share.
+    once = full.withColumn("again", F.lag(F.lit(1)).over(Window.partitionBy("key").orderBy("h"))).filter("again is null")
     gives = once.alias("d").join(order.alias("o"), (F.col("d.key") == F.col("o.next_key")) & same("d", "o", "next_id", "next_h"))
     head = gives.select(F.col("o.key").alias("key"), F.col("o.doc_id").alias("doc_id"), F.col("o.h").alias("h"), F.expr("substring(d.text, 1, int(o.n div 4))").alias("head"), F.col("d.bits").alias("next_bits"))
     both = full.alias("d").join(head.alias("e"), (F.col("d.key") == F.col("e.key")) & same("d", "e"))
