@@ -721,10 +721,15 @@ def _(s, d):
 
 
 def bundle_of(s: SparkSession, d: str):
+    """All six dimensions at the pipeline's defaults. A fifth of the real rows is the test table, the others train; the schema is of all."""
     from tabscore.plans.pipeline import BenchmarkPipeline, PipelineConfig
 
     real, _ = P.li(s, d)
-    config = PipelineConfig(real, logic_spec=LogicSpec(math_equations=[("l_quantity", "*", "l_extendedprice", "l_tax")]), dimensions=(0, 1, 2), model="raw", dataset="lineitem", max_samples=2000, trees=5)
+    folds = sampling.hash_fold(real, 5)
+    train, test = folds.filter("fold <> 0").drop("fold"), folds.filter("fold = 0").drop("fold")
+    logic = LogicSpec(math_equations=[("l_quantity", "*", "l_extendedprice", "l_tax")])
+    fair = FairSpec(["l_returnflag", "l_quantity"], "l_linestatus", TaskType.BINARY, True)
+    config = PipelineConfig(train, test, DataSchema(real), logic, fair, "l_linestatus", TaskType.BINARY, model="raw", dataset="lineitem")
     return BenchmarkPipeline(config).run(P.li_raw(s, d))
 
 

@@ -14,7 +14,9 @@ from tabscore.functions.canon import canon, ingest, parse_boolean, parse_number
 from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, logic, neighbors, ordering, profile, sampling, serialize, significance, structural, utility
 from tabscore.operators.schema import DataSchema, schema_fingerprint
 from tabscore.operators.specs import FairSpec, GenerationCollapseError, LogicSpec, SchemaMismatchError, TaskType
+from tabscore.plans import pairs as P
 from tabscore.plans.bundle import ResultBundle, extract, raw_scores, tidy
+from tabscore.plans.catalog import bundle_of
 from tabscore.plans.pipeline import DIM0_FAILED, NO_SPEC, NO_TARGET, BenchmarkPipeline, PipelineConfig
 from tabscore.sources import files
 from tabscore.streaming import drift
@@ -314,6 +316,19 @@ def test_pipeline_and_bundle(spark, small, tmp_path):
     assert broken.errors["dim1"] == DIM0_FAILED and "SchemaMismatchError" in broken.errors["dim0"]
 
 
+def test_registered_bundle_is_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(BenchmarkPipeline, "run", lambda self, synth: seen.append(self.config))
+    bundle_of(spark, DATA)
+    (c,), plain_ = seen, PipelineConfig(None)
+    for name in ("dimensions", "max_samples", "max_privacy_rows", "trees", "n_tuning_trials", "min_clean_rows"):
+        assert getattr(c, name) == getattr(plain_, name), name
+    assert c.dimensions == (0, 1, 2, 3, 4, 5) and c.target_col and c.task_type and c.fair_spec
+    real = P.li(spark, DATA)[0]
+    assert c.test_real_df.count() and c.train_real_df.unionByName(c.test_real_df).exceptAll(real).count() == 0
+    assert c.train_real_df.count() + c.test_real_df.count() == real.count()
+
+
 # Texts, orders, samples, files, streams
 
 
