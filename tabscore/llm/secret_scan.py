@@ -5,8 +5,10 @@ text at a pattern: the lengths of the gaps and of the matches, added up, give ev
 
 The entropy of a window of W characters is log2(W) - S / W, where S is the sum of c * log2(c) over the counts c of
 the window's characters. Sliding by one character changes two counts, so S is kept by two increments; each
-candidate is a maximal run of characters of one class (hexadecimal, or base 64 with a digit, a lower-case and an
-upper-case letter), and a class has its own threshold. Spans of the allow-list (examples, placeholders, runs of the
+candidate is a maximal run of characters of one class (hexadecimal; base 64 with a digit, a lower-case and an
+upper-case letter; a digit and lower-case, or a digit and upper-case letters beyond hexadecimal, as base 32 has them),
+and a class has its own threshold. A run may stand right after '=', as the value of NAME=value; a run that '=' and
+more follow is a name. Spans of the allow-list (examples, placeholders, runs of the
 alphabet) are suppressed; spans of the fixed patterns never are.
 """
 
@@ -25,8 +27,13 @@ PATTERNS = [
 ]
 #: Class of candidates: kind, pattern of a maximal run, window, threshold in bits. Thresholds are no value that a window can have.
 CLASSES = [
-    ("entropy-hex", r"(?<![0-9A-Za-z+/_=-])[0-9a-fA-F]{20,}(?![0-9A-Za-z+/_=-])", 20, 2.9),
-    ("entropy-base64", r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Za-z+/_-]*[0-9])(?=[0-9A-Za-z+/_-]*[a-z])(?=[0-9A-Za-z+/_-]*[A-Z])[0-9A-Za-z+/_-]{20,}={0,2}(?![0-9A-Za-z+/_=-])", 20, 3.65),
+    ("entropy-hex", r"(?<![0-9A-Za-z+/_-])[0-9a-fA-F]{20,}(?![0-9A-Za-z+/_=-])", 20, 2.9),
+    ("entropy-base64", r"(?<![0-9A-Za-z+/_-])(?=[0-9A-Za-z+/_-]*[0-9])(?=[0-9A-Za-z+/_-]*[a-z])(?=[0-9A-Za-z+/_-]*[A-Z])[0-9A-Za-z+/_-]{20,}={0,2}(?![0-9A-Za-z+/_=-])", 20, 3.65),
+]
+#: The same for runs of digits and letters of one case, which other characters may part from what is around them.
+ALPHANUMERIC = [
+    ("entropy-lower", r"(?<![0-9A-Za-z])(?=[a-z]*[0-9])(?=[0-9a-z]*[g-z])[0-9a-z]{20,}={0,6}(?![0-9A-Za-z=])", 20, 3.35),
+    ("entropy-upper", r"(?<![0-9A-Za-z])(?=[A-Z]*[0-9])(?=[0-9A-Z]*[G-Z])[0-9A-Z]{20,}={0,6}(?![0-9A-Za-z=])", 20, 3.3),
 ]
 #: A candidate that matches is no secret. Fixed values.
 ALLOWED = r"(?i)example|placeholder|your[_-]|changeme|x{6,}|0123456789|abcdefgh|qwerty|lorem"
@@ -100,7 +107,7 @@ def _spans_of_class(text: Column, kind: str, pattern: str, window: int, threshol
 
 
 def entropy_spans(text: Column) -> Column:
-    return F.concat(*[_spans_of_class(text, *c) for c in CLASSES])
+    return F.concat(*[_spans_of_class(text, *c) for c in [*CLASSES, *ALPHANUMERIC]])
 
 
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -117,7 +124,7 @@ def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def joined(spans: Column) -> Column:
     """kind:start:stop by start, then by kind as listed, then by stop; joined by commas."""
-    order = {k: i for i, k in enumerate([*[p[0] for p in PATTERNS], *[c[0] for c in CLASSES]])}
+    order = {k: i for i, k in enumerate([*[p[0] for p in PATTERNS], *[c[0] for c in [*CLASSES, *ALPHANUMERIC]]])}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     rows = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")

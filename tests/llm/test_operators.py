@@ -484,6 +484,23 @@ def test_secret_scan(docs, empty):
     assert secret_scan.spans_of(secret_scan.secret_scan(empty)).count() == 0
 
 
+def test_secret_scan_finds_values_of_names(spark):
+    mixed, lower, upper = "wJa7rXUtnF3MK2MDENGbPxRf1CYzQ9vKt5LhS8oA", "k7w2zq9mx4tv8rpj3nhy5ugs6wlz", "K5QW2ZTV7JXR4M6PYHN3UGLSIO2A"
+    lines = [
+        (f"AWS_SECRET_ACCESS_KEY={mixed}", mixed, "entropy-base64"), (f"https://x.org/?a=1&sig={mixed}&b=2", mixed, "entropy-base64"), (f"auth={mixed}==", mixed, "entropy-base64"),
+        ("private_key=f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "entropy-hex"),
+        (f"auth={lower} end", lower, "entropy-lower"), (f"say sk-{lower}", lower, "entropy-lower"), (f"seed={upper}====", upper, "entropy-upper"), (f"é {upper}", upper, "entropy-upper"),
+        (f"{lower}=name", None, None), (f"{mixed}=name", None, None), ("a plain sentence of 2026 with internationalizations1 in it", None, None), (f"auth=example{lower}", None, None),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(lines)], "doc_id int, text string")
+    for r in secret_scan.secret_scan(d).collect():
+        text, value, kind = lines[r["doc_id"]]
+        assert [x["kind"] for x in r["entropy_spans"]] == ([kind] if kind else []), text
+        for x in r["entropy_spans"]:
+            at = text.index(value)
+            assert at <= x["start"] < at + 12 and at + 20 <= x["stop"] <= len(text)
+
+
 # All
 
 
