@@ -36,7 +36,7 @@ def tokenise(vocabulary: str, end_id: int):
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "").tobytes() + end
+                ids = encoder.named(text.as_py() or "").tobytes() + end
                 n = len(ids) // 2
                 rows.append((part, before, doc_id.as_py(), n, ids))
                 before, held = before + n, held + len(ids)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -12,7 +13,8 @@ _MIXED = re.compile(r"\s")
 
 class ByteBPE:
     """Encodes whole texts. A word with the space before it is split off and merged alone by the vocabulary's rules, so
-    its ids are the same wherever it stands; texts with other white space at a word's edge are encoded whole."""
+    its ids are the same wherever it stands; texts with other white space at a word's edge are encoded whole. encode()
+    reads the vocabulary's added tokens as plain text; named() gives them their own ids, as the named tokenizer does."""
 
     def __init__(self, name: str = "byte_bpe_50k", words: int = 300_000):
         import public_tokenizers as public
@@ -23,6 +25,24 @@ class ByteBPE:
         self.slow_path = public.path(f"{name}.json")
         self.plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow, self.words, self.limit = None, {}, words
+        self.name_of, self.default = None, None
+
+    def added(self, text: str) -> bool:
+        """Whether the text holds an added token of the vocabulary's JSON."""
+        if self.name_of is None:
+            with open(self.slow_path, encoding="utf-8") as file:
+                self.name_of = re.compile("|".join(re.escape(t["content"]) for t in json.load(file).get("added_tokens", ())) or r"(?!)")
+        return self.name_of.search(text) is not None
+
+    def named(self, text: str) -> np.ndarray:
+        """The ids of the named tokenizer at its defaults, but for special tokens of its own: an added token in the text is one id."""
+        if not self.added(text):
+            return self.encode(text)
+        if self.default is None:
+            from tokenizers import Tokenizer
+
+            self.default = Tokenizer.from_file(self.slow_path)
+        return np.array(self.default.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def whole(self, text: str) -> list[int]:
         try:

@@ -264,6 +264,21 @@ def test_token_cache_agrees_with_whole_texts():
         assert mine.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_reads_added_tokens_as_the_named_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4)
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    parts = ["<|endoftext|>", "<|endoftext|", "a", " ", "\n", "  ", "é", "東", "'s", "12"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(200)]]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), window=1 << 20).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        seq = [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(seq), zlib.crc32(struct.pack(f"<{len(seq)}I", *seq)))
+
+
 # 6
 
 
