@@ -29,10 +29,12 @@ BANDS = {
     "de": (1.2, 7.0, 0.05, 0.45),
     "fr": (1.2, 7.0, 0.05, 0.45),
     "es": (1.2, 7.0, 0.05, 0.45),
-    # Latin script without the function words of a known language: kept if the vocabulary knows its words.
-    "latin": (2.6, 8.0, 0.10, 0.40),
+    # Latin script without the function words of a known language: any of its languages, however an English vocabulary fits.
+    "latin": (1.2, 8.0, 0.10, 0.40),
     "other": (0.3, 8.0, 0.50, 0.40),
 }
+#: Most symbols (those of n_symbols) a word in Latin script without a known language: prose of any language has few.
+MOST_SYMBOLS = 0.1
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -99,7 +101,10 @@ class Fertility:
         return tag, len(plain) / len(ids), foreign / len(plain), min(1.0, entropy)
 
 
-def verdict(tag: str, chars: float | None, share: float, entropy: float | None) -> bool:
+def verdict(tag: str, chars: float | None, share: float, entropy: float | None, symbols: float = 0.0) -> bool:
+    """symbols: symbols a word."""
+    if tag == "latin" and symbols > MOST_SYMBOLS:
+        return False
     low, high, most_bytes, least_entropy = BANDS.get(tag, BANDS["other"])
     return chars is not None and low <= chars <= high and share <= most_bytes and entropy >= least_entropy
 
@@ -114,7 +119,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 base = base_counts(text or b"")
                 measured = fertility(text or b"")
-                rows.append((*base, *measured, not base[-1] and verdict(*measured)))
+                rows.append((*base, *measured, not base[-1] and verdict(*measured, base[2] / max(base[0], 1))))
             cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])
 

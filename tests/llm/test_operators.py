@@ -427,6 +427,23 @@ def test_fertility_bands_keep_prose_and_reject_what_no_vocabulary_knows(spark):
     assert not tags[2]["kept"] and tags[2]["byte_share"] > 0.5
 
 
+def test_quality_rules_keep_prose_of_other_latin_languages(spark):
+    polish = """Wczesnym rankiem stary rybak wyszedł z domu i ruszył wąską ścieżką ku jezioru. Mgła jeszcze leżała nad wodą, ale ptaki
+    już śpiewały w trzcinach. Jego wnuczka niosła wiosła oraz mały koszyk z chlebem. Przez chwilę oboje milczeli, patrząc na drugi brzeg.
+    Potem dziewczynka zapytała, czy dzisiaj złowią dużą rybę. Dziadek uśmiechnął się tylko, wsiadł do łodzi i powiedział, że jezioro samo zdecyduje,
+    jak zawsze robiło od wielu lat."""
+    turkish = """Sabah erkenden yaşlı balıkçı evinden çıktı ve dar patikadan göle doğru yürüdü. Sis hâlâ suyun üzerinde duruyordu, ama kuşlar
+    sazlıkların arasında ötmeye başlamıştı. Torunu kürekleri ve içinde ekmek bulunan küçük sepeti taşıyordu. Bir süre ikisi de konuşmadan karşı kıyıya
+    baktılar. Sonra küçük kız bugün büyük bir balık tutup tutamayacaklarını sordu. Dedesi yalnızca gülümsedi, kayığa bindi ve buna her zaman olduğu gibi
+    gölün karar vereceğini söyledi."""
+    junk = " ".join(f"{w}{m}" for w, m in zip(polish.split(), ["***", "&&&", "%%%"] * 99, strict=False))
+    menu = " | ".join(polish.split())
+    d = spark.createDataFrame(list(enumerate([polish, turkish, junk, menu])), "doc_id int, text string")
+    out = sorted(quality_rules.verdicts(d).collect(), key=lambda r: r["doc_id"])
+    assert [r["language"] for r in out] == ["latin"] * 4 and all(r["chars_per_token"] < 2.6 for r in out[:2])
+    assert [r["kept"] for r in out] == [True, True, False, False]
+
+
 # 9
 
 
