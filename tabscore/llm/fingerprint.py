@@ -2,8 +2,8 @@
 
 Every word shingle is hashed once; the hash's high bits name one of BINS bins and its other bits compete for the
 bin's minimum. An empty bin takes the value of another: a sequence of bins, drawn by a hash of (bin, attempt), is
-tried until one of them is not empty, so similar sets mostly take the same value; after ATTEMPTS misses (tiny sets)
-it takes the first bin that has one. Of each bin the low BITS bits are kept and packed as two hexadecimal digits.
+tried until one of them is not empty, so similar sets mostly take the same value; after ATTEMPTS misses (rare, even for
+tiny sets) it takes one of the bins that have one, by a hash of the bin. Of each bin the low BITS bits are kept and packed as two hexadecimal digits.
 Two unequal values agree in BITS bits by chance once in 2**BITS, which the likeness corrects for.
 """
 
@@ -15,7 +15,9 @@ from pyspark.sql.window import Window
 
 from tabscore.llm.common import ascii_lower, let, materialize, words_of
 
-BINS, BITS, SHINGLE, ATTEMPTS = 128, 8, 5, 24
+BINS, BITS, SHINGLE, ATTEMPTS = 128, 8, 5, 2048
+#: The first attempts, written out one by one; then ends of further ones, that are made only for bins still empty.
+_WRITTEN, _ENDS = 24, (128, 512, ATTEMPTS)
 _SHIFT = 64 - BINS.bit_length() + 1
 _LOW = (1 << _SHIFT) - 1
 #: Odd multipliers of the hash that draws bins; fixed values, so that fingerprints can be compared over the years.
@@ -48,12 +50,23 @@ def low_bits(text: Column) -> Column:
         return F.transform(firsts, lambda x: F.when(x.bitwiseAND(F.lit(_LOW)) != F.lit(_LOW), x.bitwiseAND(F.lit((1 << BITS) - 1)) - (1 << BITS - 1)))
 
     def densified(values: Column) -> Column:
-        first = F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+        full = F.filter(values, lambda v: v.isNotNull())
 
-        def fill(low: Column) -> Column:
-            return F.transform(values, lambda v, b: F.coalesce(v, *[F.get(values, drawn(b.cast("long"), a).cast("int")) for a in range(1, ATTEMPTS + 1)], low).cast("tinyint"))
+        def fill(present: Column) -> Column:
+            def later(b: Column, start: int, stop: int) -> Column:
+                tried = F.transform(F.sequence(F.lit(start).cast("long"), F.lit(stop).cast("long")), lambda a: F.get(values, drawn(b, a).cast("int")))
+                return F.get(F.filter(tried, lambda v: v.isNotNull()), F.lit(0))
 
-        return let(first, fill)
+            def of(v: Column, b: Column) -> Column:
+                b = b.cast("long")
+                first = [F.get(values, drawn(b, a).cast("int")) for a in range(1, _WRITTEN + 1)]
+                more = [later(b, start + 1, stop) for start, stop in zip((_WRITTEN, *_ENDS), _ENDS, strict=False)]
+                rest = F.get(present, F.pmod(F.xxhash64(b), F.size(present)).cast("int"))
+                return F.coalesce(v, *first, *more, rest).cast("tinyint")
+
+            return F.transform(values, of)
+
+        return let(full, fill)
 
     def all_bins(hashes: Column) -> Column:
         return let(let(F.sort_array(F.concat(hashes, top)), minima), densified)

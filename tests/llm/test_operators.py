@@ -396,6 +396,20 @@ def test_likeness_estimates_jaccard(spark):
         assert abs(r["e"] - r["j"]) < 0.15
 
 
+def test_fingerprints_of_short_texts_hang_on_no_single_bin(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(n)) for n in [6, 7] * 30 + [12] * 40]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    largest = {2: [], 3: [], 8: []}
+    for r in fingerprint.fingerprints(d).collect():
+        text = texts[r["doc_id"]]
+        values = Counter(re.findall("..", r["fingerprint"]))
+        assert set(values) == set(re.findall("..", plain_fingerprint(text)))
+        largest[len(text.split()) - 4].append(max(values.values()) / fingerprint.BINS)
+    # Bins share out what one bin would take: the largest share stays near that of a fair draw.
+    assert np.mean(largest[2]) < 0.65 and np.mean(largest[3]) < 0.53 and np.mean(largest[8]) < 0.27
+
+
 # 8
 
 
