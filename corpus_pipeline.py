@@ -32,11 +32,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; rows that share a doc_id are one document."""
-    classes = ngram_join.near_duplicates(docs)
-    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
+    """One row of each group of linked rows stays, that with the smallest doc_id, then text hash; null doc_ids come last.
+
+    Of the rows that stay, those that share a doc_id are one document, of which one is kept; rows without a doc_id are
+    documents of their own.
+    """
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), h.alias("h"))
+    classes = ngram_join.near_duplicates(docs.select(ids.alias("doc_id"), "text"))
+    stays = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct()
+    kept = docs.select(*COLUMNS).withColumn("_own", h).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")), "left_semi")
+    # Rows without doc_id are told by their texts; those without words are linked with nothing, so each is for itself.
+    words = F.coalesce(F.col("text").rlike(WS.replace("[", "[^")), F.lit(False))
+    kept = kept.withColumn("_own", F.when(F.col("doc_id").isNull(), F.when(words, F.col("_own")).otherwise(F.monotonically_increasing_id())))
+    kept = kept.withColumn("_empty", F.col("doc_id").isNull() & ~words)
+    first = F.row_number().over(Window.partitionBy("doc_id", "_own", "_empty").orderBy(F.xxhash64("text"), "source", "lang"))
     return kept.withColumn("_rank", first).filter("_rank = 1").select(*COLUMNS)
 
 

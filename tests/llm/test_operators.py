@@ -576,3 +576,15 @@ def test_pipeline(spark, tmp_path):
     assert abs(words("source_mix") - 1.5 * words("near_duplicates")) <= 8
     assert set(ids["packing"]) == set(ids["source_mix"])
     assert corpus_pipeline.run(spark, str(at)).count() == len(ids["packing"])
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abce")
+    table = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, c), (None, e), (None, e), (None, a), (None, ""), (None, None), (4, "")]
+    for turned in (table, table[::-1]):
+        d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in turned], SCHEMA)
+        kept = corpus_pipeline.drop_near_duplicates(spark, d, "")
+        want = [(1, a), (2, b), (None, c), (None, e), (None, ""), (None, None), (4, "")]
+        assert got(kept, "doc_id", "text") == sorted(want, key=str)
