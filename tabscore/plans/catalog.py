@@ -680,7 +680,7 @@ def _(s, d):
 
 @query("bootstrap_ci")
 def _(s, d):
-    return bootstrap.table_mean_ci(P.table(s, d, "orders"), F.col("o_totalprice"), [F.col("o_orderkey")], 60)
+    return bootstrap.table_mean_ci(P.table(s, d, "orders"), F.col("o_totalprice"), [F.col("o_orderkey")])
 
 
 @query("dsi_gmm")
@@ -693,7 +693,7 @@ def _(s, d):
 @query("c2st_auc")
 def _(s, d):
     real, synth = P.li(s, d)
-    return s.createDataFrame(list(utility.c2st_auc(real, synth, DataSchema(real), folds=3, trees=10).items()), "model string, auc double")
+    return s.createDataFrame(list(utility.c2st_auc(real, synth, DataSchema(real)).items()), "model string, auc double")
 
 
 def _fair_schema(f: DataFrame) -> DataSchema:
@@ -708,14 +708,14 @@ def _halves(s, d) -> tuple[DataFrame, DataFrame]:
 @query("tstr_utility")
 def _(s, d):
     synth, test = _halves(s, d)
-    r = utility.MLUtilityEvaluator(_fair_schema(test), "y", TaskType.BINARY, n_tuning_trials=0, trees=10).evaluate(synth, test)
+    r = utility.MLUtilityEvaluator(_fair_schema(test), "y", TaskType.BINARY).evaluate(synth, test)
     return s.createDataFrame([(m, k, v) for m, x in r.tstr.items() for k, v in x.items()], "model string, metric string, value double")
 
 
 @query("fairness_probe")
 def _(s, d):
     synth, test = _halves(s, d)
-    r = fairness.FairnessEvaluator(test, _fair_schema(test), FairSpec(["c_mktsegment", "c_acctbal"], "y", TaskType.BINARY, True), trees=10).evaluate(synth, test)
+    r = fairness.FairnessEvaluator(test, _fair_schema(test), FairSpec(["c_mktsegment", "c_acctbal"], "y", TaskType.BINARY, True)).evaluate(synth, test)
     rows = [("nmi", k, v) for k, v in r.nmi.items()] + [("delta_dp", k, v) for k, v in r.delta_dp.items()] + [("delta_eo", k, v) for k, v in (r.delta_eo or {}).items()]
     return s.createDataFrame(rows, "metric string, key string, value double")
 

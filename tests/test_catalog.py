@@ -329,6 +329,24 @@ def test_registered_bundle_is_whole(spark, monkeypatch):
     assert c.train_real_df.count() + c.test_real_df.count() == real.count()
 
 
+def test_registered_models_take_the_defaults(spark, monkeypatch):
+    from tabscore.plans import catalog
+
+    class Called(Exception):
+        pass
+
+    def seen(*args, **kwargs):
+        raise Called(args, kwargs)
+
+    for name, module, attribute, most in (("bootstrap_ci", catalog.bootstrap, "table_mean_ci", 3), ("c2st_auc", catalog.utility, "c2st_auc", 3), ("tstr_utility", catalog.utility, "MLUtilityEvaluator", 3), ("fairness_probe", catalog.fairness, "FairnessEvaluator", 3)):
+        monkeypatch.setattr(module, attribute, seen)
+        with pytest.raises(Called) as e:
+            registry.queries()[name](spark, DATA)
+        args, kwargs = e.value.args
+        assert len(args) <= most and not kwargs, name
+    assert density.ITERATIONS == 200
+
+
 # Texts, orders, samples, files, streams
 
 
