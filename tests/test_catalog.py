@@ -344,7 +344,6 @@ def test_registered_models_take_the_defaults(spark, monkeypatch):
             registry.queries()[name](spark, DATA)
         args, kwargs = e.value.args
         assert len(args) <= most and not kwargs, name
-    assert density.ITERATIONS == 200
 
 
 # Texts, orders, samples, files, streams
