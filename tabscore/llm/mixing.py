@@ -11,7 +11,8 @@ a source has one left: log(n) / log(LEAF) levels, each of them shorter by LEAF.
 remain fractional; of its last copy the first words that the source still needs are taken.
 
 Chance comes from hashes of the paired documents' ids, and the order in a leaf from hashes of ids: the result depends
-on the rows alone, not on how they are partitioned.
+on the rows alone, not on how they are partitioned. Rows that are alike in source, id and size are counted and then
+numbered, so that they are dealt like any others, however many there are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql.window import Window
 from tabscore.llm.common import WS, let, materialize
 
 LEAF, SHARE, CAP, SEED = 128, 1.5, 2.0, 20
+#: Rows alike that one task numbers at once.
+COPIES = 10_000
 #: Weights of the sources in their order, repeated. Fixed values.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -55,16 +58,17 @@ def _uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *columns), 11) / float(1 << 53)
 
 
-_ITEM = "struct<k:bigint,id:bigint,size:bigint,mass:double>"
+def item_type(id_type: str) -> str:
+    return f"struct<k:bigint,id:{id_type},size:bigint,mass:double>"
 
 
-def fold_leaf(items: Column) -> Column:
+def fold_leaf(items: Column, item: str) -> Column:
     """struct<left, done> of a leaf's items (k, id, size, mass) in the order of k: settles all but one of them."""
-    none = F.lit(None).cast(_ITEM)
-    start = F.struct(none.alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
+    none = F.lit(None).cast(item)
+    start = F.struct(none.alias("left"), F.array().cast(f"array<{item}>").alias("done"))
 
     def with_mass(x: Column, mass: Column) -> Column:
-        return F.struct(x["k"].alias("k"), x["id"].alias("id"), x["size"].alias("size"), mass.alias("mass")).cast(_ITEM)
+        return F.struct(x["k"].alias("k"), x["id"].alias("id"), x["size"].alias("size"), mass.alias("mass")).cast(item)
 
     def pair(acc: Column, b: Column) -> Column:
         a = acc["left"]
@@ -89,17 +93,31 @@ def fold_leaf(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def numbered(frame: DataFrame) -> DataFrame:
+    """frame (place, n, id, size, mass, copies) with a row for each copy and its hash k; many copies are numbered in several tasks."""
+
+    def copies(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        each = rows.withColumn("nth", F.explode(F.sequence(first, last)))
+        return each.select("place", "n", "id", "size", "mass", F.xxhash64(F.lit(SEED + 1), "id", "size", "nth").alias("k"))
+
+    few = copies(frame.filter(F.col("copies") <= COPIES), F.lit(1).cast("long"), F.col("copies"))
+    many = frame.filter(F.col("copies") > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    many = copies(many.repartition("place", "id", "size", "part"), F.col("part") * COPIES + 1, F.least(F.col("copies"), (F.col("part") + 1) * COPIES))
+    return few.unionByName(many)
+
+
 def settle(frame: DataFrame, leaves: int) -> DataFrame:
-    """Rounds the fractional masses of frame (place, n, id, size, mass): the rows with mass 0, size, or, once a place, what is left over."""
-    done = None
-    rest, level = frame.withColumn("k", F.xxhash64(F.lit(SEED + 1), "id", "size")), 0
+    """Rounds the fractional masses of frame (place, n, id, size, mass, k): the rows with mass 0, size, or, once a place, what is left over."""
+    done, kind = None, item_type(frame.schema["id"].dataType.simpleString())
+    rest, level = frame, 0
     while True:
         level += 1
         n_leaves = F.greatest(F.lit(1), F.ceil(F.col("n") / float(leaves))).cast("long")
         dealt = rest.withColumn("leaf", F.pmod(F.xxhash64(F.lit(level), "k"), n_leaves))
-        item = F.struct(F.col("k"), F.col("id"), F.col("size"), F.col("mass")).cast(_ITEM)
+        item = F.struct(F.col("k"), F.col("id"), F.col("size"), F.col("mass")).cast(kind)
         folded = dealt.groupBy("place", "leaf").agg(F.first(n_leaves).alias("leaves"), F.array_sort(F.collect_list(item)).alias("items"))
-        folded = materialize(folded.withColumn("fold", let(F.col("items"), fold_leaf)).select("place", "leaves", "fold"), f"mixing-level{level}")
+        folded = folded.withColumn("fold", let(F.col("items"), lambda items: fold_leaf(items, kind)))
+        folded = materialize(folded.select("place", "leaves", "fold"), f"mixing-level{level}")
         settled = folded.select("place", F.explode("fold.done").alias("x")).select("place", "x.*")
         done = settled if done is None else done.unionByName(settled)
         rest = folded.filter("fold.left is not null").select("place", F.col("leaves").alias("n"), "fold.left.*")
@@ -108,20 +126,22 @@ def settle(frame: DataFrame, leaves: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, leaves: int = LEAF) -> DataFrame:
-    """doc_id, size, source_size, target (of its source), taken (words), for every row of docs.
+    """doc_id, size, source_size, target (of its source), taken (words), for every row of docs; doc_id has any type.
 
     Null and blank texts have size 0 and are taken 0 times; null sources are one source, the last; rows of one doc_id
     and size are alike, and each is rounded for itself. Other columns of docs are not used.
     """
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mixing-sizes")
     per = targets(sized, share, cap, weights)
-    joined = sized.alias("a").join(per.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.doc_id", "a.size", "b.source_size", "b.target", "b.place", "b.n_docs")
+    # Rows alike are counted before they meet a source's totals: partial counts leave few of them to shuffle.
+    alike = sized.groupBy("source", F.col("doc_id").alias("id"), "size").agg(F.count("*").alias("copies"))
+    joined = alike.alias("a").join(per.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.id", "a.size", "a.copies", "b.source_size", "b.target", "b.place", "b.n_docs")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("sure", F.floor(rate)).withColumn("mass", (rate - F.col("sure")) * F.col("size"))
     # A struct of all that a row has to carry through the tree would be longer than the join back by place.
-    frame = joined.select("place", F.col("n_docs").alias("n"), F.col("doc_id").cast("long").alias("id"), "size", "mass")
-    rounded = settle(frame, leaves)
+    frame = joined.select("place", F.col("n_docs").alias("n"), "id", "size", "mass", "copies")
+    rounded = settle(numbered(frame), leaves)
     per = per.withColumn("rate", rate).select("place", "source_size", "target", F.floor("rate").alias("sure"))
     out = rounded.join(per, "place")
     taken = F.col("sure") * F.col("size") + F.round("mass").cast("long")
-    return out.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    return out.select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))

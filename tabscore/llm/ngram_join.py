@@ -3,17 +3,21 @@
 A set is made of 64-bit hashes of its shingles. The join loses no pair and never lists all pairs:
 
 1. Equal sets are one: a set stands for all its documents from here on (`members`).
-2. Shingles that are frequent, as each batch of rows counts them, are marked in a bitmap of fixed size. Each set is
-   ordered by (frequent, hash) and its first n - ceil(0.8 n) + 1 shingles, the prefix, are dealt by hash: two sets that
-   are 0.8 alike share one of them. A shingle's sets, sorted by size, form tiles in which only sizes within 5/4 meet.
-   A shingle that still is in very many prefixes is marked too and the deal is made anew.
-3. A pair's bitmap signatures (parities of hashed shingles, as long as the set's size band asks for, folded to the
+2. Shingles that are frequent, as each batch of rows counts them, are marked in a bitmap, whose size follows the
+   number of rows up to 2 ** MOST_BITS bits. Each set is ordered by (frequent, hash) and its first n - ceil(0.8 n) + 1
+   shingles, the prefix, are dealt: two sets that are 0.8 alike share one of them. A shingle that still is in very
+   many prefixes is marked too and the deal is made anew.
+3. The deal is by ranges of (shingle, size, set), so the sets of one shingle, a tile, are spread over as many ranges
+   as they need, each sorted by size and streamed.
+4. A pair's bitmap signatures (parities of hashed shingles, as long as the set's size band asks for, folded to the
    shorter) differ in no more bits than the sets differ in shingles: bit counts bound the overlap from above.
-4. The pairs that are left are verified by intersecting the sorted arrays, which are made of these pairs' sets alone.
+5. The pairs that are left are verified by intersecting the sorted arrays, which are made of these pairs' sets alone.
 
 A group of n near copies isn't expanded: first rounds test each set with a few neighbours of its tile and join what
-is linked; the last one compares signatures, block by block, of the pairs of a tile that aren't in one component yet. Components
-are the same as with all links, as a pair that isn't tested lies in one component already.
+is linked. Then a tile's sets of its largest component and all others are cut, by size, into blocks of their own, and
+two blocks meet if their bands of sizes are within 5/4 and one of them is outside the largest component: signatures
+of the pairs that aren't in one component yet are compared block by block. Components are the same as with all links,
+as a pair that isn't tested lies in one component already.
 """
 
 from __future__ import annotations
@@ -23,16 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tabscore.llm.common import discard, materialize
+from tabscore.llm.common import discard, materialize, spread_join
 
 SHINGLE = 5
 #: Likeness as a fraction, FREQUENT: rows of a batch of one shingle, TILE: sets of one shingle, from which it is marked.
-LIKE, FREQUENT, TILE, MARK_BITS, STEPS = (4, 5), 3, 256, 24, (1, 2, 5, 13)
+LIKE, FREQUENT, TILE, STEPS = (4, 5), 3, 256, (1, 2, 5, 13)
+#: Bits of the bitmaps of marked shingles and wanted sets, as a power of 2: at least, for each row, at most (32 MB).
+LEAST_BITS, BITS_A_ROW, MOST_BITS = 24, 64, 28
 #: Rows of a tile that are compared with each other, or with as many others, at once.
-BLOCK = 512
+BLOCK = 256
+#: Sets that a task remembers, to give equal ones once; what it forgets is given again and merged later.
+REMEMBERED = 1_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -104,46 +114,42 @@ def _digest(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, k, sig): every row's set by its digest; the signature once for equal sets of a task's rows."""
-    seen: set[bytes] = set()
-    for batch, sets in _each_set(batches):
-        ks, sigs = [_digest(s) for s in sets], []
-        for k, s in zip(ks, sets, strict=True):
-            sigs.append(None if k is None or k in seen else signature(s))
-            if k is not None and len(seen) < 1_000_000:
-                seen.add(k)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "k", "sig"])
+def mark_bits(n_rows: int) -> int:
+    return max(LEAST_BITS, min(MOST_BITS, (BITS_A_ROW * n_rows).bit_length()))
 
 
-def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(mark, n) of shingles that are in several different sets of a batch."""
-    hashes = WordHashes()
+def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, k, sig, marks): every row's set by its digest; the signature once for equal sets of a task's rows; at
+    a batch's first row, the first MOST_BITS bits of the shingles that are in several different sets of the batch."""
+    hashes, seen = WordHashes(), set()
     for batch in batches:
-        seen, sets = set(), []
-        for text in batch.column(0).cast(pa.large_binary()):
-            s = shingles(text.as_py(), hashes)
-            if len(s) and (k := _digest(s)) not in seen:
-                seen.add(k)
-                sets.append(s)
-        if sets:
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            values = values[counts >= FREQUENT]
-            if len(values):
-                marks, n = np.unique((values >> np.uint64(64 - MARK_BITS)).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(n.astype(np.int64))], ["mark", "n"])
-
-
-def _bitmap(marks: DataFrame, before: bytes | None = None) -> bytes:
-    """The marks (below 2 ** MARK_BITS) as a bitmap: at most 2 ** (MARK_BITS - 5) rows of 32 marks reach the driver."""
-    words = marks.groupBy(F.shiftright("mark", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(mark & 31))")).alias("bits"))
-    out = np.zeros(1 << (MARK_BITS - 5), np.uint32) if before is None else np.frombuffer(before, np.uint32).copy()
-    for r in words.toLocalIterator():
-        out[r["w"]] |= np.uint32(r["bits"] & 0xFFFFFFFF)
+        sets = [shingles(t.as_py(), hashes) for t in batch.column(1).cast(pa.large_binary())]
+        ks, sigs, own = [_digest(s) for s in sets], [], {}
+        for k, s in zip(ks, sets, strict=True):
+            sigs.append(None if k is None or k in seen else signature(s))
+            if k is not None:
+                own[k] = s
+                if len(seen) < REMEMBERED:
+                    seen.add(k)
+        marks = [None] * len(sets)
+        if own:
+            values, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
+            marks[0] = np.unique(values[counts >= FREQUENT] >> np.uint64(64 - MOST_BITS)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary()), pa.array(marks, pa.list_(pa.int32()))], ["doc_id", "n", "k", "sig", "marks"]
+        )
+
+
+def _bitmap(marks: DataFrame, bits: int, before: bytes | None = None) -> bytes:
+    """The marks (below 2 ** bits) as a bitmap: at most 2 ** (bits - 6) rows of 64 marks reach the driver, as columns."""
+    words = marks.groupBy(F.shiftright("mark", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(mark & 63))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), np.int64) if before is None else np.frombuffer(before, np.int64).copy()
+    found = words.toArrow()
+    out[found["w"].to_numpy()] |= found["bits"].to_numpy()
     return out.tobytes()
 
 
-def prefix_rows(marked):
+def prefix_rows(marked, bits: int):
     """(h, n, ka, kb): the prefix of each set; equal sets of a task's rows once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +160,11 @@ def prefix_rows(marked):
                 k = _digest(s)
                 if k is None or k in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add(k)
                 n = len(s)
                 p = n - (LIKE[0] * n + LIKE[1] - 1) // LIKE[1] + 1
-                at = s >> np.uint64(64 - MARK_BITS)
+                at = s >> np.uint64(64 - bits)
                 hot = (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
                 plain = s[hot == 0][:p]
                 hs.append(plain if len(plain) == p else np.concatenate([plain, s[hot == 1][: p - len(plain)]]))
@@ -173,37 +179,51 @@ def prefix_rows(marked):
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, n, ka, kb), those whose h is in two different sets at least, each set once, with its place in the tile."""
-    carry: list[np.ndarray] | None = None
+    """(h, sub, n, place, k) of a range's rows sorted by (h, n, ka, kb): each set of an h once, with its place there.
 
-    def split(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        h, n, a, b = cols
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        h, n, a, b = (c[new] for c in cols)
-        run = np.ones(len(h), bool)
-        run[1:] = h[1:] != h[:-1]
-        starts = np.flatnonzero(run)
-        lengths = np.diff(np.append(starts, len(h)))
-        keep = np.repeat(lengths > 1, lengths)
-        if not keep.any():
-            return None
-        place = np.arange(len(h)) - np.repeat(starts, lengths)
-        ks = np.stack([a, b], axis=1)[keep].tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(n[keep].astype(np.int64)), pa.array(place[keep]), pa.array(np.repeat(lengths, lengths)[keep]), pa.array([ks[i : i + 16] for i in range(0, len(ks), 16)], pa.binary())], ["h", "n", "place", "sets", "k"])
+    An h of one set goes, unless it is the range's first or last, which others may share. Only one row is held back.
+    """
+    sub = TaskContext.get().partitionId()
+    before, place, held, first = None, -1, None, True
+
+    def batch_of(h, n, places, a, b) -> pa.RecordBatch:
+        ks = np.stack([a, b], axis=1).tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h), pa.array(np.full(len(h), sub, np.int64)), pa.array(n.astype(np.int64)), pa.array(places.astype(np.int64)), pa.array([ks[i : i + 16] for i in range(0, len(ks), 16)], pa.binary())],
+            ["h", "sub", "n", "place", "k"],
+        )
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if carry is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
         if not len(cols[0]):
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if cut and (out := split([c[:cut] for c in cols])) is not None:
-            yield out
-        carry = [c[cut:] for c in cols]
-    if carry is not None and len(carry[0]) and (out := split(carry)) is not None:
-        yield out
+        edge = [np.concatenate([[x[0] if before is None else y], x[:-1]]) for x, y in zip(cols, before or [None] * 4, strict=True)]
+        new = (cols[0] != edge[0]) | (cols[2] != edge[2]) | (cols[3] != edge[3])
+        starts = cols[0] != edge[0]
+        if before is None:
+            new[0] = starts[0] = True
+        before = [x[-1] for x in cols]
+        starts = starts[new]
+        h, n, a, b = (c[new] for c in cols)
+        if not len(h):
+            continue
+        index = np.arange(len(h))
+        begun = np.maximum.accumulate(np.where(starts, index, -1))
+        places = np.where(begun < 0, place + 1 + index, index - begun)
+        # A row stays if its h has another one, here, or held back, or before.
+        alone = np.append(starts[1:], True) & starts
+        keep = ~alone
+        if first and starts[0]:
+            keep[0] = True
+        waits = bool(alone[-1]) and not keep[-1]
+        if held is not None and not starts[0]:
+            yield batch_of(*held)
+        held = (h[-1:], n[-1:], places[-1:], a[-1:], b[-1:]) if waits else None
+        if keep.any():
+            yield batch_of(h[keep], n[keep], places[keep], a[keep], b[keep])
+        first, place = False, int(places[-1])
+    if held is not None:
+        yield batch_of(*held)
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,54 +236,53 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows sorted by (h, lo, hi): pairs of blocks lo and hi of a tile, one of them outside its largest
-    component, of different components, whose sizes and bitmap signatures don't rule them out."""
+    """(a, b) from rows (lo, hi, bid, k, n, root, in_major, sig) sorted by (lo, hi): pairs of the blocks lo and hi, one of
+    which is outside its tile's largest component, of different components, whose sizes and signatures don't rule them out."""
     group, rows, seen = None, [], set()
 
     def compare() -> list[tuple[bytes, bytes]]:
-        out = []
-        lo, hi = group[1], group[2]
-        left = [r for r in rows if r[0] == lo]
-        right = left if lo == hi else [r for r in rows if r[0] == hi]
-        for ours, theirs, twice in ((left, right, True), (right, left, False)) if lo != hi else ((left, right, True),):
-            theirs_n = np.array([r[2] for r in theirs])
-            roots = [r[3] for r in theirs]
-            # By length of the signature: those of one length are compared as one matrix.
-            shapes: dict[int, list[int]] = {}
-            for j, r in enumerate(theirs):
-                shapes.setdefault(len(r[5]), []).append(j)
-            matrices = {size: (np.array(at), np.frombuffer(b"".join(theirs[j][5] for j in at), np.uint64).reshape(len(at), -1)) for size, at in shapes.items()}
-            for r in ours:
-                if r[4]:  # of the tile's largest component
-                    continue
-                for at, matrix in matrices.values():
-                    x, y = np.frombuffer(r[5], np.uint64), matrix
-                    while len(x) > y.shape[1]:
-                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                    while y.shape[1] > len(x):
-                        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-                    n = theirs_n[at]
-                    differ = np.bitwise_count(y ^ x).sum(axis=1, dtype=np.int64)
-                    near = sum(LIKE) * ((n + r[2] - differ) // 2) >= LIKE[0] * (n + r[2])
-                    near &= (LIKE[0] * n <= LIKE[1] * r[2]) & (LIKE[0] * r[2] <= LIKE[1] * n)
-                    for j in at[near].tolist():
-                        if roots[j] != r[3]:
-                            pair = (min(r[1], theirs[j][1]), max(r[1], theirs[j][1]))
-                            if pair not in seen:
-                                if len(seen) < 500_000:
-                                    seen.add(pair)
-                                out.append(pair)
+        out, (lo, hi) = [], group
+        ours, theirs = ([r for r in rows if r[0] == bid] for bid in (lo, hi))
+        if any(r[4] for r in ours):
+            ours, theirs = theirs, ours
+        theirs_n = np.array([r[2] for r in theirs])
+        roots = [r[3] for r in theirs]
+        # By length of the signature: those of one length are compared as one matrix.
+        shapes: dict[int, list[int]] = {}
+        for j, r in enumerate(theirs):
+            shapes.setdefault(len(r[5]), []).append(j)
+        matrices = [(np.array(at), np.frombuffer(b"".join(theirs[j][5] for j in at), np.uint64).reshape(len(at), -1)) for at in shapes.values()]
+        for r in ours:
+            if r[4]:  # of the tile's largest component
+                continue
+            for at, matrix in matrices:
+                x, y = np.frombuffer(r[5], np.uint64), matrix
+                while len(x) > y.shape[1]:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while y.shape[1] > len(x):
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                n = theirs_n[at]
+                differ = np.bitwise_count(y ^ x).sum(axis=1, dtype=np.int64)
+                near = sum(LIKE) * ((n + r[2] - differ) // 2) >= LIKE[0] * (n + r[2])
+                near &= (LIKE[0] * n <= LIKE[1] * r[2]) & (LIKE[0] * r[2] <= LIKE[1] * n)
+                for j in at[near].tolist():
+                    if roots[j] != r[3]:
+                        pair = (min(r[1], theirs[j][1]), max(r[1], theirs[j][1]))
+                        if pair not in seen:
+                            if len(seen) < REMEMBERED // 2:
+                                seen.add(pair)
+                            out.append(pair)
         return out
 
     def batch_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        for h, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (h, lo, hi) != group:
+        for lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (lo, hi) != group:
                 if group and (pairs := compare()):
                     yield batch_of(pairs)
-                group, rows = (h, lo, hi), []
+                group, rows = (lo, hi), []
             rows.append(row)
     if group and (pairs := compare()):
         yield batch_of(pairs)
@@ -279,7 +298,7 @@ def linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def array_rows(wanted):
+def array_rows(wanted, bits: int):
     """(k, x): the sorted arrays of the sets whose digests the bitmap has, equal ones of a task's rows once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +308,10 @@ def array_rows(wanted):
             for s in sets:
                 k = _digest(s)
                 if k is not None and k not in seen:
-                    mark = int.from_bytes(k[:4], "big") >> 32 - MARK_BITS
+                    mark = int.from_bytes(k[:4], "big") >> 32 - bits
                     if bitmap[mark >> 3] >> (mark & 7) & 1:
-                        seen.add(k)
+                        if len(seen) < REMEMBERED:
+                            seen.add(k)
                         found.append((k, s.tobytes()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["k", "x"])
@@ -299,9 +319,9 @@ def array_rows(wanted):
     return kernel
 
 
-def digest_marks(k: Column) -> Column:
-    """The first MARK_BITS bits of a digest, as a number."""
-    return F.shiftright(F.conv(F.hex(F.substring(k, 1, 4)), 16, 10).cast("long"), 32 - MARK_BITS)
+def digest_marks(k: Column, bits: int) -> Column:
+    """The first bits of a digest, as a number."""
+    return F.shiftright(F.conv(F.hex(F.substring(k, 1, 4)), 16, 10).cast("long"), 32 - bits)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -310,7 +330,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     def stars(e: DataFrame, large: bool) -> DataFrame:
         # Every node's smallest neighbour, itself included; large: larger neighbours go to it, small: smaller ones do.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # Written, so that both sides of the join are plain exchanges, in which the edges of a hub can be split.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"{name}-least")
+        used.append(least)
         joined = both.join(least, "u")
         if large:
             return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -318,10 +340,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         return others.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    e = materialize(e, name)
+    e, used = materialize(e, name), []
     while True:
-        before, e = e, materialize(stars(stars(e, True), False), name)
-        discard(before)
+        used.append(e)
+        wide = materialize(stars(e, True), name)
+        e = materialize(stars(wide, False), name)
+        discard(*used, wide)
+        used.clear()
         # All stars: every node has one edge, and none of them is a centre too.
         one_each = e.groupBy("u").count().filter("count > 1").limit(1).count() == 0
         if one_each and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count() == 0:
@@ -338,36 +363,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = materialize(rows.mapInArrow(member_rows, f"doc_id {kind}, n bigint, k binary, sig binary"), "sets")
-    spark = docs.sparkSession
+    members = materialize(rows.mapInArrow(member_rows, f"doc_id {kind}, n bigint, k binary, sig binary, marks array<int>"), "sets")
+    spark, bits = docs.sparkSession, mark_bits(members.count())
 
-    marked = _bitmap(docs.select("text").mapInArrow(frequent_rows, "mark bigint, n bigint").select("mark").distinct())
+    marked = _bitmap(members.select(F.explode("marks").alias("mark")).select(F.shiftright("mark", MOST_BITS - bits).alias("mark")).distinct(), bits)
     for again in (True, True, False):
         bitmap = spark.sparkContext.broadcast(marked)
-        prefixes = docs.select("text").mapInArrow(prefix_rows(bitmap), "h bigint, n int, ka bigint, kb bigint")
-        tiles = prefixes.repartition("h").sortWithinPartitions("h", "n", "ka", "kb")
-        tiles = materialize(tiles.mapInArrow(shared_rows, "h bigint, n bigint, place bigint, sets bigint, k binary"), "tiles")
-        long = tiles.filter(F.col("sets") > TILE).select(F.shiftright("h", 64 - MARK_BITS).bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")).distinct()
-        more = _bitmap(long, marked)
+        # Written first: to find the ranges, the rows are read twice.
+        prefixes = materialize(docs.select("text").mapInArrow(prefix_rows(bitmap, bits), "h bigint, n int, ka bigint, kb bigint"), "prefixes")
+        order = ("h", "n", "ka", "kb")
+        dealt = prefixes.repartitionByRange(*order).sortWithinPartitions(*order)
+        tiles = materialize(dealt.mapInArrow(shared_rows, "h bigint, sub bigint, n bigint, place bigint, k binary"), "tiles")
+        discard(prefixes)
+        alike = tiles.groupBy("h").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("y"), F.count("*").alias("count")).filter("count > 1")
+        alike = materialize(alike, "alike")
+        long = alike.filter(F.col("count") > TILE).select(F.shiftright("h", 64 - bits).bitwiseAND(F.lit((1 << bits) - 1)).alias("mark")).distinct()
+        more = _bitmap(long, bits, marked)
         if more == marked or not again:
             break
-        discard(tiles)
+        discard(tiles, alike)
         marked = more
 
     # Tiles with the same sets have the same pairs: one of them is enough.
-    alike = tiles.groupBy("h").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("y"), F.count("*").alias("c"))
-    kept = alike.groupBy("x", "y", "c").agg(F.min("h").alias("h")).select("h")
-    every, tiles = tiles, materialize(tiles.join(kept, "h", "left_semi"), "tiles")
+    kept = alike.groupBy("x", "y", "count").agg(F.min("h").alias("h")).select("h")
+    every, tiles = tiles, materialize(spread_join(tiles, kept, alike.select("h", "count"), "h", "left_semi"), "tiles")
     sigs = members.filter("sig is not null").select("k", "n", "sig").join(tiles.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     sigs = materialize(sigs, "signatures")
-    discard(every)
+    discard(every, alike)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are links: arrays are made, in one more pass over the texts, of their sets only."""
         pairs = materialize(pairs, f"{name}-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(digest_marks(F.col("k")).alias("mark")).distinct()
-        wanted = spark.sparkContext.broadcast(_bitmap(ends))
-        arrays = materialize(docs.select("text").mapInArrow(array_rows(wanted), "k binary, x binary").repartition("k").dropDuplicates(["k"]), f"{name}-arrays")
+        if pairs.isEmpty():
+            return pairs
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(digest_marks(F.col("k"), bits).alias("mark")).distinct()
+        wanted = spark.sparkContext.broadcast(_bitmap(ends, bits))
+        arrays = materialize(docs.select("text").mapInArrow(array_rows(wanted, bits), "k binary, x binary").repartition("k").dropDuplicates(["k"]), f"{name}-arrays")
         x, y = (arrays.select(F.col("k").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
         out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(linked_pairs, "a binary, b binary"), name)
         discard(pairs, arrays)
@@ -378,33 +409,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         x, y = (sigs.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near_pairs, "a binary, b binary")
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    def neighbours(of: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-        """Pairs (a, b) of sets some places apart in a tile, of different components."""
-        step = F.explode(F.array(*[F.lit(s) for s in steps]))
-        p = of.withColumn("step", step).select("h", "n", "k", "root", (F.col("place") + F.col("step")).alias("place")).alias("p")
-        pairs = p.join(of.alias("q"), ["h", "place"]).filter((F.col("p.root") != F.col("q.root")) & (F.col("q.n") * LIKE[0] <= F.col("p.n") * LIKE[1]))
-        return pairs.select(*ordered(F.col("p.k"), F.col("q.k"))).distinct()
-
     # A few neighbours first: what they link needs no more pairs.
-    edges = verified(bounded(neighbours(tiles.withColumn("root", F.col("k")), STEPS)), "links")
+    step = F.explode(F.array(*[F.lit(s) for s in STEPS]))
+    p = tiles.withColumn("step", step).select("h", "sub", "n", "k", (F.col("place") + F.col("step")).alias("place")).alias("p")
+    next_to = p.join(tiles.alias("q"), ["h", "sub", "place"]).filter((F.col("p.k") != F.col("q.k")) & (F.col("q.n") * LIKE[0] <= F.col("p.n") * LIKE[1]))
+    next_to = next_to.select(F.least("p.k", "q.k").alias("a"), F.greatest("p.k", "q.k").alias("b")).distinct()
+    edges = verified(bounded(next_to), "links")
     tagged = tiles.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    largest = tagged.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = materialize(tagged.join(largest.select("h", "major"), "h"), "open")
-
-    # Then, of the tiles that still have several components, all pairs with a set outside the largest one. A large
-    # tile is cut into blocks, and a task compares two blocks.
-    block = (F.col("place") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), ((F.col("sets") - 1) / BLOCK).cast("int")))
-    dealt = open_.join(sigs.select("k", "sig"), "k").withColumns({"block": block, "other": other})
-    dealt = dealt.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "n", "root", (F.col("root") == F.col("major")).alias("in_major"), "sig")
-    rest = dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(tile_pairs, "a binary, b binary").distinct()
+    tagged = materialize(tagged, "tagged")
+
+    # Then the tiles that still have several components, in blocks: those of the largest one, and all others.
+    by_root = tagged.groupBy("h", "root").agg(F.count("*").alias("sets")).groupBy("h")
+    largest = materialize(by_root.agg(F.max_by("root", "sets").alias("major"), F.count("*").alias("roots"), F.sum("sets").alias("count")).filter("roots > 1"), "largest")
+    open_ = spread_join(tagged, largest.select("h", "major"), largest.select("h", "count"), "h", "inner")
+    side = ("h", "sub", "in_major")
+    open_ = open_.withColumn("in_major", F.col("root") == F.col("major")).withColumn("at", F.row_number().over(Window.partitionBy(*side).orderBy("n", "k")) - 1)
+    open_ = open_.withColumn("bid", F.xxhash64(*side, (F.col("at") / BLOCK).cast("long")))
+    open_ = materialize(open_.select("h", "bid", "k", "n", "root", "in_major"), "open")
+    blocks = materialize(open_.groupBy("h", "bid", "in_major").agg(F.min("n").alias("least"), F.max("n").alias("most")), "blocks")
+    one, two = blocks.alias("p"), blocks.alias("q")
+    meet = (F.col("p.bid") <= F.col("q.bid")) & ~(F.col("p.in_major") & F.col("q.in_major"))
+    meet &= (F.col("p.least") * LIKE[0] <= F.col("q.most") * LIKE[1]) & (F.col("q.least") * LIKE[0] <= F.col("p.most") * LIKE[1])
+    pairs = one.join(two, "h").filter(meet).select(F.col("p.bid").alias("lo"), F.col("q.bid").alias("hi"))
+    ends = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("bid"))
+    dealt = open_.join(sigs.select("k", "sig"), "k").join(ends, "bid").select("lo", "hi", "bid", "k", "n", "root", "in_major", "sig")
+    rest = dealt.repartition("lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(tile_pairs, "a binary, b binary").distinct()
     edges = edges.unionByName(verified(rest, "links"))
-    groups = components(edges, name="classes")
-    discard(tiles, sigs, open_)
-
-    classes = members.join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.coalesce("root", "k"))
-    smallest = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"))
-    out = classes.join(smallest, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    groups = components(edges, name="classes").withColumnRenamed("node", "k")
+    discard(tiles, sigs, tagged, largest, open_, blocks)
+
+    # A component's smallest id: first of each set, then of the linked sets; then back to the rows.
+    by_set = materialize(members.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("count")), "by-set")
+    linked = materialize(by_set.join(groups, "k"), "linked")
+    least = linked.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("count"))
+    of_set = spread_join(linked.select("k", "root"), least.select("root", "component_id"), least.select("root", "count"), "root", "inner").select("k", "component_id")
+    of_set = by_set.join(of_set, "k", "left").select("k", F.coalesce("component_id", "smallest").alias("component_id"))
+    out = spread_join(members.filter("k is not null").select("doc_id", "n", "k"), of_set, by_set.select("k", "count"), "k", "inner")
+    out = out.select("doc_id", "n", "component_id").unionByName(members.filter("k is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

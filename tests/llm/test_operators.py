@@ -186,6 +186,77 @@ def reshared(sizes: dict, share=1.5, cap=2.0) -> dict:
     return target
 
 
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of ints (as their Python type bool marks: True for 32 bits), longs; nulls leave the seed."""
+    seed = 42
+    for v, wide in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q" if wide else "<i", v), seed)
+    return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+
+def plain_mix(table: list[tuple], leaves: int) -> list[tuple]:
+    """(doc_id, size, taken) of rows (doc_id, size, source), by the definition of the reduction tree, one pair at a time."""
+    sizes = Counter()
+    for _, n, s in table:
+        sizes[s] += n
+    targets, out = reshared(sizes), []
+    for source in sizes:
+        rate = targets[source] / sizes[source] if sizes[source] else 0.0
+        sure, seen, items = int(rate), Counter(), []
+        for doc_id, n, s in table:
+            if s == source:
+                seen[doc_id, n] += 1
+                items.append((spark_hash((mixing.SEED + 1, False), (doc_id, True), (n, True), (seen[doc_id, n], True)), doc_id, n, (rate - sure) * n))
+        done, level, count = [], 0, len(items)
+        while True:
+            level += 1
+            n_leaves = max(1, -(-count // leaves))
+            dealt = defaultdict(list)
+            for x in items:
+                dealt[spark_hash((level, False), (x[0], True)) % n_leaves].append(x)
+            items = []
+            for leaf in dealt.values():
+                left = None
+                for x in sorted(leaf, key=lambda x: x[0]):
+                    if x[3] <= 0 or x[3] >= x[2]:
+                        done.append(x)
+                    elif left is None:
+                        left = x
+                    elif left[3] <= 0 or left[3] >= left[2]:
+                        done.append(left)
+                        left = x
+                    else:
+                        (ka, a, na, ma), (kb, b, nb, mb) = left, x
+                        up, down = min(na - ma, mb), min(ma, nb - mb)
+                        chance = ((spark_hash((mixing.SEED, False), (a, True), (b, True), (ka, True), (kb, True)) % 2**64) >> 11) / 2.0**53
+                        if chance * (up + down) < down:
+                            full = na - ma <= mb
+                            done.append((ka, a, na, float(na)) if full else (kb, b, nb, 0.0))
+                            left = (kb, b, nb, mb - up) if full else (ka, a, na, ma + up)
+                        else:
+                            full = nb - mb <= ma
+                            done.append((kb, b, nb, float(nb)) if full else (ka, a, na, 0.0))
+                            left = (ka, a, na, ma - down) if full else (kb, b, nb, mb + down)
+                if left is not None:
+                    items.append(left)
+            count = n_leaves
+            if n_leaves == 1:
+                break
+        out += [(i, n, sure * n + int(mass + 0.5)) for _, i, n, mass in done + items]
+    return out
+
+
+def test_mixing_deals_equal_rows_to_many_leaves(spark):
+    same = spark.range(30_000).select(F.lit(5).alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"))
+    frame = mixing.numbered(same.groupBy(F.lit(0).cast("long").alias("place"), F.col("doc_id").alias("id"), F.lit(3).cast("long").alias("size")).agg(F.count("*").alias("copies")).withColumns({"n": F.lit(30_000).cast("long"), "mass": F.lit(1.5)}))
+    assert frame.select("k").distinct().count() == 30_000
+    leaves = frame.groupBy(F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(235))).count().agg(F.max("count"), F.count("*")).first()
+    assert leaves[0] < 250 and leaves[1] == 235
+    out = mixing.mix(same)
+    assert out.agg(F.sum("taken")).first()[0] == 135_000 and out.count() == 30_000
+
+
 def test_mixing(docs, empty):
     size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
     out = mixing.mix(docs, leaves=4)
@@ -203,6 +274,8 @@ def test_mixing(docs, empty):
     for s, t in targets.items():
         assert abs(taken[s] - t) <= 1
     assert got(mixing.mix(docs.repartition(7), leaves=4), "doc_id", "size", "taken") == got(out, "doc_id", "size", "taken")
+    plain = plain_mix([(d, size(t), s) for d, t, _, s, _ in rows()], 4)
+    assert got(out, "doc_id", "size", "taken") == sorted(plain, key=str)
     assert mixing.mix(empty).count() == 0
 
 
@@ -282,7 +355,8 @@ def test_packing_reads_added_tokens_as_the_named_tokenizer(spark):
 # 6
 
 
-def plain_join(table: list[tuple]) -> list[tuple]:
+def plain_groups(table: list[tuple]) -> tuple[list[set], list[list[int]]]:
+    """Each row's set of shingles, and the rows of each group of linked ones; rows without words are groups of their own."""
     sets = []
     for _, text, *_ in table:
         w = re.findall("[^\x20\x09-\x0d]+", ascii_lower(text or ""))
@@ -298,10 +372,34 @@ def plain_join(table: list[tuple]) -> list[tuple]:
         for j in range(i):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
-    ids = defaultdict(list)
-    for i, (doc_id, *_) in enumerate(table):
-        ids[find(i)].append(doc_id)
-    return sorted(((table[i][0], len(sets[i]), min((x for x in ids[find(i)] if x is not None), default=None) if sets[i] else table[i][0]) for i in range(len(table))), key=str)
+    groups = defaultdict(list)
+    for i in range(len(table)):
+        groups[find(i)].append(i)
+    return sets, list(groups.values())
+
+
+def plain_join(table: list[tuple]) -> list[tuple]:
+    sets, groups = plain_groups(table)
+    out = []
+    for rows_ in groups:
+        least = min((table[i][0] for i in rows_ if table[i][0] is not None), default=None)
+        out += [(table[i][0], len(sets[i]), least if sets[i] else table[i][0]) for i in rows_]
+    return sorted(out, key=str)
+
+
+def plain_representatives(table: list[tuple]) -> list[tuple]:
+    """(doc_id, text) of the row that stays of each group: the smallest doc_id, nulls last, then the smallest hash."""
+
+    def order(i: int) -> tuple:
+        doc_id, text = table[i][0], table[i][1] or ""
+        return doc_id is None, doc_id or 0, *struct.unpack("<qq", struct.pack("<QQ", xxhash.xxh64_intdigest(text.encode(), 42), xxhash.xxh64_intdigest(text.encode(), xxhash_seed_1())))
+
+    return sorted((table[min(g, key=order)][:2] for g in plain_groups(table)[1]), key=str)
+
+
+def xxhash_seed_1() -> int:
+    """The seed with which Spark's xxhash64 goes on after a literal 1."""
+    return xxhash.xxh64_intdigest(struct.pack("<I", 1), 42)
 
 
 def test_ngram_join(docs, empty):
@@ -325,6 +423,50 @@ def test_ngram_join_of_chains_and_shared_passages(spark, monkeypatch):
     assert got(ngram_join.near_duplicates(d), "doc_id", "n_shingles", "component_id") == plain_join(table)
 
 
+def test_ngram_join_of_one_large_tile_in_small_blocks(spark, monkeypatch):
+    """Many texts that are one passage and a few words more, in several components, over more ranges than tiles."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    passages = [rng.choices(words, k=30) for _ in range(2)]
+    table = []
+    for i in range(160):
+        own = [f"own{i}x{k}" for k in range(rng.choice([0, 1, 2, 3, 40]))]
+        table.append((i % 70, " ".join(passages[i % 2] + own), "", "", 0))
+    table += [(500 + i, table[0][1], "", "", 0) for i in range(60)] + [(600, None, "", "", 0)] * 40
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "STEPS", (1,))
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        d = spark.createDataFrame(table, SCHEMA).repartition(6)
+        assert got(ngram_join.near_duplicates(d), "doc_id", "n_shingles", "component_id") == plain_join(table)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_shared_rows_stream_in_batches_of_any_size(monkeypatch):
+    import pyarrow as pa
+
+    class Context:
+        partitionId = staticmethod(lambda: 5)
+
+    monkeypatch.setattr(ngram_join.TaskContext, "get", staticmethod(lambda: Context))
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = sorted((h, 10 + k % 3, k, k) for h, k in ((rng.randint(0, 6), rng.randint(0, 5)) for _ in range(rng.randint(0, 25))))
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(0, 4)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + n]], pa.int64()) for i in range(4)], ["h", "n", "ka", "kb"]))
+            at += n
+        out = [tuple(r.values()) for b in ngram_join.shared_rows(iter(batches)) for r in b.to_pylist()]
+        once, want = sorted(set(rows)), []
+        for h in sorted({r[0] for r in rows}):
+            own = [r for r in once if r[0] == h]
+            if len(own) > 1 or h in (once[0][0], once[-1][0]):
+                want += [(h, 5, n, i, struct.pack("<2q", a, b)) for i, (_, n, a, b) in enumerate(own)]
+        assert out == want
+
+
 def test_signatures_bound_the_overlap():
     rng = np.random.default_rng(4)
     for n in (1, 50, 300, 2000):
@@ -559,7 +701,12 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     at = tmp_path / "sf"
-    spark.createDataFrame([r for r in rows() if r[0] is not None], SCHEMA).write.parquet(f"{at}/documents.parquet")
+    # Null and repeated ids, columns that clash with those of the stages.
+    table = [*rows(), (None, "no id here either, but other words", "en", "b", 0), (None, rows()[-1][1], "en", "a", 0), (60, "another text of a doc_id that is taken", "en", "a", 0)]
+    made = spark.createDataFrame(table, SCHEMA)
+    for name in ("_id", "_rank", "size", "taken", "score", "k", "n_dropped", "_key"):
+        made = made.withColumn(name, F.lit("clash"))
+    made.write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60, 90)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     docs, ids = spark.read.parquet(f"{at}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
@@ -569,9 +716,11 @@ def test_pipeline(spark, tmp_path):
         if name != "packing":
             assert docs.columns == corpus_pipeline.COLUMNS
         ids[name] = [r["doc_id"] for r in docs.collect()]
-    assert sorted(ids["toxicity"]) == sorted(ids["line_dedup"]) == sorted(r[0] for r in rows() if r[0] is not None)
-    deduped = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{at}/line_dedup").collect()]
-    assert sorted(ids["near_duplicates"]) == sorted({d for d, _, c in plain_join(deduped) if d == c})
+    assert Counter(ids["toxicity"]) == Counter(ids["line_dedup"]) == Counter(r[0] for r in table)
+    stage_rows = lambda stage: [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{at}/{stage}").collect()]
+    assert sorted(stage_rows("near_duplicates"), key=str) == plain_representatives(stage_rows("line_dedup"))
+    kept = {(d, t) for d, t in stage_rows("near_duplicates")}
+    assert {t for t in stage_rows("source_mix") if not any(t[0] == d and (x or "").startswith(t[1]) for d, x in kept)} == set()
     words = lambda stage: sum(len((r["text"] or "").split()) for r in spark.read.parquet(f"{at}/{stage}").collect())
     assert abs(words("source_mix") - 1.5 * words("near_duplicates")) <= 8
     assert set(ids["packing"]) == set(ids["source_mix"])
@@ -582,9 +731,25 @@ def test_pipeline_near_duplicates_by_row(spark):
     import corpus_pipeline
 
     a, b, c, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abce")
-    table = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, c), (None, e), (None, e), (None, a), (None, ""), (None, None), (4, "")]
+    table = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, c), (None, e), (None, e), (None, a), (None, ""), (None, None), (4, ""), (7, "some text"), (7, "another one"), (7, c + e), (7, "some text")]
     for turned in (table, table[::-1]):
         d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in turned], SCHEMA)
         kept = corpus_pipeline.drop_near_duplicates(spark, d, "")
-        want = [(1, a), (2, b), (None, c), (None, e), (None, ""), (None, None), (4, "")]
-        assert got(kept, "doc_id", "text") == sorted(want, key=str)
+        want = [(1, a), (2, b), (None, c), (None, e), (None, ""), (None, None), (4, ""), (7, "some text"), (7, "another one"), (7, c + e)]
+        assert got(kept, "doc_id", "text") == sorted(want, key=str) == plain_representatives(table)
+
+
+def test_pipeline_of_an_empty_table_and_of_a_very_long_text(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(f"w{i % 4001}" for i in range(120_000))
+    for name, table in (("none", []), ("long", [(1, long, "en", "a", len(long)), (2, None, None, None, None)])):
+        docs = spark.createDataFrame(table, SCHEMA)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            at = f"{tmp_path}/{name}-{_}"
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
+        n = sum(r["length"] for r in docs.collect())
+        assert n == 0 if not table else n > 1.5 * 120_000
