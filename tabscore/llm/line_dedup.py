@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import ascii_lower, shared_dir
+from tabscore.llm.common import ascii_lower, materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -158,7 +158,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     # Two hashes with different seeds: 128 bits.
     lines = keys.filter(F.length("key") >= min_chars).select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"), "doc_id", "text_key", "n_lines", "line")
     order = [F.col("a"), F.col("b"), F.col("doc_id").desc_nulls_last(), F.col("line")]
-    shared_dir(docs.sparkSession)
+    # Written first: to find the ranges, the rows are read twice, and splitting and hashing texts is most of the work.
+    lines = materialize(lines, "line-hashes")
     # The checkpoint keeps partitions and their order, so both passes stream the same ranges.
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long")).checkpoint()
     crossing = crossing_runs([tuple(r) for r in ranged.mapInArrow(boundary_records, BOUNDARY).collect()])
