@@ -30,18 +30,27 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted one by one. Fixed values.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: label, threshold, text. Notices of public licenses.
+#: label, threshold, text. Notices of public licenses. A user's own are a parameter of license_scan.
 NOTICES = [
+    ("agpl", 1.0, "gnu affero general public license"),
     ("apache-2.0", 1.0, "licensed under the apache license version 2 0"),
     ("apache-2.0", 0.8, "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses"),
+    ("boost-1.0", 1.0, "boost software license version 1 0"),
     ("bsd", 0.8, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", 0.8, "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc0-1.0", 0.8, "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("cc-by-nc", 1.0, "licensed under cc by nc 4 0"),
     ("cc-by-sa", 1.0, "licensed under cc by sa 4 0"),
+    ("epl-2.0", 0.8, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("gpl-notice", 0.8, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-3.0", 1.0, "licensed under the gnu general public license version 3"),
+    ("isc", 0.8, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", 1.0, "gnu lesser general public license"),
     ("mit", 1.0, "released under the mit license"),
     ("mit", 0.8, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
     ("mpl-2.0", 0.8, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", 0.8, "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", 0.8, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 ]
 
 
@@ -57,10 +66,11 @@ class Template:
         return len(self.tokens) - self.need + 1
 
 
-def catalogue() -> list[Template]:
-    """Phrases need all their words in a block; their places are then verified word by word."""
+def catalogue(notices: list[tuple[str, float, str]] = NOTICES) -> list[Template]:
+    """Phrases need all their words in a block; their places are then verified word by word. Notices: label, threshold,
+    and their words in lower case, parted by blanks."""
     made = [Template(k, tuple(dict.fromkeys(p.split())), len(set(p.split())), True) for k, p in PHRASES.items()]
-    for label, share, text in NOTICES:
+    for label, share, text in notices:
         tokens = tuple(dict.fromkeys(text.split()))
         made.append(Template(label, tokens, -(-round(share * 100) * len(tokens) // 100), False))
     return made
@@ -77,13 +87,13 @@ def token_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text"
     return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in rows}
 
 
-def license_scan(docs: DataFrame, text: str = "text", stride: int = STRIDE) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", stride: int = STRIDE, notices: list[tuple[str, float, str]] = NOTICES) -> DataFrame:
     """docs with the columns n_words, matches (array of label, block, containment, base) and places (label, word).
 
     Null and empty texts have no words, matches or places. Rows are scored one by one, so repeated rows, ties and
     null ids need no rule; a column of docs with the name of a new one is replaced.
     """
-    templates = catalogue()
+    templates = catalogue(notices)
     vocabulary = sorted({w for t in templates for w in t.tokens})
     frequency = token_frequencies(docs, vocabulary, text)
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency[w], w)))}
