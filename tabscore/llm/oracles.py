@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabscore.llm.license_scan import PHRASES, STRIDE, catalogue
-from tabscore.llm.secret_scan import ALLOWED, CLASSES
+from tabscore.llm.secret_scan import ALLOWED, ALPHANUMERIC, CLASSES
 
 _CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -70,9 +70,17 @@ _KINDS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]+",
-    "run": r"[0-9A-Za-z+/_=-]+",
+    "run": r"[0-9A-Za-z+/_-]+=*",
+    "alnum": r"[0-9A-Za-z]+=*",
 }
-_SHAPES = {"entropy-hex": ["[0-9a-fA-F]{20,}"], "entropy-base64": ["[0-9A-Za-z+/_-]{20,}={0,2}", ".*[0-9].*", ".*[a-z].*", ".*[A-Z].*"]}
+#: What a candidate is a maximal run of, the shapes that it has, and what can't follow it.
+_SHAPES = {
+    "entropy-hex": ("run", ["[0-9a-fA-F]{20,}"]),
+    "entropy-base64": ("run", ["[0-9A-Za-z+/_-]{20,}={0,2}", ".*[0-9].*", ".*[a-z].*", ".*[A-Z].*"]),
+    "entropy-lower": ("alnum", ["[0-9a-z]{20,}={0,6}", ".*[0-9].*", ".*[g-z].*"]),
+    "entropy-upper": ("alnum", ["[0-9A-Z]{20,}={0,6}", ".*[0-9].*", ".*[G-Z].*"]),
+}
+_AFTER = {"run": "[0-9A-Za-z+/_=-]", "alnum": "[0-9A-Za-z=]"}
 
 
 def secret_scan() -> str:
@@ -86,9 +94,10 @@ def secret_scan() -> str:
     least = {"assign": "length(part) >= 6", "access": "length(hit) >= 20", "hex": "length(hit) >= 24"}
     base = " OR ".join(f"kind = '{k}' AND {v}" for k, v in least.items())
     shaped = " UNION ALL ".join(
-        f"SELECT rid, {3 + k} AS rank, '{kind}' AS kind, start, hit, {window} AS width, {threshold} AS least FROM f WHERE kind = 'run' AND length(hit) >= 20 AND NOT regexp_matches(hit, {_text(ALLOWED)}) AND "
-        + " AND ".join(f"regexp_full_match(hit, '{p}')" for p in _SHAPES[kind])
-        for k, (kind, _, window, threshold) in enumerate(CLASSES)
+        f"SELECT rid, {3 + k} AS rank, '{kind}' AS kind, start, hit, {window} AS width, {threshold} AS least FROM f JOIN d USING (rid) WHERE kind = '{_SHAPES[kind][0]}' AND length(hit) >= 20 AND NOT regexp_matches(hit, {_text(ALLOWED)}) "
+        + f"AND NOT regexp_matches(substr(t, (start + length(hit) + 1)::BIGINT, 1), '{_AFTER[_SHAPES[kind][0]]}') AND "
+        + " AND ".join(f"regexp_full_match(hit, '{p}')" for p in _SHAPES[kind][1])
+        for k, (kind, _, window, threshold) in enumerate([*CLASSES, *ALPHANUMERIC])
     )
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

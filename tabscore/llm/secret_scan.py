@@ -39,64 +39,75 @@ ALPHANUMERIC = [
 ALLOWED = r"(?i)example|placeholder|your[_-]|changeme|x{6,}|0123456789|abcdefgh|qwerty|lorem"
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's first 1, 2, ... elements (one at least). Blocks of about sqrt(n) elements are summed up each
+    for itself, then raised by the totals of those before: no array of n elements is built anew n times."""
+
+    def fold(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+
+    def over(a: Column, width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / width).cast("int")), lambda k: fold(F.slice(a, k * width + 1, width)))
+
+        def raised(parts: Column) -> Column:
+            totals = fold(F.transform(parts, lambda x: F.try_element_at(x, F.lit(-1))))
+            return let(totals, lambda t: F.flatten(F.transform(parts, lambda x, k: F.transform(x, lambda v: v + F.coalesce(F.get(t, k - 1), F.lit(0))))))
+
+        return let(blocks, raised)
+
+    return let(values, lambda a: let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda width: over(a, width)))
+
+
 def located(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
     """array<struct<kind, start, stop, match>> of pattern's matches, leftmost and not overlapping, whose group has at least so many characters."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + (group > 0)))
     gaps = F.split(text, pattern, -1)
 
-    def spans(pieces: Column) -> Column:
-        """pieces: (gap before, match, its group); folds lengths into positions."""
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,stop:int,match:string>>").alias("found"))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            stop = start + F.length(x["match"])
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["match"].alias("match"))
-            return F.struct(stop.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-        return F.aggregate(pieces, zero, step)["found"]
+    def spans(rows: Column) -> Column:
+        """rows: (gap before, match, its group); a match ends where all gaps and matches so far end."""
+        stops = running_sums(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["match"])))
+        placed = F.zip_with(rows, stops, lambda x, stop: F.struct(F.lit(kind).alias("kind"), (stop - F.length(x["match"])).alias("start"), stop.alias("stop"), x["match"].alias("match"), x["part"].alias("part")))
+        kept = F.filter(placed, lambda x: F.length(x["part"]) >= least)
+        return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "stop", "match")]))
 
-    pieces = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("match"), part.alias("part")), lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), x["part"].alias("part")))
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("match"), part.alias("part"))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,match:string>>")
-    return F.when(text.rlike(pattern), let(pieces, spans)).otherwise(none)
+    return F.when(text.rlike(pattern), let(rows, spans)).otherwise(none)
 
 
 def hot_window(candidate: Column, window: int, threshold: float) -> Column:
     """struct<first, last> of the starts of the windows above the threshold; first is null if there are none.
 
-    The counts of characters are kept over the whole slide: a window's two changed counts, taken from the array of
-    counts by character code, give the change of S; nothing is counted anew.
+    Counts are kept for the distinct characters of the candidate over the whole slide. A step changes two of them, and
+    S by what these two were and become; nothing is counted anew.
     """
     xlogx = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    least_s = F.lit(window).cast("double") * F.log2(F.lit(float(window))) - threshold * window
 
-    def slide(codes: Column) -> Column:
-        start = F.struct(
-            F.transform(F.sequence(F.lit(0), F.lit(127)), lambda _: F.lit(0)).alias("n"),
-            F.lit(0.0).alias("s"),
-            F.lit(None).cast("int").alias("first"),
-            F.lit(None).cast("int").alias("last"),
-        )
-
-        def bump(n: Column, code: Column, by: int) -> Column:
-            return F.concat(F.slice(n, F.lit(1), code), F.array(F.get(n, code) + by), F.slice(n, code + 2, F.lit(128)))
+    def slide(letters: Column, at: Column) -> Column:
+        start = F.struct(F.transform(letters, lambda _: F.lit(0)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
         def step(acc: Column, i: Column) -> Column:
-            new = F.get(codes, i)
-            old = F.get(codes, i - window)
+            new, old = F.get(at, i), F.when(i >= window, F.get(at, i - window))
+            n, moved = acc["n"], old.isNull() | (F.get(at, i) != F.get(at, i - window))
+            gain = xlogx(F.get(n, new) + 1) - xlogx(F.get(n, new))
+            loss = F.when(old.isNotNull(), xlogx(F.get(n, old)) - xlogx(F.get(n, old) - 1)).otherwise(0.0)
+            counts = F.when(moved, F.transform(n, lambda x, j: x + F.when(j == new, 1).when(j == old, -1).otherwise(0))).otherwise(n)
 
-            def after_drop(n: Column, s: Column) -> Column:
-                grown = s + xlogx(F.get(n, new) + 1) - xlogx(F.get(n, new))
-                hot = (i >= window - 1) & (F.lit(window).cast("double") * F.log2(F.lit(float(window))) - grown > threshold * window)
-                return F.struct(bump(n, new, 1).alias("n"), grown.alias("s"), F.coalesce(acc["first"], F.when(hot, i - window + 1)).alias("first"), F.when(hot, i - window + 1).otherwise(acc["last"]).alias("last"))
+            def judged(s: Column) -> Column:
+                hot = F.when((i >= window - 1) & (s < least_s), i - window + 1)
+                return F.struct(counts.alias("n"), s.alias("s"), F.coalesce(acc["first"], hot).alias("first"), F.coalesce(hot, acc["last"]).alias("last"))
 
-            kept = F.when(i >= window, F.struct(bump(acc["n"], old, -1).alias("n"), (acc["s"] - xlogx(F.get(acc["n"], old)) + xlogx(F.get(acc["n"], old) - 1)).alias("s"))).otherwise(F.struct(acc["n"].alias("n"), acc["s"].alias("s")))
-            return let(kept, lambda k: after_drop(k["n"], k["s"]))
+            return let(acc["s"] + F.when(moved, gain - loss).otherwise(0.0), judged)
 
-        folded = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)
+        folded = F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), start, step)
         return F.struct(folded["first"].alias("first"), folded["last"].alias("last"))
 
-    return let(F.transform(F.split(candidate, ""), lambda c: F.ascii(c)), slide)
+    def of_codes(codes: Column) -> Column:
+        return let(F.array_distinct(codes), lambda letters: let(F.transform(codes, lambda c: (F.array_position(letters, c) - 1).cast("int")), lambda at: slide(letters, at)))
+
+    return let(F.transform(F.split(candidate, ""), lambda c: F.ascii(c)), of_codes)
 
 
 def _spans_of_class(text: Column, kind: str, pattern: str, window: int, threshold: float) -> Column:
