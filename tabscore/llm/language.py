@@ -10,6 +10,7 @@ FUNCTION_WORDS = {
     "es": "el los las y que en un una por con del para es como más pero su al lo se está son",
 }
 LEAST_SHARE = 0.02
+LONGEST = max(len(w.encode()) for words in FUNCTION_WORDS.values() for w in words.split())
 
 
 class Language:
@@ -19,15 +20,27 @@ class Language:
             for w in words.split():
                 self.of[w.encode()] = (*self.of.get(w.encode(), ()), language)
 
-    def __call__(self, text: bytes) -> str:
-        """en, de, fr or es if their words are frequent enough; else latin, if most letters are Latin, or other."""
-        words = text.lower().split()
-        votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
-        for languages in filter(None, map(self.of.get, words)):
-            for language in languages:
-                votes[language] += 1 / len(languages)
+    def __call__(self, text: bytes, counts: dict[bytes, int] | None = None) -> str:
+        """en, de, fr or es if their words are frequent enough; else latin, if most letters are Latin, or other.
+
+        counts: how often each word of the text occurs, where that is known already.
+        """
+        votes, n = dict.fromkeys(FUNCTION_WORDS, 0.0), 0
+        of = self.of
+        if counts is None:
+            words = text.lower().split()
+            n = len(words)
+            for languages in filter(None, map(of.get, words)):
+                for language in languages:
+                    votes[language] += 1 / len(languages)
+        else:
+            for word, times in counts.items():
+                n += times
+                if len(word) <= LONGEST and (languages := of.get(word.lower())):
+                    for language in languages:
+                        votes[language] += times / len(languages)
         best = max(votes, key=votes.get)
-        if words and votes[best] >= LEAST_SHARE * len(words):
+        if n and votes[best] >= LEAST_SHARE * n:
             return best
         if text.isascii():
             return "latin"

@@ -1,15 +1,13 @@
 """Quality rules: word and line counts, and how well public tokenizers fit a text.
 
 Three measures of fertility over the whole text: characters for each token of a byte-level BPE vocabulary, the share
-of characters that a piece vocabulary can only write as bytes, and the entropy of the token ids over the most that so
-many tokens could have. A text's language is told by its function words, its script by its letters; each has its own
-bands, and a text outside one of them is rejected.
+of a piece vocabulary's pieces that are single bytes, as it has no other for them, and the entropy of the token ids in
+bits. A text's language is told by its function words, its script by its letters; each has its own bands, and a text
+outside one of them is rejected.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +20,16 @@ from tabscore.llm.language import Language
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 MEASURES = "language string, chars_per_token double, byte_share double, entropy double"
 MIN_WORDS = 50
-#: Bands by language or script: least and most characters a token, most byte share, least relative entropy. The bands
-#: are wide: they are to catch texts that no tokenizer was made for, not unusual prose.
+#: Bands by language or script: least and most characters a token, most byte share, least and most bits of entropy. The
+#: bands are wide: they are to catch texts that no tokenizer was made for, not unusual prose.
 BANDS = {
-    "en": (1.5, 7.0, 0.05, 0.45),
-    "de": (1.2, 7.0, 0.05, 0.45),
-    "fr": (1.2, 7.0, 0.05, 0.45),
-    "es": (1.2, 7.0, 0.05, 0.45),
+    "en": (1.5, 7.0, 0.05, 3.5, 13.0),
+    "de": (1.2, 7.0, 0.05, 3.5, 13.0),
+    "fr": (1.2, 7.0, 0.05, 3.5, 13.0),
+    "es": (1.2, 7.0, 0.05, 3.5, 13.0),
     # Latin script without the function words of a known language: any of its languages, however an English vocabulary fits.
-    "latin": (1.2, 8.0, 0.10, 0.40),
-    "other": (0.3, 8.0, 0.50, 0.40),
+    "latin": (1.2, 8.0, 0.10, 3.0, 13.5),
+    "other": (0.3, 8.0, 0.50, 3.0, 14.0),
 }
 #: Most symbols (those of n_symbols) a word in Latin script without a known language: prose of any language has few.
 MOST_SYMBOLS = 0.1
@@ -54,7 +52,8 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(held.sum())
 
 
-def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
+def base_counts(text: bytes) -> tuple[tuple[int, int, int, int, int, bool], dict[bytes, int]]:
+    """The base columns, and how often each word occurs."""
     words = text.split()
     n = len(words)
     points = sum(map(len, words)) - _continuations(text)
@@ -63,7 +62,8 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
     repeated = repeated_words(ids)
-    return n, points, symbols, len(lines) - len(set(lines)), repeated, n < MIN_WORDS or 100 * repeated > 50 * n
+    occurs = dict(zip(number, np.bincount(ids).tolist(), strict=True)) if n else {}
+    return (n, points, symbols, len(lines) - len(set(lines)), repeated, n < MIN_WORDS or 100 * repeated > 50 * n), occurs
 
 
 _HIGH = bytes(range(0x80, 0xC0))
@@ -76,37 +76,29 @@ def _continuations(text: bytes) -> int:
 
 class Fertility:
     def __init__(self):
-        import public_tokenizers as public
-        import sentencepiece
+        from tabscore.llm.tokens import ByteBPE, PieceBPE
 
-        from tabscore.llm.tokens import ByteBPE
+        self.bpe, self.pieces, self.language = ByteBPE(), PieceBPE(), Language()
 
-        self.bpe, self.language = ByteBPE(), Language()
-        pieces = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
-        known = {p for i in range(pieces.get_piece_size()) if len(p := pieces.id_to_piece(i)) == 1 and not pieces.is_byte(i)}
-        self.foreign = re.compile(f"[^{re.escape(''.join(sorted(known)))}\\s]")
-
-    def __call__(self, text: bytes) -> tuple[str, float | None, float, float | None]:
-        """language or script, characters a token, byte share, relative entropy; nulls for a text without words."""
+    def __call__(self, text: bytes, words: dict[bytes, int]) -> tuple[str, float | None, float, float | None]:
+        """language or script, characters a token, byte share, bits of entropy; nulls for a text without words."""
         plain = text.decode("utf-8", "replace")
-        tag = self.language(text)
-        if not plain.strip():
+        tag = self.language(text, words)
+        if not words:
             return tag, None, 0.0, None
         ids = self.bpe.encode(plain)
-        counts = np.unique(ids, return_counts=True)[1]
-        p = counts / len(ids)
-        most = math.log2(min(len(ids), 4096)) if len(ids) > 1 else 0.0
-        entropy = float(-(p * np.log2(p)).sum()) / most if most else 0.0
-        foreign = 0 if plain.isascii() else len(self.foreign.findall(plain))
-        return tag, len(plain) / len(ids), foreign / len(plain), min(1.0, entropy)
+        p = np.bincount(ids)
+        p = p[p > 0] / len(ids)
+        pieces, single = self.pieces(words)
+        return tag, len(plain) / len(ids), single / pieces if pieces else 0.0, float(-(p * np.log2(p)).sum())
 
 
 def verdict(tag: str, chars: float | None, share: float, entropy: float | None, symbols: float = 0.0) -> bool:
     """symbols: symbols a word."""
     if tag == "latin" and symbols > MOST_SYMBOLS:
         return False
-    low, high, most_bytes, least_entropy = BANDS.get(tag, BANDS["other"])
-    return chars is not None and low <= chars <= high and share <= most_bytes and entropy >= least_entropy
+    low, high, most_bytes, least_bits, most_bits = BANDS.get(tag, BANDS["other"])
+    return chars is not None and low <= chars <= high and share <= most_bytes and least_bits <= entropy <= most_bits
 
 
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +109,8 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 1024):
             batch, rows = whole.slice(at, 1024), []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                base = base_counts(text or b"")
-                measured = fertility(text or b"")
+                base, words = base_counts(text or b"")
+                measured = fertility(text or b"", words)
                 rows.append((*base, *measured, not base[-1] and verdict(*measured, base[2] / max(base[0], 1))))
             cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])

@@ -13,8 +13,8 @@ _MIXED = re.compile(r"\s")
 
 class ByteBPE:
     """Encodes whole texts. A word with the space before it is split off and merged alone by the vocabulary's rules, so
-    its ids are the same wherever it stands; texts with other white space at a word's edge are encoded whole. encode()
-    reads the vocabulary's added tokens as plain text; named() gives them their own ids, as the named tokenizer does."""
+    its ids are the same wherever it stands; texts with other white space at a word's edge are encoded whole. A text
+    that holds an added token of the vocabulary's JSON goes to the named tokenizer, which gives the token its own id."""
 
     def __init__(self, name: str = "byte_bpe_50k", words: int = 300_000):
         import public_tokenizers as public
@@ -22,27 +22,19 @@ class ByteBPE:
 
         with open(public.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.slow_path = public.path(f"{name}.json")
+        self.json = public.path(f"{name}.json")
+        with open(self.json, encoding="utf-8") as file:
+            self.added = re.compile("|".join(re.escape(t["content"]) for t in json.load(file).get("added_tokens", ())) or r"(?!)")
         self.plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow, self.words, self.limit = None, {}, words
-        self.name_of, self.default = None, None
-
-    def added(self, text: str) -> bool:
-        """Whether the text holds an added token of the vocabulary's JSON."""
-        if self.name_of is None:
-            with open(self.slow_path, encoding="utf-8") as file:
-                self.name_of = re.compile("|".join(re.escape(t["content"]) for t in json.load(file).get("added_tokens", ())) or r"(?!)")
-        return self.name_of.search(text) is not None
-
-    def named(self, text: str) -> np.ndarray:
-        """The ids of the named tokenizer at its defaults, but for special tokens of its own: an added token in the text is one id."""
-        if not self.added(text):
-            return self.encode(text)
-        if self.default is None:
+        self.known, self.words, self.tokenizer = {}, words, None
+
+    def named(self, text: str) -> list[int]:
+        """The ids of the named tokenizer at its defaults, but for special tokens of its own."""
+        if self.tokenizer is None:
             from tokenizers import Tokenizer
 
-            self.default = Tokenizer.from_file(self.slow_path)
-        return np.array(self.default.encode(text, add_special_tokens=False).ids, np.uint16)
+            self.tokenizer = Tokenizer.from_file(self.json)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def whole(self, text: str) -> list[int]:
         try:
@@ -50,19 +42,16 @@ class ByteBPE:
         except BaseException as e:  # the fast library gives up on very long runs of one kind
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.slow_path)
-                self.slow.encode_special_tokens = True
-            return self.slow.encode(text, add_special_tokens=False).ids
+            return self.named(text)
 
     def encode(self, text: str) -> np.ndarray:
         """The text's ids, as unsigned 16-bit numbers."""
         if not text:
             return np.empty(0, np.uint16)
+        if self.added.search(text):
+            return np.array(self.named(text), np.uint16)
         parts = text.split(" ")
-        known, out = self.words, []
+        known, out = self.known, []
         for k, part in enumerate(parts):
             ids = known.get(part)
             if ids is None or k == 0:
@@ -73,8 +62,40 @@ class ByteBPE:
                     continue
                 ids = np.array(self.whole(" " + part), np.uint16).tobytes()
                 if len(part) < 40:
-                    if len(known) >= self.limit:
+                    if len(known) >= self.words:
                         known.clear()
                     known[part] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.uint16)
+
+
+class PieceBPE:
+    """Counts the pieces of a vocabulary with byte fallback, word by word (pieces don't cross white space)."""
+
+    def __init__(self, name: str = "piece_bpe_32k", words: int = 300_000):
+        import public_tokenizers as public
+        import sentencepiece
+
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=public.path(f"{name}.model"))
+        self.known, self.words = {}, words
+
+    def of_word(self, word: str) -> tuple[int, int]:
+        """Pieces, and those of them that are single bytes."""
+        ids = self.pieces.encode(word)
+        return len(ids), sum(map(self.pieces.is_byte, ids))
+
+    def __call__(self, words: dict[bytes, int]) -> tuple[int, int]:
+        """Pieces and byte pieces of a text's words, given how often each occurs."""
+        pieces = single = 0
+        known = self.known
+        for word, n in words.items():
+            counts = known.get(word)
+            if counts is None:
+                counts = self.of_word(word.decode("utf-8", "replace"))
+                if len(word) < 40:
+                    if len(known) >= self.words:
+                        known.clear()
+                    known[word] = counts
+            pieces += n * counts[0]
+            single += n * counts[1]
+        return pieces, single
