@@ -90,9 +90,45 @@ def test_license_scan(docs, empty):
     assert license_scan.labels_of(license_scan.license_scan(empty)).count() == 0
 
 
+def test_license_scan_with_notices_of_the_user(spark):
+    texts = ["we give it away under our house rules two", "give it under the rules", "a GNU Lesser General Public License v3", "gnu affero general public license", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    own = license_scan.labels_of(license_scan.license_scan(d, notices=[("house", 0.8, "give it away under our house rules")]))
+    assert got(own, "doc_id", "labels") == [(0, "house"), (1, ""), (2, "gpl"), (3, "gpl"), (4, "")]
+    assert got(license_scan.labels_of(license_scan.license_scan(d)), "doc_id", "labels") == [(0, ""), (1, ""), (2, "gpl,lgpl"), (3, "agpl,gpl"), (4, "")]
+
+
 # 2
 
 
+def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark):
+    table = [(i, f"text {i} {'x' * (i % 50)}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in table] + [(1, f"another text of 1, {k}") for k in range(300)] + [(2, "text 2 xx")] * 200, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id int, toxic int")
+    out = toxicity.sample(docs, labels, most_rows=100).collect()
+    assert Counter(r["label"] for r in out) == {0: 50, 1: 50} and len({r["text"] for r in out}) == 100
+    out = toxicity.sample(docs, labels, most_rows=100, most_bytes=1200).collect()
+    assert out and max(Counter(r["label"] for r in out).values()) < 40
+    for label in (0, 1):
+        assert sum(len(r["text"]) for r in out if r["label"] == label) <= 600
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    everything = {r["text"] for r in toxicity.sample(docs, labels).collect()}
+    assert everything == {t for i, t in [*[r[:2] for r in table], *[(1, f"another text of 1, {k}") for k in range(300)]] if i not in held}
+
+
+def test_every_language_has_a_threshold_of_its_own():
+    rng = np.random.default_rng(3)
+    model = toxicity.train([])
+    rows_ = [(float(rng.normal(2.0 * y + shift)), y, tag) for tag, shift, n in (("en", 0.0, 300), ("de", 1.0, 25), ("fr", -1.0, 12), ("es", 2.0, 4)) for y in (0, 1) for _ in range(n)]
+    toxicity.calibrate(model, [*rows_, (0.3, 0, "latin")])
+    z, y, tags = (np.array(c) for c in zip(*rows_, strict=True))
+    common = toxicity.best_threshold(np.append(z, 0.3), np.append(y, 0))
+    for tag, n in (("en", 300), ("de", 25), ("fr", 12), ("es", 4)):
+        own = toxicity.best_threshold(z[tags == tag], y[tags == tag])
+        assert model.thresholds[tag] == pytest.approx((n * own + toxicity.SHRINK * common) / (n + toxicity.SHRINK))
+    assert len({model.thresholds[t] for t in ("en", "de", "fr", "es")}) == 4 and "latin" not in model.thresholds
+
+
 def test_toxicity_learns_words_and_beginnings(spark, empty):
     rng = random.Random(3)
     clean = [f"w{rng.randint(0, 300)}" for _ in range(3000)]
@@ -296,7 +332,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = packing.pack(docs)
     pieces = out.collect()
     ids = Counter()
@@ -329,7 +364,6 @@ def test_token_cache_agrees_with_whole_texts():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng, mine = random.Random(2), ByteBPE(words=50)
     alphabet = ["a", "B", "é", "'s", "12", " ", "  ", "\n", "\t", " ", "　", "東", "!", "<|endoftext|>", "\x00", "\x1f", "🙂", "ß"]
     for _ in range(600):
@@ -512,7 +546,18 @@ def test_fingerprints(docs, empty):
     for d, t, *_ in rows():
         texts[d].add(t or "")
     single = sorted(d for d in texts if d is not None and len(texts[d]) == 1 and d >= 10)
+
+    def plain_likeness(a: str, b: str) -> float:
+        if not a or not b:
+            return float(a == b)
+        agree = sum(x == y for x, y in zip(re.findall("..", a), re.findall("..", b), strict=True)) / fingerprint.BINS
+        return min(1.0, max(0.0, (agree - 2.0**-fingerprint.BITS) / (1 - 2.0**-fingerprint.BITS)))
+
     for r in out:
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        if r["doc_id"] in single[:-1]:
+            (after,) = texts[single[single.index(r["doc_id"]) + 1]]
+            assert r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], plain_fingerprint(after)))
         assert r["fingerprint"] in {plain_fingerprint(t) for t in texts[r["doc_id"]]}
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         if r["doc_id"] in single[:-1]:
@@ -555,8 +600,28 @@ def test_fingerprints_of_short_texts_hang_on_no_single_bin(spark):
 # 8
 
 
-def test_quality_rules(docs, empty):
-    want = []
+def plain_measures(text: str, encoders: dict) -> tuple:
+    """characters a token, byte share, bits of entropy, from the public encoders over the whole text."""
+    w = re.findall("[^\x20\x09-\x0d]+", text)
+    if not w:
+        return None, 0.0, None
+    ids = encoders["bytes"].encode(text, add_special_tokens=False).ids
+    pieces = encoders["pieces"].encode(" ".join(w))
+    bits = -sum(n / len(ids) * np.log2(n / len(ids)) for n in Counter(ids).values())
+    return len(text) / len(ids), sum(map(encoders["pieces"].is_byte, pieces)) / len(pieces), bits
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    return {"bytes": Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "pieces": sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))}
+
+
+def test_quality_rules(docs, empty, encoders):
+    want, measured = [], defaultdict(list)
     for doc_id, text, *_ in rows():
         t = text or ""
         w = re.findall("[^\x20\x09-\x0d]+", t)
@@ -567,13 +632,50 @@ def test_quality_rules(docs, empty):
             if re.search("[^\x20\x09-\x0d]", x):
                 dup += x in seen
                 seen.add(x)
-        want.append((doc_id, len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), dup, len(marked), len(w) < 50 or 100 * len(marked) > 50 * len(w)))
+        symbols = len(re.findall("[#*$%&|<>]", t))
+        failed = len(w) < 50 or 100 * len(marked) > 50 * len(w)
+        chars, share, bits = plain_measures(t, encoders)
+        measured[doc_id].append((chars, share, bits))
+        tag = plain_language(t)
+        low, high, most, least_bits, most_bits = quality_rules.BANDS[tag]
+        kept = not failed and low <= chars <= high and share <= most and least_bits <= bits <= most_bits and not (tag == "latin" and symbols > quality_rules.MOST_SYMBOLS * len(w))
+        want.append((doc_id, len(w), sum(map(len, w)), symbols, dup, len(marked), failed, kept))
     out = quality_rules.verdicts(docs)
-    assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=str)
-    assert out.filter("base_failed and kept").count() == 0
+    assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted(want, key=str)
+    assert 5 < sum(w[-1] for w in want) < len(want)
+    for r in out.collect():
+        own = (r["chars_per_token"], r["byte_share"], r["entropy"])
+        assert any(own == pytest.approx(m) for m in measured[r["doc_id"]])
     assert quality_rules.verdicts(empty).count() == 0
 
 
+def plain_language(text: str) -> str:
+    from tabscore.llm import language
+
+    w, votes = [x.lower() if x.isascii() else ascii_lower(x) for x in re.findall("[^\x20\x09-\x0d]+", text)], Counter()
+    lists = {k: v.split() for k, v in language.FUNCTION_WORDS.items()}
+    for x in w:
+        of = [k for k, v in lists.items() if x in v]
+        for k in of:
+            votes[k] += 1 / len(of)
+    best = max(lists, key=lambda k: votes[k])
+    if w and votes[best] >= language.LEAST_SHARE * len(w):
+        return best
+    letters = [c for c in text if c.isalpha()]
+    return "latin" if 2 * sum(c < "\u0250" for c in letters) >= len(letters) else "other"
+
+
+def test_pieces_by_word_are_those_of_the_encoder(encoders):
+    from tabscore.llm.tokens import PieceBPE
+
+    rng, mine = random.Random(1), PieceBPE(words=40)
+    parts = ["a", "B", "é", "東京", "🙂", "ß", "\x00", "\x1f", "'s", "12", "ﬁ", "½", "\u3000", "\xa0", "Ａ", "e\u0301", "<s>", "<0x0A>", "ሀ", "\u200b", " ", " ", "\n", "\t"]
+    for _ in range(500):
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(rng.choices(parts, k=rng.randint(0, 30))))
+        ids = encoders["pieces"].encode(" ".join(w))
+        assert mine(Counter(x.encode() for x in w)) == (len(ids), sum(map(encoders["pieces"].is_byte, ids)))
+
+
 def test_fertility_bands_keep_prose_and_reject_what_no_vocabulary_knows(spark):
     english = "The quick brown fox jumps over the lazy dog and runs to the river, which is not far from the old mill. " * 3
     noise = " ".join(chr(0x1200 + (7 * i) % 300) * 9 + str(i) for i in range(120))
@@ -638,6 +740,43 @@ def test_chat_query(spark):
     assert out[2]["loss_sha256"] == sha("") and set(out) == {1, 2, 3, -7}
 
 
+def plain_fold(log: list[tuple]) -> dict:
+    """conv_id -> messages (role, text), from rows (conv_id, seq, message, kind, role, text), one event at a time."""
+    out = {}
+    for conv, _, message, kind, role, text in sorted(log, key=lambda r: (str(r[0]), r[1])):
+        messages = out.setdefault(conv, {})
+        if kind == "delete":
+            messages.pop(message, None)
+            continue
+        old_role, old = messages.get(message, ("", ""))
+        new = "" if kind == "regenerate" else (text or "") if kind == "edit" else old + (text or "")
+        messages[message] = (old_role if role is None else role, new)
+    return {k: list(v.values()) for k, v in out.items()}
+
+
+def test_chat_folds_long_logs_of_any_events(spark):
+    """Random logs with edits, regenerations, deletes and very long texts; columns that clash with those made."""
+    rng, log = random.Random(14), []
+    for conv in [*range(8), None]:
+        for seq in range(60):
+            kind = rng.choice(["delta"] * 6 + ["edit", "regenerate", "delete"])
+            text = None if kind in ("delete", "regenerate") else rng.choice(["", "é", "</s>", "\\", "word ", "x" * 60_000])
+            log.append((conv, seq, f"m{rng.randint(0, 4)}", kind, rng.choice([None, "user", "assistant"]), text))
+    want = plain_fold(log)
+    d = spark.createDataFrame(rng.sample(log, len(log)), "conv_id int, seq int, message string, kind string, role string, text string").repartition(5)
+    for name in ("formatted", "loss", "n_messages", "turn"):
+        d = d.withColumn(name, F.lit("clash"))
+    found = {r["conv_id"]: r for r in chat_format.format_log(d).collect()}
+    assert {k: chat_format.parse(r["formatted"]) for k, r in found.items()} == want
+    assert all(r["n_messages"] == len(want[k]) for k, r in found.items())
+    assert chat_format.format_log(d.limit(0)).count() == 0
+
+
+def test_chat_query_of_no_conversations_is_the_probe(spark):
+    none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, seq int, kind string, message string")
+    assert [r["conv_id"] for r in chat_format.format_conversations(spark, none).collect()] == [-7]
+
+
 # 10
 
 
@@ -658,7 +797,7 @@ def test_secret_scan(docs, empty):
         t, base, more = text or "", [], []
         for k, (kind, p) in enumerate(kinds):
             base += [(m.start(), k, m.end(), kind) for m in re.finditer(p, t) if enough[kind](m)]
-        for k, (kind, p, window, least) in enumerate(secret_scan.CLASSES):
+        for k, (kind, p, window, least) in enumerate([*secret_scan.CLASSES, *secret_scan.ALPHANUMERIC]):
             for m in re.finditer(p, t):
                 hot = [] if re.search(secret_scan.ALLOWED, m[0]) else entropy_hot(m[0], window, least)
                 if hot:
@@ -689,6 +828,51 @@ def test_secret_scan_finds_values_of_names(spark):
             assert at <= x["start"] < at + 12 and at + 20 <= x["stop"] <= len(text)
 
 
+def test_running_sums_and_slides_agree_with_counting(spark):
+    rng = random.Random(9)
+    lists = [[rng.randint(0, 9) for _ in range(n)] for n in (1, 2, 3, 5, 16, 17, 100, 1001)]
+    d = spark.createDataFrame([(x,) for x in lists], "a array<int>").select("a", secret_scan.running_sums(F.col("a")).alias("s"))
+    assert all(r["s"] == np.cumsum(r["a"]).tolist() for r in d.collect())
+    runs = ["".join(rng.choices("abcdef0123456789ABCXYZ"[: rng.randint(2, 22)], k=rng.randint(20, 90))) for _ in range(80)]
+    for window, least in ((20, 2.9), (5, 1.3)):
+        d = spark.createDataFrame([(x,) for x in runs], "t string").select("t", secret_scan.hot_window(F.col("t"), window, least).alias("h"))
+        for r in d.collect():
+            hot = entropy_hot(r["t"], window, least)
+            assert (r["h"]["first"], r["h"]["last"]) == ((hot[0], hot[-1]) if hot else (None, None))
+
+
+def test_secret_scan_of_many_matches_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(n: int) -> float:
+        d = spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id int, text string")
+        at = time.perf_counter()
+        assert secret_scan.spans_of(secret_scan.secret_scan(d)).first()["n_assign"] == n
+        return time.perf_counter() - at
+
+    seconds(100)
+    assert seconds(80_000) < 12 * max(seconds(20_000), 0.5)
+
+
+def test_secret_scan_agrees_with_its_sql_on_planted_keys(spark):
+    import duckdb
+    from tabscore.llm import oracles
+
+    rng, kinds = random.Random(10), ["abcdef0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"]
+    texts = [None, ""]
+    for _ in range(400):
+        key = lambda: "".join(rng.choices(rng.choice(kinds), k=rng.randint(15, 60)))
+        texts.append("".join(rng.choice(["NAME=", "sig=", " ", "=", "==", "Authorization: ", "é", "-", "\n", ""]) + rng.choice([key(), "word", "token: "]) for _ in range(rng.randint(1, 9))))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    db = duckdb.connect()
+    db.register("documents", d.toPandas())
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    found = got(secret_scan.spans_of(secret_scan.secret_scan(d)), *columns)
+    assert found == sorted(db.sql(f"SELECT {', '.join(columns)} FROM ({oracles.secret_scan()})").fetchall(), key=str)
+    for kind, *_ in [*secret_scan.CLASSES, *secret_scan.ALPHANUMERIC]:
+        assert sum(kind in r[-1] for r in found) > 10
+
+
 # All
 
 
