@@ -422,10 +422,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_root = tagged.groupBy("h", "root").agg(F.count("*").alias("sets")).groupBy("h")
     largest = materialize(by_root.agg(F.max_by("root", "sets").alias("major"), F.count("*").alias("roots"), F.sum("sets").alias("count")).filter("roots > 1"), "largest")
     open_ = spread_join(tagged, largest.select("h", "major"), largest.select("h", "count"), "h", "inner")
-    side = ("h", "sub", "in_major")
-    open_ = open_.withColumn("in_major", F.col("root") == F.col("major")).withColumn("at", F.row_number().over(Window.partitionBy(*side).orderBy("n", "k")) - 1)
+    side, part = ("h", "sub", "in_major"), ("h", "sub", "in_major", "run")
+    open_ = open_.withColumn("in_major", F.col("root") == F.col("major")).withColumn("run", (F.col("place") / BLOCK).cast("long"))
+    open_ = materialize(open_.select(*part, "k", "n", "root"), "open-runs")
+    # Numbers within a side, by runs of at most BLOCK places and the rows of the runs before: no window is longer than a run.
+    runs = open_.groupBy(*part).agg(F.count("*").alias("rows"))
+    runs = runs.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy(*side).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = open_.withColumn("at", F.row_number().over(Window.partitionBy(*part).orderBy("n", "k")) - 1).join(runs.select(*part, "before"), list(part))
+    open_, begun = numbered.withColumn("at", F.col("at") + F.col("before")), open_
     open_ = open_.withColumn("bid", F.xxhash64(*side, (F.col("at") / BLOCK).cast("long")))
     open_ = materialize(open_.select("h", "bid", "k", "n", "root", "in_major"), "open")
+    discard(begun)
     blocks = materialize(open_.groupBy("h", "bid", "in_major").agg(F.min("n").alias("least"), F.max("n").alias("most")), "blocks")
     one, two = blocks.alias("p"), blocks.alias("q")
     meet = (F.col("p.bid") <= F.col("q.bid")) & ~(F.col("p.in_major") & F.col("q.in_major"))
