@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,24 +54,70 @@ def most_frequent(real: DataFrame, columns: list[str]) -> dict[str, str]:
     return {c: row[i] for i, c in enumerate(columns)}
 
 
+def coded_by(df: DataFrame, schema: DataSchema, column: str, text: Column, name: str) -> DataFrame:
+    """df with the column name: the place of text among the column's sorted categories, -1 for an unknown one.
+
+    A small vocabulary is a table in the expression, a large one is joined.
+    """
+    words = schema[column].categories
+    if words is not None:
+        return df.withColumn(name, ordinal(text, list(words)))
+    index = schema.index(column).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    return df.join(index, text == F.col("_value"), "left").withColumn(name, F.coalesce("_code", F.lit(-1.0))).drop("_value", "_code")
+
+
 @dataclass
 class FeatureEncoder:
-    """features(df): df with an array column `features`; standardised numbers, then one-hot categories (missing is one)."""
+    """Standardised numbers, then one-hot categories (missing is one), in three forms that mean the same.
+
+    features(df) adds an array of them all, vectors(df) a sparse vector, and compact(df) the numbers and, in place of
+    one-hot columns, a code for each category, -1 for an unknown one, whose columns are all zeros.
+    """
 
     schema: DataSchema
     stats: dict[str, dict[str, float]]
-    categories: dict[str, list[str]]
+    #: Columns and how many one-hot columns each has; the last stands for a missing value, if the real table has some.
+    sizes: dict[str, int]
+    missing: dict[str, bool]
 
     @property
     def width(self) -> int:
-        return len(self.stats) + sum(map(len, self.categories.values()))
+        return len(self.stats) + sum(self.sizes.values())
+
+    def compact(self, df: DataFrame, nums: str = "nums", codes: str = "codes") -> DataFrame:
+        kinds, own = {f.name: f.dataType for f in df.schema.fields}, df.columns
+        for i, c in enumerate(self.sizes):
+            df = coded_by(df, self.schema, c, canon(F.col(f"`{c}`"), kinds[c], None), f"_c{i}")
+            if self.missing[c]:
+                df = df.withColumn(f"_c{i}", F.when(F.col(f"`{c}`").isNull(), float(self.sizes[c] - 1)).otherwise(F.col(f"_c{i}")))
+        numbers = [standardised(F.col(f"`{c}`"), s) for c, s in self.stats.items()]
+        return df.select(*[F.col(f"`{c}`") for c in own], F.array(*numbers).cast("array<double>").alias(nums), F.array(*[F.col(f"_c{i}") for i in range(len(self.sizes))]).cast("array<double>").alias(codes))
 
     def features(self, df: DataFrame, name: str = "features") -> DataFrame:
-        kinds = {f.name: f.dataType for f in df.schema.fields}
-        cols = [standardised(F.col(f"`{c}`"), s) for c, s in self.stats.items()]
-        for c, words in self.categories.items():
-            cols += one_hot(canon(F.col(f"`{c}`"), kinds[c], NA), words)
-        return df.withColumn(name, F.array(*cols))
+        out = self.compact(df, "_nums", "_codes")
+
+        def columns(i: int, n: int) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(k == F.get("_codes", F.lit(i)), 1.0).otherwise(0.0))
+
+        hot = [columns(i, n) for i, n in enumerate(self.sizes.values()) if n]
+        return out.withColumn(name, F.concat("_nums", *hot)).drop("_nums", "_codes")
+
+    def vectors(self, df: DataFrame, name: str = "features") -> DataFrame:
+        """As features, but a vector that holds only what isn't 0: room for vocabularies of any size."""
+        out, parts = self.compact(df, "_nums", "_codes"), []
+        if self.stats:
+            out, parts = out.withColumn("_numbers", array_to_vector("_nums")), ["_numbers"]
+        hot = {f"_k{i}": n for i, n in enumerate(self.sizes.values()) if n}
+        if hot:
+            # An unknown value is the place after the last one, which is dropped: all zeros.
+            for i, n in enumerate(self.sizes.values()):
+                if n:
+                    code = F.get("_codes", F.lit(i))
+                    out = out.withColumn(f"_k{i}", F.when(code < 0, float(n)).otherwise(code))
+            most = df.sparkSession.createDataFrame([tuple(map(float, hot.values()))], ", ".join(f"{k} double" for k in hot))
+            out = OneHotEncoder(inputCols=list(hot), outputCols=[f"{k}_hot" for k in hot], dropLast=True).fit(most).transform(out)
+            parts += [f"{k}_hot" for k in hot]
+        return VectorAssembler(inputCols=parts, outputCol=name).transform(out).drop("_nums", "_codes", "_numbers", *hot, *[f"{k}_hot" for k in hot])
 
 
 def build_feature_encoder(schema: DataSchema, real_df: DataFrame) -> FeatureEncoder:
@@ -77,10 +125,6 @@ def build_feature_encoder(schema: DataSchema, real_df: DataFrame) -> FeatureEnco
         raise ValueError("the schema has no columns")
     cont, cat = schema.continuous_columns, schema.categorical_columns
     stats = moments(real_df, cont) if cont else {}
-    missing = real_df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(c) for c in cat]).first() if cat else {}
-    categories = {}
-    for c in cat:
-        if schema[c].categories is None:
-            raise ValueError(f"{c} has too many categories for one-hot features")
-        categories[c] = sorted(schema[c].categories) + [NA] * bool(missing[c])
-    return FeatureEncoder(schema, stats, categories)
+    nulls = real_df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(c) for c in cat]).first() if cat else {}
+    missing = {c: bool(nulls[c]) for c in cat}
+    return FeatureEncoder(schema, stats, {c: schema.size(c) + missing[c] for c in cat}, missing)

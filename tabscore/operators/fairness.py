@@ -5,10 +5,12 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.functions.canon import canon, ratio
+from tabscore.operators.bootstrap import group_mean_replicates, resampled_counts
 from tabscore.operators.schema import DataSchema
 from tabscore.operators.specs import FairSpec, GroupCollapseWarning, TaskType
 
@@ -76,23 +78,36 @@ def gap(rates: DataFrame, rate: str, by: list[str]) -> DataFrame:
     return rates.groupBy(*by).agg(F.when(F.count(rate) >= 2, F.max(rate) - F.min(rate)).alias("gap"))
 
 
-def class_rates(cell: DataFrame, classes: list[str]) -> DataFrame:
-    """(g, c, positive, tpr, fpr): for each group and class the rates of predicting it."""
+def class_rates(cell: DataFrame, classes: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, g, c, positive, tpr, fpr): for each group and class the rates of predicting it."""
     c = F.explode(F.array(*[F.lit(k) for k in classes])).alias("c")
-    x = cell.select("g", "y", "p", "n", c)
+    x = cell.select(*by, "g", "y", "p", "n", c)
     n_if = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     hit, is_c = F.col("p") == F.col("c"), F.col("y") == F.col("c")
-    return x.groupBy("g", "c").agg(ratio(n_if(hit), F.sum("n")).alias("positive"), ratio(n_if(hit & is_c), n_if(is_c)).alias("tpr"), ratio(n_if(hit & ~is_c), n_if(~is_c)).alias("fpr"))
+    return x.groupBy(*by, "g", "c").agg(ratio(n_if(hit), F.sum("n")).alias("positive"), ratio(n_if(hit & is_c), n_if(is_c)).alias("tpr"), ratio(n_if(hit & ~is_c), n_if(~is_c)).alias("fpr"))
 
 
-def disparities(cell: DataFrame, classes: list[str], min_group_size: int = 30) -> DataFrame:
-    """(metric, value): delta_dp, delta_eop, delta_eo; the mean over classes of the gaps that are defined."""
-    ok, _ = valid_groups(cell, min_group_size)
-    rates = class_rates(ok, classes)
+METRICS = ("delta_dp", "delta_eop", "delta_eo")
+
+
+def gaps_of(cell: DataFrame, classes: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, metric, value): delta_dp, delta_eop, delta_eo; the mean over classes of the gaps that are defined."""
+    rates = class_rates(cell, classes, by)
     g = lambda r: F.when(F.count(r) >= 2, F.max(r) - F.min(r))
-    per = rates.groupBy("c").agg(g("positive").alias("dp"), g("tpr").alias("eop"), g("fpr").alias("fp"))
-    row = per.agg(F.avg("dp").alias("delta_dp"), F.avg("eop").alias("delta_eop"), F.avg(F.greatest("eop", "fp")).alias("delta_eo"))
-    return row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("delta_dp", "delta_eop", "delta_eo")])))
+    per = rates.groupBy(*by, "c").agg(g("positive").alias("dp"), g("tpr").alias("eop"), g("fpr").alias("fp"))
+    row = per.groupBy(*by).agg(F.avg("dp").alias("delta_dp"), F.avg("eop").alias("delta_eop"), F.avg(F.greatest("eop", "fp")).alias("delta_eo"))
+    return row.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
+
+
+def disparities(cell: DataFrame, classes: list[str], min_group_size: int = 30) -> DataFrame:
+    """(metric, value) over the groups that are large enough."""
+    return gaps_of(valid_groups(cell, min_group_size)[0], classes)
+
+
+def disparity_intervals(replicates: DataFrame, classes: list[str], ci: float = 0.95) -> DataFrame:
+    """(metric, lo, hi) of resampled cells (replicate, g, y, p, n): percentiles of the replicates' gaps."""
+    at = F.percentile("value", F.array(F.lit((1 - ci) / 2), F.lit(1 - (1 - ci) / 2)))
+    return gaps_of(replicates, classes, ("replicate",)).groupBy("metric").agg(at.alias("p")).select("metric", F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
 
 
 def stat_parity_gap(df: DataFrame, group: str, pred: str, min_group_size: int = 30) -> DataFrame:
@@ -114,6 +129,11 @@ class Dim5Result:
     delta_eo: dict[str, float | None] | None = None
     stat_parity_gap: dict[str, float | None] = field(default_factory=dict)
     intersectional_delta_dp: float | None = None
+    delta_dp_ci: dict[str, tuple[float, float] | None] = field(default_factory=dict)
+    delta_eop_ci: dict[str, tuple[float, float] | None] | None = None
+    delta_eo_ci: dict[str, tuple[float, float] | None] | None = None
+    stat_parity_gap_ci: dict[str, tuple[float, float] | None] = field(default_factory=dict)
+    intersectional_delta_dp_ci: tuple[float, float] | None = None
     warnings: list[str] = field(default_factory=list)
     error: str | None = None
 
@@ -123,8 +143,9 @@ class Dim5Result:
 
 
 class FairnessEvaluator:
-    def __init__(self, real_df: DataFrame, schema: DataSchema, spec: FairSpec, trees: int = 20, random_state: int = 42):
+    def __init__(self, real_df: DataFrame, schema: DataSchema, spec: FairSpec, trees: int = 20, random_state: int = 42, n_boot: int = 0, ci: float = 0.95):
         self.real, self.schema, self.spec, self.trees, self.seed = real_df, schema, spec, trees, random_state
+        self.n_boot, self.ci = n_boot, ci
         unknown = {*spec.protected_cols, spec.target_col} - set(schema.column_names)
         if unknown:
             raise ValueError(f"unknown columns: {sorted(unknown)}")
@@ -135,6 +156,19 @@ class FairnessEvaluator:
         c = F.col(f"`{column}`")
         return binned(c, self.edges[column]).cast("string") if column in self.edges else canon(c, df.schema[column].dataType, None)
 
+    def _rate_intervals(self, cell: DataFrame, classes: list[str]) -> dict[str, tuple[float, float] | None]:
+        """The intervals of a column's gaps, from resampled counts of its cells; groups that are too small stay out."""
+        ok = valid_groups(cell, self.spec.min_group_size)[0]
+        rows = disparity_intervals(resampled_counts(ok, self.n_boot, self.seed), classes, self.ci).collect()
+        return dict.fromkeys(METRICS) | {r["metric"]: (r["lo"], r["hi"]) for r in rows if r["lo"] is not None}
+
+    def _mean_interval(self, scored: DataFrame, group: str) -> tuple[float, float] | None:
+        sizes = scored.filter(F.col(group).isNotNull()).groupBy(group).count().filter(F.col("count") >= self.spec.min_group_size).select(group)
+        means = group_mean_replicates(scored.join(F.broadcast(sizes), group), group, "prediction", self.n_boot, self.seed)
+        each = [[m for m in at if m is not None] for at in zip(*means.values(), strict=True)]
+        gaps = [max(m) - min(m) for m in each if len(m) > 1]
+        return tuple(float(x) for x in np.percentile(gaps, [50 * (1 - self.ci), 100 - 50 * (1 - self.ci)])) if gaps else None
+
     def evaluate(self, synth: DataFrame, test_real: DataFrame) -> Dim5Result:
         from tabscore.operators.utility import fit_predict
 
@@ -150,23 +184,33 @@ class FairnessEvaluator:
             if spec.task_type is TaskType.BINARY:
                 classes = classes[-1:]
             if not regression:
-                out.delta_eop, out.delta_eo = {}, {}
+                out.delta_eop, out.delta_eo, out.delta_eop_ci, out.delta_eo_ci = {}, {}, {}, {}
             for i, c in enumerate(spec.protected_cols):
                 if regression:
                     out.stat_parity_gap[c] = stat_parity_gap(scored, f"g{i}", "prediction", spec.min_group_size).first()["value"]
+                    if self.n_boot:
+                        out.stat_parity_gap_ci[c] = self._mean_interval(scored, f"g{i}")
                     small = scored.filter(f"g{i} is not null").groupBy(F.col(f"g{i}").alias("g")).count().withColumnRenamed("count", "n").filter(F.col("n") < spec.min_group_size)
                 else:
                     cell = cells(scored, f"g{i}", "label", "prediction")
                     values = {r["metric"]: r["value"] for r in disparities(cell, classes, spec.min_group_size).collect()}
-                    out.delta_dp[c], out.delta_eop[c], out.delta_eo[c] = (values[m] for m in ("delta_dp", "delta_eop", "delta_eo"))
+                    out.delta_dp[c], out.delta_eop[c], out.delta_eo[c] = (values.get(m) for m in METRICS)
+                    if self.n_boot:
+                        spans = self._rate_intervals(cell, classes)
+                        out.delta_dp_ci[c], out.delta_eop_ci[c], out.delta_eo_ci[c] = (spans[m] for m in METRICS)
                     small = valid_groups(cell, spec.min_group_size)[1]
                 for r in small.orderBy("g").collect():
                     out.warnings.append(collapse_message(c, r["g"], r["n"], spec.min_group_size))
                     warnings.warn(out.warnings[-1], GroupCollapseWarning, stacklevel=2)
             if spec.intersectional and len(spec.protected_cols) > 1:
                 both = scored.withColumn("g", crossed([f"g{i}" for i in range(len(spec.protected_cols))]))
-                one = stat_parity_gap(both, "g", "prediction", spec.min_group_size).first()["value"] if regression else disparities(cells(both, "g", "label", "prediction"), classes, spec.min_group_size).filter("metric = 'delta_dp'").first()["value"]
-                out.intersectional_delta_dp = one
+                if regression:
+                    out.intersectional_delta_dp = stat_parity_gap(both, "g", "prediction", spec.min_group_size).first()["value"]
+                    out.intersectional_delta_dp_ci = self._mean_interval(both, "g") if self.n_boot else None
+                else:
+                    cell = cells(both, "g", "label", "prediction")
+                    out.intersectional_delta_dp = {r["metric"]: r["value"] for r in disparities(cell, classes, spec.min_group_size).collect()}.get("delta_dp")
+                    out.intersectional_delta_dp_ci = self._rate_intervals(cell, classes)["delta_dp"] if self.n_boot else None
             scored.unpersist()
         except Exception as e:  # the information measures stand without a probe
             out.error = f"{type(e).__name__}: {e}"

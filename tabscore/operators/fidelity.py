@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabscore.functions.canon import canon, ratio
+from tabscore.functions.stable import stable
 from tabscore.operators.schema import DataSchema
 
 
@@ -40,8 +41,7 @@ def ks_per_column(real: DataFrame, synth: DataFrame, columns: list[str]) -> Data
     a range by a window, across ranges by the totals of the ranges, so no column is sorted by one task.
     """
     counts = long_numbers(stacked(real, synth, columns), columns).groupBy("column", "v").agg(F.sum("side").alias("r"), F.sum(1 - F.col("side")).alias("s"))
-    ranged = counts.repartitionByRange("column", "v").withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = stable(counts.repartitionByRange("column", "v").withColumn("part", F.spark_partition_id()))
     here = Window.partitionBy("part", "column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("column")
@@ -129,6 +129,8 @@ class Dim1Result:
     c2st_auc_mean: float | None = None
     mean_ks_ci: tuple[float, float] | None = None
     mean_tvd_ci: tuple[float, float] | None = None
+    alpha_precision_ci: tuple[float, float] | None = None
+    beta_recall_ci: tuple[float, float] | None = None
 
     @property
     def summary(self) -> str:
@@ -162,8 +164,8 @@ class FidelityEvaluator:
         return reduce(DataFrame.unionByName, parts)
 
     def evaluate(self, synth: DataFrame, manifold: bool = True, c2st: bool = True) -> Dim1Result:
-        from tabscore.operators.bootstrap import bootstrap_mean
-        from tabscore.operators.neighbors import manifold_metrics
+        from tabscore.operators.bootstrap import bootstrap_mean, proportion_interval
+        from tabscore.operators.neighbors import manifold as manifold_of
         from tabscore.operators.utility import c2st_auc
 
         out = Dim1Result(skipped=self.skip_reasons(synth))
@@ -178,7 +180,11 @@ class FidelityEvaluator:
         if len(cat) > 1:
             out.cramerv_matrix_error = matrix_error(cramers_v_pairs(self.real, cat), cramers_v_pairs(synth, cat), "v").first()["error"]
         if manifold:
-            out.alpha_precision, out.beta_recall = manifold_metrics(self.real, synth, self.schema, self.k, self.max_samples, self.seed)
+            found = manifold_of(self.real, synth, self.schema, self.k, self.max_samples, self.seed)
+            out.alpha_precision, out.beta_recall = found.alpha_precision, found.beta_recall
+            if self.n_boot and found.alpha_precision is not None:
+                out.alpha_precision_ci = proportion_interval(round(found.alpha_precision * found.n_synth), found.n_synth, self.n_boot, self.ci, self.seed + 2)
+                out.beta_recall_ci = proportion_interval(round(found.beta_recall * found.n_real), found.n_real, self.n_boot, self.ci, self.seed + 3)
         if c2st:
             out.c2st_auc = c2st_auc(self.real, synth, self.schema, self.n_splits, self.max_samples, self.seed, self.trees)
             known = [v for v in out.c2st_auc.values() if v is not None]

@@ -9,9 +9,10 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabscore.functions.canon import canon, ratio
+from tabscore.functions.stable import stable
+from tabscore.operators.order import row_numbers  # noqa: F401  (its name here is public)
 from tabscore.operators.schema import DataSchema
 from tabscore.operators.specs import OPERATORS, LogicSpec
 
@@ -39,12 +40,24 @@ def fd_softness(real: DataFrame, det: str, dep: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_det"), F.count(F.when(F.col("k") > 1, 1)).alias("n_soft")).withColumn("softness", ratio(F.col("n_soft"), F.col("n_det")))
 
 
+#: Rows of a lookup table that are sent to every task; a larger one is joined by a shuffle.
+LOOKUP_ROWS = 100_000
+
+
+def _lookup(table: DataFrame) -> DataFrame:
+    """table, as one that is sent to every task if it is known to be small: it is counted, up to LOOKUP_ROWS, first."""
+    return F.broadcast(table) if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else table
+
+
 def fd_flags(real: DataFrame, synth: DataFrame, fds: list[tuple[str, str]]) -> DataFrame:
-    """synth with a boolean column fd_i for each dependency: its determinant is known and implies another value."""
+    """synth with a boolean column fd_i for each dependency: its determinant is known and implies another value.
+
+    Small mappings meet synth where its rows lie; only one with more than LOOKUP_ROWS determinants shuffles it.
+    """
     out = synth
     for i, (det, dep) in enumerate(fds):
-        m = fd_mapping(real, det, dep).select(F.col("det").alias(f"_det{i}"), F.col("dep").alias(f"_dep{i}"))
-        out = out.join(m, text_of(synth, det, None) == F.col(f"_det{i}"), "left")
+        m = stable(fd_mapping(real, det, dep).select(F.col("det").alias(f"_det{i}"), F.col("dep").alias(f"_dep{i}")))
+        out = out.join(_lookup(m), text_of(synth, det, None) == F.col(f"_det{i}"), "left")
         out = out.withColumn(f"fd_{i}", F.col(f"_dep{i}").isNotNull() & (text_of(synth, dep) != F.col(f"_dep{i}"))).drop(f"_det{i}", f"_dep{i}")
     return out
 
@@ -56,8 +69,8 @@ def hierarchy_flags(real: DataFrame, synth: DataFrame, chains: list[list[str]])
         bad = []
         for j, (up, down) in enumerate(zip(chain, chain[1:], strict=False)):
             names = [f"_{x}{i}_{j}" for x in ("up", "down", "in")]
-            known = real.select(text_of(real, up).alias(names[0]), text_of(real, down).alias(names[1])).distinct().withColumn(names[2], F.lit(True))
-            out = out.join(known, (text_of(synth, up) == F.col(names[0])) & (text_of(synth, down) == F.col(names[1])), "left").drop(*names[:2])
+            known = stable(real.select(text_of(real, up).alias(names[0]), text_of(real, down).alias(names[1])).distinct()).withColumn(names[2], F.lit(True))
+            out = out.join(_lookup(known), (text_of(synth, up) == F.col(names[0])) & (text_of(synth, down) == F.col(names[1])), "left").drop(*names[:2])
             bad.append(F.col(names[2]).isNull())
         out = out.withColumn(f"chain_{i}", reduce(or_, bad) if bad else F.lit(False)).drop(*[f"_in{i}_{j}" for j in range(len(chain) - 1)])
     return out
@@ -169,10 +182,3 @@ class LogicEvaluator:
         if density and self.schema.continuous_columns:
             out.real_ll, out.synth_ll, out.dsi_gap = density_gap(self.real, synth, self.schema.continuous_columns, self.seed)
         return out
-
-
-def row_numbers(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with n, from 1: the global order by `order`, numbered by ranges, whose sizes are added up (one row a range)."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(sizes.select("_part", "_before"), "_part").withColumn("n", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_before")

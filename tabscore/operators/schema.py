@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscore.functions.canon import canon, ingest, is_numeric
+from tabscore.functions.stable import stable
+from tabscore.operators.order import row_numbers
 
 CATEGORICAL_THRESHOLD = 20
-#: Larger vocabularies stay tables and are joined, never gathered on the driver.
+#: Larger vocabularies stay tables and are joined, never gathered on the driver. Results are the same either way.
 DRIVER_VOCABULARY = 1000
 
 
@@ -59,6 +61,7 @@ class DataSchema:
         sets = self.real_df.agg(*[F.collect_set(canon(col[c], kinds[c], None)).alias(f"s{i}") for i, c in enumerate(small)]).first() if small else ()
         exact = {c: frozenset(sets[i]) for i, c in enumerate(small)}
         self._columns: dict[str, ColumnSchema] = {}
+        self._index: dict[str, DataFrame] = {}
         for i, (c, kind) in enumerate(kinds.items()):
             few = c in exact and len(exact[c]) <= categorical_threshold
             if c in continuous_columns or (c not in categorical_columns and is_numeric(kind) and not few):
@@ -89,6 +92,17 @@ class DataSchema:
         """The column's categories as a table (value), canonical texts."""
         return self.real_df.select(canon(F.col(f"`{name}`"), self[name].dtype, None).alias("value")).filter("value is not null").distinct()
 
+    def index(self, name: str) -> DataFrame:
+        """(value, code) of the column's categories: their places, from 0.0, in the order of the texts."""
+        if name not in self._index:
+            self._index[name] = stable(row_numbers(self.vocabulary(name), [F.col("value")]).select("value", (F.col("n") - 1).cast("double").alias("code")))
+        return self._index[name]
+
+    def size(self, name: str) -> int:
+        """How many categories the column has."""
+        words = self[name].categories
+        return len(words) if words is not None else self.index(name).count()
+
     def __getitem__(self, name: str) -> ColumnSchema:
         return self._columns[name]
 
@@ -100,7 +114,7 @@ class DataSchema:
 
     def table(self) -> DataFrame:
         """One row a column: position, name, col_type, min_val, max_val, n_categories."""
-        rows = [(i, s.name, s.col_type, s.min_val, s.max_val, None if s.categories is None else len(s.categories)) for i, s in enumerate(self._columns.values())]
+        rows = [(i, s.name, s.col_type, s.min_val, s.max_val, self.size(s.name) if s.col_type == "categorical" else None) for i, s in enumerate(self._columns.values())]
         return self.real_df.sparkSession.createDataFrame(rows, "position int, name string, col_type string, min_val double, max_val double, n_categories int")
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabscore.functions.canon import canon, ingest, ratio
-from tabscore.operators.encoders import build_feature_encoder, most_frequent, moments, ordinal
-from tabscore.operators.sampling import hash_fold, uniform_sample
+from tabscore.functions.stable import stable
+from tabscore.operators.encoders import build_feature_encoder, coded_by, most_frequent, moments, ordinal
+from tabscore.operators.sampling import fold_of, uniform_sample
 from tabscore.operators.schema import DataSchema
 from tabscore.operators.specs import TaskType
 
@@ -42,7 +43,7 @@ def rank_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     Scores are counted first; the running count of negatives is taken over ranges of scores, whose totals are added up.
     """
     counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
-    ranged = counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()).persist()
+    ranged = stable(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.sum("neg").alias("n"))
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -67,9 +68,11 @@ def ordinal_features(df: DataFrame, fit: DataFrame, schema: DataSchema, columns:
     cat = [c for c in columns if c not in cont]
     stats, modes = moments(fit, cont) if cont else {}, most_frequent(fit, cat)
     cols = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(stats[c]["median"]), F.lit(0.0)) for c in cont]
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    cols += [ordinal(F.coalesce(canon(F.col(f"`{c}`"), kinds[c], None), F.lit(modes[c])), sorted(schema[c].categories or ())) for c in cat]
-    return df.withColumn("features", array_to_vector(F.array(*cols)))
+    kinds, own = {f.name: f.dataType for f in df.schema.fields}, df.columns
+    for i, c in enumerate(cat):
+        df = coded_by(df, schema, c, F.coalesce(canon(F.col(f"`{c}`"), kinds[c], None), F.lit(modes[c])), f"_o{i}")
+        cols.append(F.col(f"_o{i}"))
+    return df.select(*[F.col(f"`{c}`") for c in own], array_to_vector(F.array(*cols)).alias("features"))
 
 
 def labelled(df: DataFrame, target: str, task: TaskType) -> DataFrame:
@@ -128,7 +131,9 @@ def tuned(name: str, model, train: DataFrame, task: TaskType, n_trials: int, fol
     """The best of n_trials random settings by the mean of the folds' macro-F1 or R²; the model itself for no trials."""
     if not n_trials:
         return model
-    data = hash_fold(train.select("features", "y", "label"), folds, seed).persist()
+    own = train.select("features", "y", "label")
+    shuffled = F.xxhash64(F.lit(seed), vector_to_array("features"), "y")
+    data = fold_of(own, folds, None if task is TaskType.REGRESSION else "label", [shuffled]).persist()
     metric = "r2" if task is TaskType.REGRESSION else "value"
     best, best_value = model, -np.inf
     for params in random_draws(SPACES[name], n_trials, seed):
@@ -164,6 +169,8 @@ def scores_of(fitted: Model, test: DataFrame, task: TaskType, classes: list[str]
 class Dim3Result:
     tstr: dict[str, dict[str, float | None]] = field(default_factory=dict)
     trtr: dict[str, dict[str, float | None]] = field(default_factory=dict)
+    #: Why a model has no scores, by side and model.
+    errors: dict[str, str] = field(default_factory=dict)
 
     @property
     def utility_gap(self) -> dict[str, dict[str, float | None]]:
@@ -206,7 +213,8 @@ class MLUtilityEvaluator:
                         try:
                             chosen = shared or tuned(name, model, data[k], self.task, self.trials, seed=self.seed)
                             into[name] = scores_of(chosen.fit(data[k]), data["test"], self.task, classes)
-                        except Exception:  # a model that can't be fitted has no scores; the others have
+                        except Exception as e:  # a model that can't be fitted has no scores; the others have
+                            out.errors[f"{k}/{name}"] = f"{type(e).__name__}: {e}"
                             into[name] = {m: None for m in (("r2", "wmape") if self.task is TaskType.REGRESSION else ("macro_f1", "roc_auc"))}
         finally:
             for v in data.values():
@@ -231,8 +239,9 @@ def fit_predict(train: DataFrame, test: DataFrame, schema: DataSchema, target: s
 def c2st_auc(real: DataFrame, synth: DataFrame, schema: DataSchema, folds: int = 5, max_samples: int = 50_000, seed: int = 42, trees: int = 20) -> dict[str, float | None]:
     """Mean AUC over folds of telling real (1) from synthetic (0) rows, of two models."""
     encoder = build_feature_encoder(schema, real)
-    parts = [encoder.features(uniform_sample(ingest(d), max_samples, seed)).select(F.lit(y).alias("y"), array_to_vector("features").alias("features")) for d, y in ((real, 1.0), (synth, 0.0))]
-    data = parts[0].unionByName(parts[1]).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), vector_to_array("features")), F.lit(folds))).persist()
+    parts = [encoder.vectors(uniform_sample(ingest(d), max_samples, seed)).select(F.lit(y).alias("y"), "features") for d, y in ((real, 1.0), (synth, 0.0))]
+    # Stratified: each side is dealt to the folds in turn, in the order of a hash.
+    data = fold_of(parts[0].unionByName(parts[1]), folds, "y", [F.xxhash64(F.lit(seed), vector_to_array("features"))]).persist()
     out = {}
     for name, model in (("gbt", GBTClassifier(labelCol="y", maxIter=trees, maxDepth=4, seed=seed)), ("random_forest", RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=8, seed=seed))):
         values = []
@@ -243,3 +252,34 @@ def c2st_auc(real: DataFrame, synth: DataFrame, schema: DataSchema, folds: int =
         out[name] = sum(known) / len(known) if known else None
     data.unpersist()
     return out
+
+
+def drop_unseen_labels(df: DataFrame, train: DataFrame, label: str = "label") -> DataFrame:
+    """The rows of df whose label some row of train has: a classifier can't predict the others."""
+    known = train.select(F.col(label).alias("_known")).distinct()
+    return df.join(known, F.col(label) == F.col("_known"), "left_semi")
+
+
+def gap_by_model(trtr: DataFrame, tstr: DataFrame) -> DataFrame:
+    """(model, metric, gap) of two tables (model, metric, value): trained on real rows less trained on synthetic ones."""
+    both = trtr.alias("r").join(tstr.alias("s"), ["model", "metric"])
+    return both.select("model", "metric", (F.col("r.value") - F.col("s.value")).alias("gap"))
+
+
+def numeric_utility(synth: DataFrame, train_real: DataFrame, test_real: DataFrame, schema: DataSchema, target: str, trees: int = 100, seed: int = 42) -> dict[str, float | None]:
+    """macro-F1 on test_real of a forest over the numeric columns alone: trained on synthetic rows (tstr), and on real
+    ones (real), which is its upper bound. Rows whose label the training table lacks are left out."""
+    columns = [c for c in schema.continuous_columns if c != target]
+    if not columns:
+        return {"tstr": None, "real": None}
+    test, out = labelled(ingest(test_real), target, TaskType.MULTI), {}
+    for name, rows in (("tstr", synth), ("real", train_real)):
+        train = labelled(ingest(rows), target, TaskType.MULTI)
+        classes = sorted(r["label"] for r in train.select("label").distinct().collect())
+        seen = drop_unseen_labels(test, train)
+        if len(classes) < 2:
+            out[name] = None
+            continue
+        model = RandomForestClassifier(labelCol="y", numTrees=trees, seed=seed).fit(coded(ordinal_features(train, train, schema, columns), classes))
+        out[name] = macro_f1(model.transform(coded(ordinal_features(seen, train, schema, columns), classes)), "y").first()["value"]
+    return out

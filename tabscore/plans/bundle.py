@@ -81,7 +81,8 @@ class ResultBundle:
 
     @classmethod
     def from_dict(cls, d: dict) -> ResultBundle:
-        only = lambda kind, v: kind(**{k: tuple(x) if k.endswith("_ci") and x is not None else x for k, x in v.items() if k in {f.name for f in dataclasses.fields(kind)}})
+        span = lambda x: {k: span(v) for k, v in x.items()} if isinstance(x, dict) else tuple(x) if x is not None else None
+        only = lambda kind, v: kind(**{k: span(x) if k.endswith("_ci") else x for k, x in v.items() if k in {f.name for f in dataclasses.fields(kind)}})
         if (version := d.get("metadata", {}).get("format_version")) != FORMAT:
             log.warning("the bundle has format %s, this is %s", version, FORMAT)
         return cls(only(BundleMetadata, d.get("metadata", {})), *[only(kind, d[name]) if d.get(name) is not None else None for name, kind in RESULTS.items()], d.get("errors", {}))

@@ -89,6 +89,27 @@ def drop_empty(*frames: DataFrame) -> list[DataFrame]:
     return [d.select(*common) for d in out]
 
 
+def rounded_coordinates(df: DataFrame, columns: list[str] = ("lat", "lon"), digits: int = 2) -> DataFrame:
+    """df with the columns rounded, halves to the even digit."""
+    return df.withColumns({c: F.bround(F.col(f"`{c}`").cast("double"), digits) for c in columns if c in df.columns})
+
+
+def scenario_means(df: DataFrame, scenario: str, columns: list[str]) -> DataFrame:
+    """(scenario, n, and each column's mean) by scenario."""
+    return df.groupBy(F.col(scenario).alias("scenario")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
+
+
+def write_config(spark: SparkSession, path: str, name: str, settings: dict[str, dict]) -> None:
+    """A Python module with one assignment, `name = {data set: settings}`, in whatever file system Spark writes."""
+    lines = [f"{name} = {{", *[f"    {k!r}: {{{', '.join(f'{a!r}: {b!r}' for a, b in v.items())}}}," for k, v in settings.items()], "}", ""]
+    p, fs = _hadoop_path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray("\n".join(lines).encode()))
+    finally:
+        out.close()
+
+
 def causal_data(spark: SparkSession, n: int, scenario: str = "normal", seed: int = 0) -> DataFrame:
     """Income -> Credit_Score -> Loan_Amount -> Default rows of a structural model; a recession lowers income and
     raises the chance of a default. Made where it is used: no data moves."""
