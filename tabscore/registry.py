@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabscore.plans import catalog
+from tabscore.plans import catalog, catalog_extra  # noqa: F401  (the second registers its queries with the first)
 
 flagship = catalog.flagship
 
