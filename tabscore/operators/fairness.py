@@ -143,7 +143,7 @@ class Dim5Result:
 
 
 class FairnessEvaluator:
-    def __init__(self, real_df: DataFrame, schema: DataSchema, spec: FairSpec, trees: int = 20, random_state: int = 42, n_boot: int = 0, ci: float = 0.95):
+    def __init__(self, real_df: DataFrame, schema: DataSchema, spec: FairSpec, trees: int = 100, random_state: int = 42, n_boot: int = 0, ci: float = 0.95):
         self.real, self.schema, self.spec, self.trees, self.seed = real_df, schema, spec, trees, random_state
         self.n_boot, self.ci = n_boot, ci
         unknown = {*spec.protected_cols, spec.target_col} - set(schema.column_names)

@@ -97,20 +97,50 @@ def models(task: TaskType, trees: int, seed: int) -> dict:
     }
 
 
+def _draw(rng: np.random.Generator, kind: str, *args):
+    if kind == "int":
+        return int(rng.integers(args[0], args[1] + 1))
+    if kind == "uniform":
+        return float(rng.uniform(*args))
+    if kind == "log":
+        return float(np.exp(rng.uniform(*np.log(args))))
+    return args[int(rng.integers(len(args)))]
+
+
 def random_draws(space: dict[str, tuple], n: int, seed: int) -> list[dict]:
     """n settings: ('int', lo, hi), ('uniform', lo, hi), ('log', lo, hi) or ('choice', ...) for each name."""
     rng = np.random.default_rng(seed)
+    return [{k: _draw(rng, *v) for k, v in space.items()} for _ in range(n)]
+
+
+#: Of a Parzen search: trials drawn at random first, the share of trials that count as good, candidates a draw.
+FIRST_TRIALS, GOOD_SHARE, CANDIDATES = 10, 0.25, 24
 
-    def draw(kind: str, *args):
-        if kind == "int":
-            return int(rng.integers(args[0], args[1] + 1))
-        if kind == "uniform":
-            return float(rng.uniform(*args))
-        if kind == "log":
-            return float(np.exp(rng.uniform(*np.log(args))))
-        return args[int(rng.integers(len(args)))]
 
-    return [{k: draw(*v) for k, v in space.items()} for _ in range(n)]
+def parzen_draw(space: dict[str, tuple], tried: list[tuple[dict, float]], rng: np.random.Generator) -> dict:
+    """The next setting: of candidates drawn around good settings, name by name, that which is likeliest among the good
+    ones against all others, as densities of normal kernels tell (shares, for choices). Random for the first trials."""
+    if len(tried) < FIRST_TRIALS:
+        return {k: _draw(rng, *v) for k, v in space.items()}
+    ranked = sorted(tried, key=lambda t: -t[1])
+    n_good = max(2, round(GOOD_SHARE * len(ranked)))
+    out = {}
+    for name, (kind, *args) in space.items():
+        good, bad = ([t[0][name] for t in part] for part in (ranked[:n_good], ranked[n_good:]))
+        if kind == "choice":
+            odds = [(good.count(c) + 1) / (bad.count(c) + 1) for c in args]
+            out[name] = args[int(np.argmax(odds))]
+            continue
+        bend = np.log if kind == "log" else np.asarray
+        lo, hi = (float(bend(x)) for x in args)
+        unit = lambda v, bend=bend, lo=lo, hi=hi: (np.asarray(bend(v), float) - lo) / ((hi - lo) or 1.0)
+        g, b = unit(good), unit(bad)
+        width = max(0.05, 1 / len(tried) ** 0.5)
+        drawn = np.clip(rng.choice(g, CANDIDATES) + rng.normal(0, width, CANDIDATES), 0, 1)
+        density = lambda at, of, width=width: np.exp(-(((at[:, None] - of[None, :]) / width) ** 2) / 2).mean(axis=1) + 1e-6
+        best = lo + float(drawn[np.argmax(density(drawn, g) / density(drawn, b))]) * (hi - lo)
+        out[name] = round(best) if kind == "int" else float(np.exp(best)) if kind == "log" else best
+    return out
 
 
 SPACES = {
@@ -127,16 +157,19 @@ def with_params(model, params: dict):
     return model.copy({model.classifier: tuned}) if isinstance(model, OneVsRest) else tuned
 
 
-def tuned(name: str, model, train: DataFrame, task: TaskType, n_trials: int, folds: int = 3, seed: int = 42):
-    """The best of n_trials random settings by the mean of the folds' macro-F1 or R²; the model itself for no trials."""
+def tuned(name: str, model, train: DataFrame, task: TaskType, n_trials: int, folds: int = 3, seed: int = 42, search: str = "random"):
+    """The best of n_trials settings, drawn at random or by a Parzen search (search='tpe'), by the mean of the folds'
+    macro-F1 or R²; the model itself for no trials."""
     if not n_trials:
         return model
     own = train.select("features", "y", "label")
     shuffled = F.xxhash64(F.lit(seed), vector_to_array("features"), "y")
     data = fold_of(own, folds, None if task is TaskType.REGRESSION else "label", [shuffled]).persist()
     metric = "r2" if task is TaskType.REGRESSION else "value"
-    best, best_value = model, -np.inf
-    for params in random_draws(SPACES[name], n_trials, seed):
+    best, best_value, tried, rng = model, -np.inf, [], np.random.default_rng(seed)
+    at_random = random_draws(SPACES[name], n_trials, seed)
+    for trial in range(n_trials):
+        params = at_random[trial] if search == "random" else parzen_draw(SPACES[name], tried, rng)
         values = []
         for k in range(folds):
             fitted = with_params(model, params).fit(data.filter(F.col("fold") != k))
@@ -144,6 +177,7 @@ def tuned(name: str, model, train: DataFrame, task: TaskType, n_trials: int, fol
             scores = r2_wmape(scored, "y") if task is TaskType.REGRESSION else macro_f1(scored, "y")
             values.append(scores.first()[metric])
         value = np.mean([v for v in values if v is not None]) if any(v is not None for v in values) else -np.inf
+        tried.append((params, value))
         if value > best_value:
             best, best_value = with_params(model, params), value
     data.unpersist()
@@ -184,11 +218,13 @@ class Dim3Result:
 
 
 class MLUtilityEvaluator:
-    def __init__(self, schema: DataSchema, target_col: str, task_type: TaskType | str, tuning_mode: str = "shared", n_tuning_trials: int = 50, trees: int = 20, random_state: int = 42):
+    def __init__(self, schema: DataSchema, target_col: str, task_type: TaskType | str, tuning_mode: str = "shared", n_tuning_trials: int = 50, trees: int = 20, random_state: int = 42, search: str = "random"):
+        if search not in ("random", "tpe"):
+            raise ValueError(f"search is random or tpe, not {search!r}")
         if tuning_mode not in ("shared", "independent"):
             raise ValueError(f"tuning_mode is shared or independent, not {tuning_mode!r}")
         self.schema, self.target, self.task = schema, target_col, TaskType(task_type)
-        self.mode, self.trials, self.trees, self.seed = tuning_mode, n_tuning_trials, trees, random_state
+        self.mode, self.trials, self.trees, self.seed, self.search = tuning_mode, n_tuning_trials, trees, random_state, search
 
     def evaluate(self, train_synth: DataFrame, test_real: DataFrame, train_real: DataFrame | None = None) -> Dim3Result:
         columns = [c for c in self.schema.column_names if c != self.target]
@@ -207,11 +243,11 @@ class MLUtilityEvaluator:
         try:
             varied = {k: data[k].select("label").distinct().limit(2).count() > 1 for k in data if k != "test"}
             for name, model in models(self.task, self.trees, self.seed).items():
-                shared = tuned(name, model, data["real"], self.task, self.trials, seed=self.seed) if self.mode == "shared" and varied.get("real") else None
+                shared = tuned(name, model, data["real"], self.task, self.trials, seed=self.seed, search=self.search) if self.mode == "shared" and varied.get("real") else None
                 for k, into in (("synth", out.tstr), ("real", out.trtr)):
                     if varied.get(k):
                         try:
-                            chosen = shared or tuned(name, model, data[k], self.task, self.trials, seed=self.seed)
+                            chosen = shared or tuned(name, model, data[k], self.task, self.trials, seed=self.seed, search=self.search)
                             into[name] = scores_of(chosen.fit(data[k]), data["test"], self.task, classes)
                         except Exception as e:  # a model that can't be fitted has no scores; the others have
                             out.errors[f"{k}/{name}"] = f"{type(e).__name__}: {e}"

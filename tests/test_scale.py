@@ -249,6 +249,18 @@ def test_numeric_utility_has_an_upper_bound(spark, people):
     assert utility.numeric_utility(people.filter("y = '1'"), people, people, s, "y", trees=2)["tstr"] is None
 
 
+def test_parzen_search_draws_where_trials_were_good():
+    rng, space = np.random.default_rng(4), {"a": ("uniform", 0.0, 10.0), "b": ("log", 1e-4, 1.0), "c": ("choice", "x", "y", "z"), "d": ("int", 1, 9)}
+    value = lambda p: -abs(p["a"] - 7) - abs(np.log10(p["b"]) + 2) + (p["c"] == "y") - abs(p["d"] - 3)
+    tried = []
+    for _ in range(60):
+        p = utility.parzen_draw(space, tried, rng)
+        assert 0 <= p["a"] <= 10 and 1e-4 * 0.999 <= p["b"] <= 1.001 and p["c"] in "xyz" and p["d"] in range(1, 10)
+        tried.append((p, value(p)))
+    late, early = ([v for _, v in part] for part in (tried[-20:], tried[:10]))
+    assert np.mean(late) > np.mean(early) + 2 and max(late) > max(early)
+
+
 def test_models_that_cannot_be_fitted_say_why(spark, people):
     class Broken(utility.MLUtilityEvaluator):
         pass
