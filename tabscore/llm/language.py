@@ -20,29 +20,25 @@ class Language:
             for w in words.split():
                 self.of[w.encode()] = (*self.of.get(w.encode(), ()), language)
 
-    def __call__(self, text: bytes, counts: dict[bytes, int] | None = None) -> str:
-        """en, de, fr or es if their words are frequent enough; else latin, if most letters are Latin, or other.
+    def votes(self, word: bytes) -> list[float] | None:
+        """What a word says for each language: 1 for a function word of one, shares for that of several; null for others."""
+        languages = self.of.get(word.lower()) if len(word) <= LONGEST else None
+        return [(language in languages) / len(languages) for language in FUNCTION_WORDS] if languages else None
 
-        counts: how often each word of the text occurs, where that is known already.
-        """
-        votes, n = dict.fromkeys(FUNCTION_WORDS, 0.0), 0
-        of = self.of
-        if counts is None:
-            words = text.lower().split()
-            n = len(words)
-            for languages in filter(None, map(of.get, words)):
-                for language in languages:
-                    votes[language] += 1 / len(languages)
-        else:
-            for word, times in counts.items():
-                n += times
-                if len(word) <= LONGEST and (languages := of.get(word.lower())):
-                    for language in languages:
-                        votes[language] += times / len(languages)
-        best = max(votes, key=votes.get)
-        if n and votes[best] >= LEAST_SHARE * n:
-            return best
+    def told(self, votes: list[float], n_words: int, text: bytes) -> str:
+        """en, de, fr or es if their votes are frequent enough; else latin, if most letters are Latin, or other."""
+        best = max(range(len(votes)), key=votes.__getitem__)
+        if n_words and votes[best] >= LEAST_SHARE * n_words:
+            return list(FUNCTION_WORDS)[best]
         if text.isascii():
             return "latin"
         letters = [c for c in text.decode("utf-8", "replace") if c.isalpha()]
         return "latin" if 2 * sum(c < "ɐ" for c in letters) >= len(letters) else "other"
+
+    def __call__(self, text: bytes) -> str:
+        words = text.lower().split()
+        votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
+        for languages in filter(None, map(self.of.get, words)):
+            for language in languages:
+                votes[language] += 1 / len(languages)
+        return self.told(list(votes.values()), len(words), text)

@@ -1,8 +1,8 @@
 """Quality rules: word and line counts, and how well public tokenizers fit a text.
 
 Three measures of fertility over the whole text: characters for each token of a byte-level BPE vocabulary, the share
-of a piece vocabulary's pieces that are single bytes, as it has no other for them, and the entropy of the token ids in
-bits. A text's language is told by its function words, its script by its letters; each has its own bands, and a text
+of its words' bytes that a piece vocabulary falls back to, as it has no other piece for them, and the entropy of the
+token ids in bits. A text's language is told by its function words, its script by its letters; each has its own bands, and a text
 outside one of them is rejected.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.language import Language
+from tabscore.llm.language import FUNCTION_WORDS, Language
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 MEASURES = "language string, chars_per_token double, byte_share double, entropy double"
@@ -52,18 +52,48 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(held.sum())
 
 
-def base_counts(text: bytes) -> tuple[tuple[int, int, int, int, int, bool], dict[bytes, int]]:
-    """The base columns, and how often each word occurs."""
-    words = text.split()
+class Words(dict):
+    """word -> its place in the columns: bytes that are pieces, votes for each language. A text's new words are measured together."""
+
+    ROOM = 300_000
+
+    def __init__(self):
+        from tabscore.llm.tokens import PieceBPE
+
+        super().__init__()
+        self.counts, self.language = PieceBPE(), Language()
+        self.columns, self.new = np.zeros((1024, 1 + len(FUNCTION_WORDS))), []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The places of a text's words; what was known is forgotten before a text for which there may be no room."""
+        if len(self) + len(words) > self.ROOM:
+            self.clear()
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            start, stop = len(self) - len(self.new), len(self)
+            while stop > len(self.columns):
+                self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)])
+            self.columns[start:stop] = 0
+            self.columns[start:stop, 0] = self.counts.bytes_of(self.new)
+            for place, votes in enumerate(map(self.language.votes, self.new), start):
+                if votes:
+                    self.columns[place, 1:] = votes
+            self.new.clear()
+        return found
+
+
+def base_counts(text: bytes, words: list[bytes], places: np.ndarray) -> tuple[int, int, int, int, int, bool]:
     n = len(words)
     points = sum(map(len, words)) - _continuations(text)
     symbols = sum(map(text.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    repeated = repeated_words(ids)
-    occurs = dict(zip(number, np.bincount(ids).tolist(), strict=True)) if n else {}
-    return (n, points, symbols, len(lines) - len(set(lines)), repeated, n < MIN_WORDS or 100 * repeated > 50 * n), occurs
+    repeated = repeated_words(places)
+    return n, points, symbols, len(lines) - len(set(lines)), repeated, n < MIN_WORDS or 100 * repeated > 50 * n
 
 
 _HIGH = bytes(range(0x80, 0xC0))
@@ -75,22 +105,27 @@ def _continuations(text: bytes) -> int:
 
 
 class Fertility:
+    """The base counts and the measures of whole texts."""
+
     def __init__(self):
-        from tabscore.llm.tokens import ByteBPE, PieceBPE
+        from tabscore.llm.tokens import ByteBPE
 
-        self.bpe, self.pieces, self.language = ByteBPE(), PieceBPE(), Language()
+        self.bpe, self.words = ByteBPE(), Words()
 
-    def __call__(self, text: bytes, words: dict[bytes, int]) -> tuple[str, float | None, float, float | None]:
-        """language or script, characters a token, byte share, bits of entropy; nulls for a text without words."""
-        plain = text.decode("utf-8", "replace")
-        tag = self.language(text, words)
+    def __call__(self, text: bytes) -> tuple[tuple, tuple[str, float | None, float, float | None]]:
+        """The base columns, and language or script, characters a token, byte share, bits of entropy; nulls without words."""
+        words = text.split()
+        places = self.words.places(words)
+        base = base_counts(text, words, places)
+        sums = self.words.columns[places].sum(axis=0).tolist()
+        tag = self.words.language.told(sums[1:], len(words), text)
         if not words:
-            return tag, None, 0.0, None
+            return base, (tag, None, 0.0, None)
+        plain = text.decode("utf-8", "replace")
         ids = self.bpe.encode(plain)
-        p = np.bincount(ids)
-        p = p[p > 0] / len(ids)
-        pieces, single = self.pieces(words)
-        return tag, len(plain) / len(ids), single / pieces if pieces else 0.0, float(-(p * np.log2(p)).sum())
+        p = (np.unique(ids, return_counts=True)[1] if len(ids) < 4000 else np.bincount(ids)) / len(ids)
+        p = p[p > 0]
+        return base, (tag, len(plain) / len(ids), sums[0] / sum(map(len, words)), float(-(p * np.log2(p)).sum()))
 
 
 def verdict(tag: str, chars: float | None, share: float, entropy: float | None, symbols: float = 0.0) -> bool:
@@ -109,8 +144,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 1024):
             batch, rows = whole.slice(at, 1024), []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                base, words = base_counts(text or b"")
-                measured = fertility(text or b"", words)
+                base, measured = fertility(text or b"")
                 rows.append((*base, *measured, not base[-1] and verdict(*measured, base[2] / max(base[0], 1))))
             cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])

@@ -5,12 +5,35 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 
 import numpy as np
 
 _MIXED = re.compile(r"\s")
 
 
+class _Edge(Exception):
+    """A word has white space at its edge, so it can't be told from its neighbours."""
+
+
+class _Words(dict):
+    """The ids, as bytes of 16-bit numbers, of a word with the space before it; forgets them when there are too many."""
+
+    def __init__(self, whole, limit: int):
+        super().__init__()
+        self.whole, self.limit = whole, limit
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Edge
+        ids = array("H", self.whole(" " + part)).tobytes()
+        if len(part) < 40:
+            if len(self) >= self.limit:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class ByteBPE:
     """Encodes whole texts. A word with the space before it is split off and merged alone by the vocabulary's rules, so
     its ids are the same wherever it stands; texts with other white space at a word's edge are encoded whole. A text
@@ -26,7 +49,7 @@ class ByteBPE:
         with open(self.json, encoding="utf-8") as file:
             self.added = re.compile("|".join(re.escape(t["content"]) for t in json.load(file).get("added_tokens", ())) or r"(?!)")
         self.plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known, self.words, self.tokenizer = {}, words, None
+        self.known, self.tokenizer = _Words(self.whole, words), None
 
     def named(self, text: str) -> list[int]:
         """The ids of the named tokenizer at its defaults, but for special tokens of its own."""
@@ -50,52 +73,34 @@ class ByteBPE:
             return np.empty(0, np.uint16)
         if self.added.search(text):
             return np.array(self.named(text), np.uint16)
-        parts = text.split(" ")
-        known, out = self.known, []
-        for k, part in enumerate(parts):
-            ids = known.get(part)
-            if ids is None or k == 0:
-                if not part or part[0].isspace() or part[-1].isspace():
-                    return np.array(self.whole(text), np.uint16)
-                if k == 0:
-                    out.append(np.array(self.plain.encode_ordinary(part) if len(part) < 10_000 else self.whole(part), np.uint16).tobytes())
-                    continue
-                ids = np.array(self.whole(" " + part), np.uint16).tobytes()
-                if len(part) < 40:
-                    if len(known) >= self.words:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.uint16)
+        first, *rest = text.split(" ")
+        if first and not first[0].isspace() and not first[-1].isspace():
+            try:
+                rest = b"".join(map(self.known.__getitem__, rest))
+                return np.frombuffer(array("H", self.whole(first)).tobytes() + rest, np.uint16)
+            except _Edge:
+                pass
+        return np.array(self.whole(text), np.uint16)
 
 
 class PieceBPE:
-    """Counts the pieces of a vocabulary with byte fallback, word by word (pieces don't cross white space)."""
+    """Counts, word by word (pieces don't cross white space), the bytes that a vocabulary has no other piece for."""
 
-    def __init__(self, name: str = "piece_bpe_32k", words: int = 300_000):
+    def __init__(self, name: str = "piece_bpe_32k"):
         import public_tokenizers as public
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=public.path(f"{name}.model"))
-        self.known, self.words = {}, words
-
-    def of_word(self, word: str) -> tuple[int, int]:
-        """Pieces, and those of them that are single bytes."""
-        ids = self.pieces.encode(word)
-        return len(ids), sum(map(self.pieces.is_byte, ids))
-
-    def __call__(self, words: dict[bytes, int]) -> tuple[int, int]:
-        """Pieces and byte pieces of a text's words, given how often each occurs."""
-        pieces = single = 0
-        known = self.known
-        for word, n in words.items():
-            counts = known.get(word)
-            if counts is None:
-                counts = self.of_word(word.decode("utf-8", "replace"))
-                if len(word) < 40:
-                    if len(known) >= self.words:
-                        known.clear()
-                    known[word] = counts
-            pieces += n * counts[0]
-            single += n * counts[1]
-        return pieces, single
+        self.single = {i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i)}
+        # Words of these characters alone never have a byte piece, and need not be encoded.
+        known = [c for c in map(chr, range(0x21, 0x7F)) if self.single.isdisjoint(self.pieces.encode(c))]
+        self.foreign = re.compile(f"[^{re.escape(''.join(known))}]".encode()).search
+
+    def bytes_of(self, words: list[bytes]) -> list[int]:
+        """Each word's bytes that are pieces of their own."""
+        out = [0] * len(words)
+        some = [i for i, w in enumerate(words) if self.foreign(w)]
+        for i, ids in zip(some, self.pieces.encode([words[i].decode("utf-8", "replace") for i in some], num_threads=1) if some else (), strict=True):
+            if not self.single.isdisjoint(ids):
+                out[i] = sum(map(self.single.__contains__, ids))
+        return out

@@ -608,7 +608,7 @@ def plain_measures(text: str, encoders: dict) -> tuple:
     ids = encoders["bytes"].encode(text, add_special_tokens=False).ids
     pieces = encoders["pieces"].encode(" ".join(w))
     bits = -sum(n / len(ids) * np.log2(n / len(ids)) for n in Counter(ids).values())
-    return len(text) / len(ids), sum(map(encoders["pieces"].is_byte, pieces)) / len(pieces), bits
+    return len(text) / len(ids), sum(map(encoders["pieces"].is_byte, pieces)) / sum(len(x.encode()) for x in w), bits
 
 
 @pytest.fixture(scope="module")
@@ -668,12 +668,21 @@ def plain_language(text: str) -> str:
 def test_pieces_by_word_are_those_of_the_encoder(encoders):
     from tabscore.llm.tokens import PieceBPE
 
-    rng, mine = random.Random(1), PieceBPE(words=40)
+    rng, mine = random.Random(1), PieceBPE()
     parts = ["a", "B", "é", "東京", "🙂", "ß", "\x00", "\x1f", "'s", "12", "ﬁ", "½", "\u3000", "\xa0", "Ａ", "e\u0301", "<s>", "<0x0A>", "ሀ", "\u200b", " ", " ", "\n", "\t"]
     for _ in range(500):
         w = re.findall("[^\x20\x09-\x0d]+", "".join(rng.choices(parts, k=rng.randint(0, 30))))
         ids = encoders["pieces"].encode(" ".join(w))
-        assert mine(Counter(x.encode() for x in w)) == (len(ids), sum(map(encoders["pieces"].is_byte, ids)))
+        assert sum(mine.bytes_of([x.encode() for x in w])) == sum(map(encoders["pieces"].is_byte, ids))
+
+
+def test_words_forget_and_grow(monkeypatch):
+    monkeypatch.setattr(quality_rules.Words, "ROOM", 30)
+    fertility, fresh = quality_rules.Fertility(), quality_rules.Fertility
+    rng = random.Random(4)
+    for n in (5, 20, 20, 3000, 7, 25):
+        text = " ".join(rng.choice(["the", "der", "東京", f"w{rng.randint(0, 2000)}"]) for _ in range(n)).encode()
+        assert fertility(text) == fresh()(text)
 
 
 def test_fertility_bands_keep_prose_and_reject_what_no_vocabulary_knows(spark):
