@@ -7,25 +7,30 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder: the one in use, or the setting. A session in one JVM without either gets a
+    temporary folder; on a cluster, whose executors wouldn't share it, there is none."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and context.master.startswith("local"):
+            at = tempfile.mkdtemp(prefix="tabscore-")
+        if at:
+            context.setCheckpointDir(at)
+    return context.getCheckpointDir()
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the session's checkpoint folder, so that a lost executor changes none of its rows.
 
-    Without such a folder a session in one JVM gets a temporary one; on a cluster df is persisted instead, and its
-    rows have to be the same when they are computed again.
+    Where there is none df is persisted instead, and its rows have to be the same when they are computed again.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            return df.persist()
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabscore-"))
-    return df.checkpoint()
+    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df.persist()
 
 
 def scratch(spark: SparkSession) -> str:
     """A folder that the driver and all executors share, for files that a query writes and reads again."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabscore-"))
-    return context.getCheckpointDir()
+    at = checkpoint_dir(spark)
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at
