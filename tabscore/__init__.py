@@ -10,7 +10,7 @@ _NAMES = {
     "tabscore.operators.specs": [
         "LogicSpec", "FairSpec", "TaskType", "BenchmarkError", "GenerationCollapseError", "SchemaMismatchError", "InsufficientDataError", "DataCopyingWarning", "GroupCollapseWarning",
     ],
-    "tabscore.operators.logic": ["discover_fds", "LogicEvaluator", "Dim2Result"],
+    "tabscore.operators.logic": ["discover_fds", "LogicEvaluator", "Dim2Result", "register_constraint"],
     "tabscore.operators.structural": ["StructuralInterceptor", "Dim0Result"],
     "tabscore.operators.fidelity": ["FidelityEvaluator", "Dim1Result"],
     "tabscore.operators.utility": ["MLUtilityEvaluator", "Dim3Result"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -84,6 +85,23 @@ def flag_rates(flagged: DataFrame, prefix: str, names: list[str]) -> DataFrame:
     return row.select(F.inline(cells))
 
 
+#: kind -> build(real, *arguments), which returns a boolean column: the row of the synthetic table breaks the constraint.
+CONSTRAINTS: dict[str, Callable[..., Column]] = {}
+
+
+def register_constraint(kind: str, build: Callable[..., Column]) -> None:
+    CONSTRAINTS[kind] = build
+
+
+def constraint_rates(real: DataFrame, synth: DataFrame, constraints: list[tuple]) -> DataFrame:
+    """(key, n_violations, value) of each constraint and of any of them, as for dependencies; null counts as kept."""
+    unknown = sorted({c[0] for c in constraints} - set(CONSTRAINTS))
+    if unknown:
+        raise ValueError(f"no constraint is called {unknown}; there are {sorted(CONSTRAINTS)}")
+    flags = {f"rule_{i}": F.coalesce(CONSTRAINTS[kind](real, *args), F.lit(False)) for i, (kind, *args) in enumerate(constraints)}
+    return flag_rates(synth.withColumns(flags), "rule", [f"{kind}({', '.join(map(str, args))})" for kind, *args in constraints])
+
+
 def equation_error(a: str, op: str, b: str, c: str) -> Column:
     """|a op b - c| / (|c| + regulariser); null if an operand is, or a divisor is near zero."""
     x, y, z = (F.col(f"`{v}`").try_cast("double") for v in (a, b, c))
@@ -143,6 +161,8 @@ class Dim2Result:
     real_ll: float | None = None
     synth_ll: float | None = None
     dsi_gap: float | None = None
+    constraints: dict[str, float] = field(default_factory=dict)
+    constraints_overall: float | None = None
 
     @property
     def dsi_relative_gap(self) -> float | None:
@@ -179,6 +199,9 @@ class LogicEvaluator:
             out.mdi = {r["key"]: r["value"] for r in mdi_per_equation(synth, equations).collect()}
             known = [v for v in out.mdi.values() if v is not None]
             out.mdi_mean = sum(known) / len(known) if known else None
+        if self.spec.constraints:
+            rates = {r["key"]: r["value"] for r in constraint_rates(self.real, synth, self.spec.constraints).collect()}
+            out.constraints_overall, out.constraints = rates.pop("overall"), rates
         if density and self.schema.continuous_columns:
             out.real_ll, out.synth_ll, out.dsi_gap = density_gap(self.real, synth, self.schema.continuous_columns, self.seed)
         return out

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscore.functions.stable import scratch
-from tabscore.operators import encoders, fairness, neighbors, ordering, sampling, structural, utility
+from tabscore.operators import encoders, fairness, logic, neighbors, ordering, sampling, structural, utility
 from tabscore.operators.schema import DataSchema
 from tabscore.plans import pairs as P
-from tabscore.plans.catalog import query, values
+from tabscore.plans.catalog import SYNTH, query, values
 from tabscore.sources import files
 
 # A categorical column with thousands of values: order keys. Two thirds of the orders are real; of the synthetic ones,
@@ -212,6 +212,21 @@ def _(s, d):
     return sampling.fold_of(P.table(s, d, "orders").select("o_orderkey"), 3, None, ["o_orderkey"]).select("o_orderkey", F.col("fold").cast("bigint").alias("fold"))
 
 
+# Constraints of a caller's own kind
+
+
+@query(
+    "constraint_rates",
+    f"""WITH {SYNTH}, f AS (SELECT l_discount > l_tax AS a, l_extendedprice > l_quantity * 1500 AS b FROM synth)
+  SELECT 'at_most(l_discount, l_tax, 1)' AS key, count(*) FILTER (a) AS n_violations, round(count(*) FILTER (a) / count(*), 6) AS value FROM f
+  UNION ALL SELECT 'at_most(l_extendedprice, l_quantity, 1500)', count(*) FILTER (b), round(count(*) FILTER (b) / count(*), 6) FROM f
+  UNION ALL SELECT 'overall', count(*) FILTER (a OR b), round(count(*) FILTER (a OR b) / count(*), 6) FROM f""",
+)
+def _(s, d):
+    logic.register_constraint("at_most", lambda real, a, b, times: F.col(a) > F.col(b) * times)
+    return logic.constraint_rates(*P.li(s, d), [("at_most", "l_discount", "l_tax", 1), ("at_most", "l_extendedprice", "l_quantity", 1500)])
+
+
 # Intervals by weights that SQL can repeat
 
 

@@ -10,10 +10,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, neighbors, ordering, sampling, structural, utility
+from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, logic, neighbors, ordering, sampling, structural, utility
 from tabscore.operators import schema as schema_module
 from tabscore.operators.schema import DataSchema
-from tabscore.operators.specs import FairSpec, TaskType
+from tabscore.operators.specs import FairSpec, LogicSpec, TaskType
 from tabscore.plans.bundle import BundleMetadata, ResultBundle
 from tabscore.sources import files
 
@@ -289,6 +289,16 @@ def test_pareto_front_over_many_ranges_is_that_of_all_pairs(spark):
     assert found == {m: not any(u >= x and v >= y and (u > x or v > y) for _, u, v in rows) for m, x, y in rows}
 
 
+def test_constraints_of_a_callers_own_kind(spark, people):
+    logic.register_constraint("below", lambda real, column, most: F.col(column) > most)
+    spec = LogicSpec(constraints=[("below", "x", 0.0), ("below", "x", 99.0)])
+    r = logic.LogicEvaluator(people, DataSchema(people), spec).evaluate(people, density=False)
+    share = people.filter("x > 0").count() / 500
+    assert r.constraints == {"below(x, 0.0)": pytest.approx(share), "below(x, 99.0)": 0.0} and r.constraints_overall == pytest.approx(share)
+    with pytest.raises(ValueError):
+        logic.constraint_rates(people, people, [("no", "x")])
+
+
 def test_orders_by_dependencies(spark):
     d = spark.range(200).select((F.col("id") % 3).alias("city"), (F.col("id") % 9).alias("zip"), F.col("id").alias("age"))
     order = ordering.discover_fd_order(d.select("city", "zip"))
