@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import chat_format, fingerprint, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, toxicity
+from tabscore.llm import alignment, chat_format, fingerprint, infilling, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, swap_packing, toxicity
 from tabscore.llm.common import documents
 
 
@@ -22,4 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": lambda s, d: quality_rules.verdicts(documents(s, d)),
         "op9_chat_format": lambda s, d: chat_format.format_conversations(s, s.read.parquet(f"{d}/conversations.parquet")),
         "op10_secret_scan": lambda s, d: secret_scan.spans_of(secret_scan.secret_scan(documents(s, d).select("doc_id", "text"))),
+        "op11_token_alignment": lambda s, d: alignment.alignment(documents(s, d)),
+        "op12_fill_in_middle": lambda s, d: infilling.digests(documents(s, d)),
+        "op13_swap_packing": lambda s, d: swap_packing.pack_by_swaps(documents(s, d)),
     }
