@@ -1,28 +1,15 @@
 """Nearest records: k-NN radius, precision and recall of the manifold, distance to the closest record, exact copies.
 
-Searches are by name and give the same results. `sql` compares all pairs by a nested-loop join with one side broadcast;
-it is taken only where that side has no more than BROADCAST_ROWS rows (SQL_ROWS, where it is asked for). `arrow` prunes,
-and is exact: both distances are metrics, so that for a pivot p |d(a, p) - d(b, p)| <= d(a, b).
-
-1. A few real rows, far apart, are pivots. A row lies in the cell of its nearest pivot; the rows of a cell, in the order
-   of their distance to it, are cut into blocks of BLOCK rows, each with its least and most distance to every pivot.
-2. A block of the left meets the blocks of the right just before and after it in its cell. What its rows find there
-   bounds what they look for: a block's bound is the largest of its rows' k-th distances.
-3. Of all other blocks, those whose distances to some pivot are further off than the bound can't hold anything nearer.
-   The rest is found by an equi-join on (cell, bucket of distances), and compared in numpy, one pair of blocks at once.
-
-Memory is bounded by two blocks, and the work by how far the pivots tell rows apart, not by rows times rows. Another
-search can be registered under a name of its own.
+Searches are by name and give the same results. `arrow` prunes by an index and is exact (see `search`). `sql` compares
+all pairs by a nested-loop join with one side broadcast, and is taken only where that side has no more than SQL_ROWS
+rows. Another search can be registered under a name of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,9 +20,9 @@ from tabscore.operators.bootstrap import percentile_positions, proportion_interv
 from tabscore.operators.encoders import NA, build_feature_encoder, min_max, zero_filled_bounds
 from tabscore.operators.sampling import uniform_sample
 from tabscore.operators.schema import DataSchema
+from tabscore.operators.search import Metric, by_index
 
-BROADCAST_ROWS, SQL_ROWS, BLOCK = 200, 5_000, 512
-PIVOTS, PIVOT_SAMPLE, BUCKETS = 16, 512, 64
+SQL_ROWS = 5_000
 EXACT, WARN_RATE = 1e-5, 0.01
 
 
@@ -47,30 +34,23 @@ def squares(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-@dataclass(frozen=True)
-class Metric:
-    """A distance of rows (v, c), arrays of numbers and of category codes: as a column, and as a matrix of numpy rows."""
+def _differ(a: Column, b: Column, cost: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 0.0).otherwise(cost(x, y))), F.lit(0.0), lambda s, x: s + x)
 
-    column: Callable[[Column, Column, Column, Column], Column]
-    matrix: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
-    def distances(self, va: np.ndarray, ca: np.ndarray, vb: np.ndarray, cb: np.ndarray) -> np.ndarray:
-        """All rows with all rows, some at once, so that no array has more than a few million numbers."""
-        step = max(1, 4_000_000 // max(1, len(vb) * (va.shape[1] + ca.shape[1])))
-        return np.concatenate([self.matrix(va[i : i + step], ca[i : i + step], vb, cb) for i in range(0, len(va), step)])
+def _euclidean(v: Column, w: Column, c: Column, d: Column) -> Column:
+    return F.sqrt(squares(v, w) + _differ(c, d, lambda x, y: F.when((x < 0) | (y < 0), 1.0).otherwise(2.0)))
 
 
-def _differ(a: Column, b: Column, cost: Callable[[Column, Column], Column]) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 0.0).otherwise(cost(x, y))), F.lit(0.0), lambda s, x: s + x)
+def mixed_distance(na: Column, nb: Column, ca: Column, cb: Column) -> Column:
+    """Sum of absolute differences of numbers, plus the number of differing categories."""
+    return F.aggregate(F.zip_with(na, nb, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) + _differ(ca, cb, lambda x, y: F.lit(1.0))
 
 
 #: Euclidean over numbers and one-hot categories, which are codes here: two known ones differ by 2, one of them unknown
 #: (-1, all zeros) by 1. Mixed: absolute differences of numbers, and 1 for each differing category.
-EUCLIDEAN = Metric(
-    lambda v, w, c, d: F.sqrt(squares(v, w) + _differ(c, d, lambda x, y: F.when((x < 0) | (y < 0), 1.0).otherwise(2.0))),
-    lambda v, c, w, d: np.sqrt(((v[:, None, :] - w[None, :, :]) ** 2).sum(axis=2) + ((c[:, None, :] != d[None, :, :]) * np.where((c[:, None, :] < 0) | (d[None, :, :] < 0), 1.0, 2.0)).sum(axis=2)),
-)
-MIXED = Metric(lambda v, w, c, d: mixed_distance(v, w, c, d), lambda v, c, w, d: np.abs(v[:, None, :] - w[None, :, :]).sum(axis=2) + (c[:, None, :] != d[None, :, :]).sum(axis=2))
+EUCLIDEAN = Metric(_euclidean, 2, 2.0, 1.0)
+MIXED = Metric(mixed_distance, 1, 1.0, 1.0)
 
 
 def by_broadcast(left: DataFrame, right: DataFrame, k: int, skip_self: bool, metric: Metric) -> DataFrame:
@@ -80,131 +60,9 @@ def by_broadcast(left: DataFrame, right: DataFrame, k: int, skip_self: bool, met
     return pairs.select(F.col("l.id").alias("id"), F.col("r.id").alias("nearest"), found.alias("distance"))
 
 
-def _matrix(column: pa.Array, kind: type) -> np.ndarray:
-    """An array column's rows, all of one length, as a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def pivots_of(rows: DataFrame, metric: Metric, n: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Up to n rows (numbers, codes), each the farthest from those before it, of PIVOT_SAMPLE rows by hash."""
-    sample = rows.orderBy(F.xxhash64("v", "c"), "v").limit(PIVOT_SAMPLE).select("v", "c").collect()
-    v = np.array([r["v"] for r in sample], float).reshape(len(sample), -1)
-    c = np.array([r["c"] for r in sample], np.int64).reshape(len(sample), -1)
-    chosen, least = [0], metric.distances(v, c, v[:1], c[:1])[:, 0]
-    while len(chosen) < min(n, len(sample)) and least.max() > 0:
-        chosen.append(int(least.argmax()))
-        least = np.minimum(least, metric.distances(v, c, v[chosen[-1:]], c[chosen[-1:]])[:, 0])
-    return v[chosen], c[chosen]
-
-
-def blocks_of(rows: DataFrame, pivots: tuple[np.ndarray, np.ndarray], metric: Metric) -> DataFrame:
-    """(block, cell, n, lo, hi, ids, v, c): rows (id, v, c) cut into blocks; lo and hi are distances to every pivot."""
-    kind, size = rows.schema["id"].dataType.simpleString(), BLOCK
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            to = metric.distances(_matrix(batch.column(1), float), _matrix(batch.column(2), np.int64), *pivots) if batch.num_rows else np.empty((0, len(pivots[0])))
-            far = pa.ListArray.from_arrays(np.arange(0, to.size + 1, len(pivots[0]), dtype=np.int32), pa.array(to.ravel()))
-            cell = to.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, far, pa.array(cell.astype(np.int32)), pa.array(to[np.arange(len(to)), cell])], ["id", "v", "c", "far", "cell", "d"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = batch.column(4).to_numpy()
-            edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]))
-            starts = np.concatenate([np.arange(a, b, size) for a, b in zip(edges, edges[1:], strict=False)])
-            ends = np.append(starts[1:], len(cell))
-            far, offsets = _matrix(batch.column(3), float), pa.array(np.append(starts, len(cell)).astype(np.int32))
-            width = np.arange(0, len(starts) * far.shape[1] + 1, far.shape[1], dtype=np.int32)
-            bounds = [pa.ListArray.from_arrays(width, pa.array(f.reduceat(far, starts, axis=0).ravel())) for f in (np.minimum, np.maximum)]
-            ids = [part << 32 | made + i for i in range(len(starts))]
-            made += len(starts)
-            lists = [pa.ListArray.from_arrays(offsets, batch.column(i)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cell[starts]), pa.array((ends - starts).astype(np.int64)), *bounds, *lists], ["block", "cell", "n", "lo", "hi", "ids", "v", "c"])
-
-    placed = rows.select("id", "v", "c").mapInArrow(place, f"id {kind}, v array<double>, c array<bigint>, far array<double>, cell int, d double")
-    order = ("cell", "d", "id")
-    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "v", "c", "far", "cell")
-    return stable(dealt.mapInArrow(cut, f"block bigint, cell int, n bigint, lo array<double>, hi array<double>, ids array<{kind}>, v array<array<double>>, c array<array<bigint>>"))
-
-
-def first_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): each block of the left with those of the right before and after it in its cell."""
-    at = lambda df, own, other: df.select("cell", F.get("lo", F.col("cell")).alias("at"), F.col("block").alias(own), F.lit(None).cast("bigint").alias(other))
-    both = at(left, "l", "r").unionByName(at(right, "r", "l"))
-    order = Window.partitionBy("cell").orderBy("at", F.col("l").isNull().desc(), "l", "r")
-    before = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    near = both.withColumns({"before": before, "after": after}).filter("l is not null")
-    return near.select("l", F.explode(F.array_distinct(F.array_compact(F.array("before", "after")))).alias("r"))
-
-
-def other_pairs(left: DataFrame, right: DataFrame, done: DataFrame) -> DataFrame:
-    """(l, r): the pairs of blocks that left's bounds don't rule out; left has the column bound, done are pairs that were compared."""
-    slack = F.col("bound") * (1 + 1e-9) + 1e-12
-    top = right.agg(F.max(F.array_max("hi"))).first()[0] or 0.0
-    bucket = lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(top)) / F.lit((top or 1.0) * (1 + 1e-9)) * BUCKETS).cast("int")
-    own = lambda name: F.get(name, F.col("cell"))
-    r = right.select(F.col("block").alias("r"), "cell", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"), F.explode(F.sequence(bucket(own("lo")), bucket(own("hi")))).alias("bucket"))
-    each = left.select(F.col("block").alias("l"), "lo", "hi", slack.alias("slack"), F.posexplode("lo").alias("cell", "from"))
-    l_ = each.select("l", "lo", "hi", "slack", "cell", F.explode(F.sequence(bucket(F.col("from") - F.col("slack")), bucket(F.get("hi", F.col("cell")) + F.col("slack")))).alias("bucket"))
-    apart = F.zip_with(F.zip_with("lo", "r_hi", lambda x, y: x - y), F.zip_with("r_lo", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
-    met = l_.join(r, ["cell", "bucket"]).filter(F.array_max(apart) <= F.col("slack"))
-    return met.select("l", "r").distinct().join(done, ["l", "r"], "left_anti")
-
-
-def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, skip_self: bool, metric: Metric) -> DataFrame:
-    """(block, id, nearest, distance): of each pair of blocks, the k nearest right rows of every left row."""
-    ids = [left.schema["ids"].dataType.elementType, right.schema["ids"].dataType.elementType]
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ia, ib = (batch.column(j)[i].values for j in (1, 4))
-                (va, ca), (vb, cb) = ((_matrix(batch.column(j)[i].values, float), _matrix(batch.column(j + 1)[i].values, np.int64)) for j in (2, 5))
-                d = metric.distances(va, ca, vb, cb)
-                na, nb = ia.to_numpy(zero_copy_only=False), ib.to_numpy(zero_copy_only=False)
-                if skip_self:
-                    d[na[:, None] == nb[None, :]] = np.inf
-                if k == 1:
-                    least, place = d.min(axis=1), np.argsort(np.argsort(nb, kind="stable"), kind="stable")
-                    order = np.where(d == least[:, None], place[None, :], d.shape[1]).argmin(axis=1)[:, None]
-                else:
-                    order = np.lexsort((np.broadcast_to(nb, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(na)), order.shape[1])
-                found = d[rows, order.ravel()]
-                keep = np.isfinite(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(int(keep.sum()), batch.column(0)[i].as_py(), np.int64)), ia.take(pa.array(rows[keep])), ib.take(pa.array(order.ravel()[keep])), pa.array(found[keep])], ["block", "id", "nearest", "distance"]
-                )
-
-    a = left.select(F.col("block").alias("l"), F.col("ids").alias("l_ids"), F.col("v").alias("l_v"), F.col("c").alias("l_c"))
-    b = right.select(F.col("block").alias("r"), F.col("ids").alias("r_ids"), F.col("v").alias("r_v"), F.col("c").alias("r_c"))
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(a, "l").join(b, "r").repartition(tasks, "l", "r").select("l", "l_ids", "l_v", "l_c", "r_ids", "r_v", "r_c")
-    return both.mapInArrow(kernel, f"block bigint, id {ids[0].simpleString()}, nearest {ids[1].simpleString()}, distance double")
-
-
-def by_pivots(left: DataFrame, right: DataFrame, k: int, skip_self: bool, metric: Metric) -> DataFrame:
-    """(id, nearest, distance): a superset of the k nearest of each row, from the pairs of blocks that can hold them."""
-    pivots = pivots_of(right, metric)
-    b = blocks_of(right, pivots, metric)
-    a = b if left is right else blocks_of(left, pivots, metric)
-    pairs = stable(first_pairs(a, b))
-    first = stable(compared(pairs, a, b, k, skip_self, metric))
-    own = first.groupBy("block", "id").agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("kth"))
-    bound = own.groupBy("block").agg(F.count("kth").alias("found"), F.max("kth").alias("bound"))
-    bounded = a.join(bound, "block", "left").withColumn("bound", F.when(F.col("found") == F.col("n"), F.col("bound")).otherwise(float("inf")))
-    rest = compared(other_pairs(bounded.select("block", "lo", "hi", "bound"), b, pairs), a, b, k, skip_self, metric)
-    return first.unionByName(rest).select("id", "nearest", "distance")
-
-
-#: name -> search(left, right, k, skip_self, metric), which returns (id, nearest, distance) with the k nearest among them.
-SEARCHES: dict[str, Callable[..., DataFrame]] = {"sql": by_broadcast, "arrow": by_pivots}
+#: name -> search(left, right, k, skip_self, metric), which returns (id, nearest, distance) with the k nearest among
+#: them, or (id, rank, nearest, distance) with these alone.
+SEARCHES: dict[str, Callable[..., DataFrame]] = {"sql": by_broadcast, "arrow": by_index}
 
 
 def register_search(name: str, search: Callable[..., DataFrame]) -> None:
@@ -213,12 +71,12 @@ def register_search(name: str, search: Callable[..., DataFrame]) -> None:
     SEARCHES[name] = search
 
 
-def route(strategy: str, n_right: int) -> str:
+def route(strategy: str, n_right: int | None = None) -> str:
     """The name of the search to take: sql is taken only for a right side that may be broadcast."""
     if strategy != "auto" and strategy not in SEARCHES:
         raise ValueError(f"strategy is auto or one of {sorted(SEARCHES)}, not {strategy!r}")
-    if strategy in ("auto", "sql"):
-        return "sql" if n_right <= (SQL_ROWS if strategy == "sql" else BROADCAST_ROWS) else "arrow"
+    if strategy == "auto" or strategy == "sql" and (n_right is None or n_right > SQL_ROWS):
+        return "arrow"
     return strategy
 
 
@@ -235,10 +93,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, skip_self: bool = Fal
     """
     same = left is right
     left, right = _as_rows(left), _as_rows(right)
-    n = right.count()
-    if not n:
-        return left.sparkSession.createDataFrame([], f"id {left.schema['id'].dataType.simpleString()}, rank int, nearest {right.schema['id'].dataType.simpleString()}, distance double")
-    best = SEARCHES[route(strategy, n)](right if same else left, right, k, skip_self, metric)
+    name = route(strategy, right.count() if strategy == "sql" else None)
+    best = SEARCHES[name](right if same else left, right, k, skip_self, metric)
+    if "rank" in best.columns:
+        return best.select("id", "rank", "nearest", "distance")
     if k == 1:
         return best.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("id", F.lit(1).alias("rank"), "m.nearest", "m.distance")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "nearest"))
@@ -303,12 +161,6 @@ def dcr_form(df: DataFrame, schema: DataSchema, bounds: dict[str, tuple[float, f
     return df.select("*", nums.alias("nums"), cats.alias("cats"))
 
 
-def mixed_distance(na: Column, nb: Column, ca: Column, cb: Column) -> Column:
-    """Sum of absolute differences of numbers, plus the number of differing categories."""
-    gaps = F.aggregate(F.zip_with(na, nb, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    return gaps + F.aggregate(F.zip_with(ca, cb, lambda x, y: F.when(x == y, 0.0).otherwise(1.0)), F.lit(0.0), lambda s, x: s + x)
-
-
 def dcr_rows(real: DataFrame, synth: DataFrame, schema: DataSchema, id_col: str = "id", strategy: str = "auto") -> DataFrame:
     """(id, dcr): each synthetic row's distance to the closest real one."""
     bounds = zero_filled_bounds(real, schema.continuous_columns) if schema.continuous_columns else {}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.functions.stable import scratch
+from tabscore.functions.stable import scratch, stable
 from tabscore.operators import encoders, fairness, logic, neighbors, ordering, sampling, structural, utility
 from tabscore.operators.schema import DataSchema
 from tabscore.plans import pairs as P
@@ -259,3 +259,18 @@ def _(s, d):
     real, synth = P.balances(s, d)
     schema = DataSchema(real.select("nation", "balance"), ["nation"], ["balance"])
     return neighbors.dcr_rows(real, synth, schema, "id", "arrow")
+
+
+@query(
+    "dcr_lines",
+    """WITH r0 AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0),
+  b AS (SELECT min(l_quantity) AS ql, max(l_quantity) - min(l_quantity) AS qw, min(l_extendedprice) AS el, max(l_extendedprice) - min(l_extendedprice) AS ew FROM r0),
+  r AS (SELECT DISTINCT (l_quantity - ql) / qw AS q, (l_extendedprice - el) / ew AS e, l_discount AS a, l_tax AS t, l_returnflag AS f, l_linestatus AS s, l_linenumber AS n FROM r0, b),
+  x AS (SELECT row_number() OVER () AS id, (l_quantity - ql) / qw AS q, (l_extendedprice - el) / ew AS e, l_discount AS a, l_tax AS t, l_returnflag AS f, l_linestatus AS s, l_linenumber AS n FROM lineitem, b WHERE l_orderkey % 2 = 1),
+  d AS (SELECT min(abs(x.q - r.q) + abs(x.e - r.e) + (x.a <> r.a)::INT + (x.t <> r.t)::INT + (x.f <> r.f)::INT + (x.s <> r.s)::INT + (x.n <> r.n)::INT) AS dcr FROM x, r GROUP BY x.id)
+  SELECT count(*) AS n, round(quantile_cont(dcr, 0.05), 6)::DOUBLE AS dcr_5th, round(quantile_cont(dcr, 0.95), 6)::DOUBLE AS dcr_95th FROM d""",
+)
+def _(s, d):
+    """Two numbers and five categories, all rows of both sides: the library's main pair."""
+    real, synth = P.li(s, d)
+    return neighbors.dcr_percentiles(neighbors.dcr_rows(real, stable(synth.withColumn("id", F.monotonically_increasing_id())), DataSchema(real), "id"))

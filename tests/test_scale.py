@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, logic, neighbors, ordering, sampling, structural, utility
+from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, logic, neighbors, ordering, sampling, search, structural, utility
 from tabscore.operators import schema as schema_module
 from tabscore.operators.schema import DataSchema
 from tabscore.operators.specs import FairSpec, LogicSpec, TaskType
@@ -43,9 +43,13 @@ def plain_nearest(left: list, right: list, k: int, skip_self: bool, mixed: bool)
     return out
 
 
+@pytest.mark.parametrize("superblocks", [False, True])
 @pytest.mark.parametrize(("k", "skip_self", "mixed"), [(1, False, True), (3, False, False), (4, True, False)])
-def test_pruned_search_finds_what_all_pairs_have(spark, monkeypatch, k, skip_self, mixed):
-    monkeypatch.setattr(neighbors, "BLOCK", 16)
+def test_pruned_search_finds_what_all_pairs_have(spark, monkeypatch, k, skip_self, mixed, superblocks):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    if superblocks:
+        monkeypatch.setattr(search, "RESIDENT_BYTES", 0)
+        monkeypatch.setattr(search, "SUPERBLOCK_ROWS", 20)
     a, left = points(spark, 150, 1)
     b, right = points(spark, 260, 2)
     if skip_self:
@@ -54,19 +58,50 @@ def test_pruned_search_finds_what_all_pairs_have(spark, monkeypatch, k, skip_sel
     assert sorted((r["id"], r["rank"], r["nearest"], round(r["distance"], 9)) for r in found.collect()) == sorted(plain_nearest(left, right, k, skip_self, mixed))
 
 
-def test_pruned_search_compares_a_small_share_of_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "BLOCK", 16)
+def test_index_finds_what_all_pairs_have_for_ties_copies_and_many_dimensions(monkeypatch):
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        n, m, width, codes, k = (int(rng.choice(x)) for x in ([1, 90, 300], [1, 40, 400], [0, 1, 2, 12], [0, 1, 3], [1, 3, 7]))
+        metric, skip = (neighbors.EUCLIDEAN, neighbors.MIXED)[trial % 2], bool(trial % 3)
+        for name, values in (("BLOCK", [8, 128]), ("CHUNK", [4, 128]), ("FIRST_ROWS", [4, 1024]), ("MATRIX", [50, 2_000_000])):
+            monkeypatch.setattr(search, name, int(rng.choice(values)))
+        make = lambda rows: (rng.normal(size=(rows, width)).round(int(rng.choice([0, 1, 9]))), rng.integers(-1, 3, (rows, codes)), rng.permutation(rows))
+        w, d, ids = make(m)
+        v, c, own = (w, d, ids) if skip else make(n)
+        index = search.Index(ids, w, d, metric)
+        rows, places, far = index.search(own, v, c, k, skip)
+        want = []
+        for i in range(len(own)):
+            s = metric.root(metric.sums(v[i][None], c[i][None], w, d))
+            want += [(i, ids[j], s[j]) for j in np.lexsort((ids, s)) if not (skip and ids[j] == own[i])][:k]
+        assert list(zip(rows, index.ids[places], far, strict=True)) == want
+
+
+def test_category_tuples_leave_a_small_share_of_the_pairs(spark):
+    """Lines of orders: two numbers and five categories, the kind of table whose rows no pivot tells apart."""
+    rng = np.random.default_rng(5)
+    line = lambda n: (rng.random((n, 2)), np.stack([rng.integers(0, k, n) for k in (11, 9, 3, 2, 7)], axis=1))
     shares = []
-    for n in (300, 1200):
-        a, b = points(spark, n, 3)[0], points(spark, n, 4)[0]
-        pivots = neighbors.pivots_of(b, neighbors.MIXED)
-        left, right = (neighbors.blocks_of(x, pivots, neighbors.MIXED) for x in (a, b))
-        done = neighbors.stable(neighbors.first_pairs(left, right))
-        first = neighbors.compared(done, left, right, 1, False, neighbors.MIXED)
-        bound = first.groupBy("block", "id").agg(F.min("distance").alias("d")).groupBy("block").agg(F.max("d").alias("bound"))
-        pairs = done.count() + neighbors.other_pairs(left.join(bound, "block"), right, done).count()
-        shares.append(pairs / (left.count() * right.count()))
-    assert max(shares) < 0.15
+    for n in (5_000, 20_000):
+        (v, c), (w, d) = line(n), line(n)
+        index = search.Index(np.arange(n), w, d, neighbors.MIXED)
+        rows, places, sums = index.search(np.arange(n), v, c, 1, False)
+        shares.append(index.compared / n**2)
+        for i in rng.choice(n, 200):
+            assert np.isclose(sums[i], (np.abs(w - v[i]).sum(axis=1) + (d != c[i]).sum(axis=1)).min())
+    assert shares[1] < shares[0] and shares[1] < 0.1
+
+
+def test_clusters_of_vectors_leave_less_than_a_square_of_work():
+    centres = np.random.default_rng(3).normal(size=(60, 64)) * 10
+    work = []
+    for n in (2_000, 20_000):
+        rng = np.random.default_rng(n)
+        v, no = centres[rng.integers(0, 60, n)] + rng.normal(size=(n, 64)), np.empty((n, 0), np.int64)
+        index = search.Index(np.arange(n), v, no, neighbors.EUCLIDEAN)
+        index.search(np.arange(n), v, no, 5, True)
+        work.append(index.compared)
+    assert work[1] < 40 * work[0] and work[1] < 0.2 * 20_000**2
 
 
 def test_search_without_numbers_or_without_categories_or_rows(spark):
@@ -80,7 +115,7 @@ def test_search_without_numbers_or_without_categories_or_rows(spark):
 
 def test_searches_are_chosen_by_the_size_of_the_right_side_and_can_be_added(spark):
     assert neighbors.route("sql", 100) == "sql" and neighbors.route("sql", neighbors.SQL_ROWS + 1) == "arrow"
-    assert neighbors.route("auto", neighbors.BROADCAST_ROWS + 1) == "arrow" and neighbors.route("auto", 5) == "sql"
+    assert neighbors.route("auto") == "arrow" and neighbors.route("auto", 5) == "arrow"
     with pytest.raises(ValueError):
         neighbors.route("no", 5)
     neighbors.register_search("first", lambda left, right, k, skip_self, metric: left.select("id", F.lit(0).alias("nearest"), F.lit(0.5).alias("distance")))
