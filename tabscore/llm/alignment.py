@@ -4,10 +4,6 @@ Both tokenizers see the same bytes: a space, then the text. Each byte has a labe
 (a), one of B (b), or one of each (#). A regular expression scans the labels for spans up to each #; the labels in a
 span say how many tokens of A and of B make up that group. A group's last tokens end together, and are a link.
 
-Neither vocabulary has a token that reaches from a character over the space after it, so a word with the space before
-it has the same tokens and labels wherever it stands: each task keeps those of the words it has met, and a text's
-labels are its words' labels in a row.
-
 Pass one writes each document's groups (their digest, for the query) and its linked pairs with how often it has them.
 Linked tokens end together, so the bytes of one end with those of the other: a vocabulary's pairs are at most as many
 as its tokens have suffixes (`most_pairs`, some hundred thousand), whatever the corpus. So the counts of all pairs, by
@@ -23,8 +19,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +32,8 @@ A, B = "byte_bpe_50k", "piece_bpe_32k"
 #: The label of a byte by what ends there: nothing, a token of A, a token of B, one of each.
 LABELS = b".ab#"
 SPAN = re.compile(b"[^#]*#")
-#: Where a text may be cut into words: a space between two characters that aren't white space.
-EDGE = re.compile(r"(?<=\S) (?=\S)")
-#: Words kept by a task, their longest, and the rows of a batch of results.
-WORDS, LONGEST, ROWS = 300_000, 40, 2_000
+#: Rows of a batch of results.
+ROWS = 2_000
 GROUP = "struct<start: bigint, end: bigint, a: array<int>, b: array<int>>"
 PAIRS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
 
@@ -57,8 +49,9 @@ class PlainBPE(ByteBPE):
             self.tokenizer.encode_special_tokens = True
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def lengths(self, ids: list[int]) -> list[int]:
-        return [len(self.plain.decode_single_token_bytes(i)) for i in ids]
+    @property
+    def bytes(self) -> list[bytes]:
+        return [self.plain.decode_single_token_bytes(i) for i in range(self.plain.n_vocab)]
 
 
 class Pieces:
@@ -73,79 +66,76 @@ class Pieces:
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.pieces.id_to_piece, range(self.size)))]
 
 
-class _Changed(Exception):
-    """A tokenizer changes the bytes of this word."""
+def decimals(n: int) -> np.ndarray:
+    """The numbers below n as rows of ASCII digits, zero bytes before them, and one free byte after them."""
+    width = len(str(n - 1))
+    digits = np.arange(n)[:, None] // 10 ** np.arange(width - 1, -1, -1)[None, :]
+    out = np.where((digits > 0) | (np.arange(width) == width - 1), digits % 10 + ord("0"), 0)
+    return np.concatenate([out, np.zeros((n, 1), int)], axis=1).astype(np.uint8)
+
 
+class Alignment:
+    """One text's tokens, labels and groups; `a_end` and `b_end` are how many tokens there are up to each group's end."""
 
-def labels_of(n: int, a: list[int], b: list[int]) -> bytes:
-    """The labels of n bytes, of tokens with so many bytes each."""
-    marks = bytearray(n)
-    for end in accumulate(a):
-        marks[end - 1] |= 1
-    for end in accumulate(b):
-        marks[end - 1] |= 2
-    return bytes(marks).translate(LABELS + bytes(252))
+    def __init__(self, a: np.ndarray, b: np.ndarray, marks: np.ndarray):
+        self.a, self.b, self.labels = a, b, marks.tobytes().translate(LABELS + bytes(252))
+        self.ends = np.cumsum(np.fromiter(map(len, SPAN.findall(self.labels)), np.int64))
+        self.a_end, self.b_end = (np.cumsum(marks & k > 0)[self.ends - 1] for k in (1, 2))
 
+    def text(self, digits: np.ndarray) -> bytes:
+        """The groups as a1,a2|b1;a3|b2, from the digits of all ids."""
+        of_a, of_b = (np.repeat(np.arange(len(self.ends)), np.diff(x, prepend=0)) for x in (self.a_end, self.b_end))
+        at_a = np.arange(len(self.a)) + np.concatenate([[0], self.b_end])[of_a]
+        at_b = np.arange(len(self.b)) + self.a_end[of_b]
+        rows = np.empty((len(self.a) + len(self.b), digits.shape[1]), np.uint8)
+        rows[at_a], rows[at_b] = digits[self.a], digits[self.b]
+        rows[:, -1] = ord(",")
+        rows[at_a[self.a_end - 1], -1] = ord("|")
+        rows[at_b[self.b_end - 1], -1] = ord(";")
+        return rows.tobytes().translate(None, b"\0")[:-1]
 
-class Aligner(dict):
-    """A word's alignment, kept by word: (groups as text, linked pairs, numbers of A tokens, B tokens and groups)."""
 
+class Aligner:
     def __init__(self, a: str = A, b: str = B):
-        super().__init__()
         self.a, self.b = PlainBPE(a), Pieces(b)
-        if (self.a.plain.n_vocab + 1) * self.b.size >= 1 << 32:
+        a_bytes = self.a.bytes
+        if len(a_bytes) * self.b.size >= 1 << 32:
             raise ValueError("pairs of these vocabularies have no numbers of 32 bits")
-
-    def tokens(self, word: str) -> tuple[bytes, list[int], list[int]]:
-        """(labels, ids of A, ids of B) of a space and the word."""
-        whole = (" " + word).encode()
-        a, b = self.a.whole(" " + word), self.b.pieces.encode(word)
-        if b"".join(map(self.b.bytes.__getitem__, b)) != whole or b"".join(map(self.a.plain.decode_single_token_bytes, a)) != whole:
-            raise _Changed
-        return labels_of(len(whole), self.a.lengths(a), [len(self.b.bytes[i]) for i in b]), a, b
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes, int, int, int]:
-        labels, a, b = self.tokens(word)
-        groups, pairs, i, j = [], [], 0, 0
-        for span in SPAN.findall(labels):
-            m, n = i + span.count(b"a") + 1, j + span.count(b"b") + 1
-            groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-            pairs.append(a[m - 1] * self.b.size + b[n - 1])
-            i, j = m, n
-        out = ";".join(groups).encode(), np.array(pairs, np.uint32).tobytes(), len(a), len(b), len(groups)
-        if len(word) < LONGEST:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-    def words(self, text: str) -> list[tuple[bytes, bytes, int, int, int]]:
-        """The alignments of the text's words in a row; of none, if a tokenizer changes the text's bytes."""
-        try:
-            return list(map(self.__getitem__, EDGE.split(text))) if text else []
-        except _Changed:
-            return []
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in of]) for of in (a_bytes, self.b.bytes))
+        self.digits = decimals(max(len(a_bytes), self.b.size))
+
+    def align(self, text: str) -> Alignment | None:
+        """A text's alignment; none for an empty one, or if a tokenizer changes its bytes."""
+        if not text:
+            return None
+        whole = (" " + text).encode()
+        a, b = self.a.whole(" " + text), self.b.pieces.encode(text)
+        if b"".join(map(self.b.bytes.__getitem__, b)) != whole or self.a.plain.decode_bytes(a) != whole:
+            return None
+        a, b, marks = np.array(a), np.array(b), np.zeros(len(whole), np.uint8)
+        marks[np.cumsum(self.a_lengths[a]) - 1] |= 1
+        marks[np.cumsum(self.b_lengths[b]) - 1] |= 2
+        return Alignment(a, b, marks)
 
     def digest(self, text: str) -> tuple:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of a text, its linked pairs told apart and counted."""
-        words = self.words(text)
-        if not words:
+        found = self.align(text)
+        if found is None:
             return 0, 0, 0, 0, "", b"", b""
-        pairs, times = np.unique(np.frombuffer(b"".join(map(itemgetter(1), words)), np.uint32), return_counts=True)
-        n_a, n_b, n_groups = (sum(map(itemgetter(k), words)) for k in (2, 3, 4))
-        return n_a, n_b, n_groups, int(times.sum()), hashlib.sha256(b";".join(map(itemgetter(0), words))).hexdigest(), pairs.tobytes(), times.astype(np.uint32).tobytes()
+        linked = found.a[found.a_end - 1] * self.b.size + found.b[found.b_end - 1]
+        pairs, times = np.unique(linked.astype(np.uint32), return_counts=True)
+        return len(found.a), len(found.b), len(found.ends), len(linked), hashlib.sha256(found.text(self.digits)).hexdigest(), pairs.tobytes(), times.astype(np.uint32).tobytes()
 
     def groups(self, text: str) -> list[dict]:
         """The groups of a text: byte offsets in it (the space before it is at -1), and the ids of A and of B."""
-        out, at = [], -1
-        for word in EDGE.split(text) if self.words(text) else ():
-            labels, a, b = self.tokens(word)
-            i = j = 0
-            for span in SPAN.findall(labels):
-                m, n = i + span.count(b"a") + 1, j + span.count(b"b") + 1
-                out.append({"start": at, "end": at + len(span), "a": a[i:m], "b": b[j:n]})
-                i, j, at = m, n, at + len(span)
-        return out
+        found = self.align(text)
+        if found is None:
+            return []
+        edges = [np.concatenate([[0], x]).tolist() for x in (found.ends, found.a_end, found.b_end)]
+        return [
+            {"start": start - 1, "end": end - 1, "a": found.a[i:m].tolist(), "b": found.b[j:n].tolist()}
+            for start, end, i, m, j, n in zip(edges[0], edges[0][1:], edges[1], edges[1][1:], edges[2], edges[2][1:], strict=False)
+        ]
 
 
 def align(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
@@ -232,7 +222,7 @@ def scored(stored: DataFrame, b_size: int) -> DataFrame:
 def most_pairs(a: str = A, b: str = B) -> int:
     """How many pairs of tokens can end together at all: the bytes of one are the end of the other's."""
     aligner = Aligner(a, b)
-    left = [aligner.a.plain.decode_single_token_bytes(i) for i in range(aligner.a.plain.n_vocab)]
+    left = aligner.a.bytes
 
     def ends(tokens: list[bytes], others: list[bytes], least: int) -> int:
         times: dict[bytes, int] = {}

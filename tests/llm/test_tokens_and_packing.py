@@ -124,15 +124,15 @@ def test_alignment_query_on_the_given_table(spark, tokenizers):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in found.collect()), key=str) == digests_of(texts, tokenizers)
 
 
-def test_words_tokenise_alone_as_in_their_text(tokenizers):
-    """Pieces hold the blank mark at their beginning only, which is what lets words be kept."""
-    assert not [p for p in map(tokenizers[1].id_to_piece, range(tokenizers[1].get_piece_size())) if "▁" in p.lstrip("▁")]
+def test_alignment_of_any_characters(tokenizers):
     aligner, rng = alignment.Aligner(), random.Random(4)
-    letters = "ab Z1'_.,;\n\t  　éß東👩́\x1c\x85-"
+    letters = "ab Z1'_.,;\n\t  　éß東👩́\x1c\x85-"
     for _ in range(400):
         text = "".join(rng.choices(letters, k=rng.randint(1, 30)))
-        got = b";".join(w[0] for w in aligner.words(text)).decode()
+        found = aligner.align(text)
+        got = found.text(aligner.digits).decode() if found else ""
         assert got == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in aligned(text, *tokenizers)), repr(text)
+        assert found is None or len(found.labels) == len(text.encode()) + 1 and found.labels.endswith(b"#")
 
 
 def test_pairs_are_bounded_by_the_vocabularies(spark, docs):
