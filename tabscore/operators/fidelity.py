@@ -144,7 +144,7 @@ SKIPPED = {(False, False): "all-NaN in both real and synthetic data", (False, Tr
 class FidelityEvaluator:
     """Scores a synthetic table against the real one; k, max_samples, n_splits and random_state bound the two costly parts."""
 
-    def __init__(self, real_df: DataFrame, schema: DataSchema, k: int = 5, max_samples: int = 50_000, n_splits: int = 5, random_state: int = 42, n_boot: int = 0, ci: float = 0.95, trees: int = 20):
+    def __init__(self, real_df: DataFrame, schema: DataSchema, k: int = 5, max_samples: int = 50_000, n_splits: int = 5, random_state: int = 42, n_boot: int = 0, ci: float = 0.95, trees: int = 300):
         self.real, self.schema = schema.real_df if real_df is None else real_df, schema
         self.k, self.max_samples, self.n_splits, self.seed, self.n_boot, self.ci, self.trees = k, max_samples, n_splits, random_state, n_boot, ci, trees
 

@@ -6,21 +6,26 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabscore.functions.canon import canon, ingest, ratio
-from tabscore.functions.stable import stable
+from tabscore.functions.stable import stable, written
 from tabscore.operators.encoders import build_feature_encoder, coded_by, most_frequent, moments, ordinal
+from tabscore.operators.learners import SPACES, TUNING_ROWS, at_once, auc_of, fit_all, fit_rows, fit_spread, fits_a_task, gathered, trial_values
 from tabscore.operators.sampling import fold_of, uniform_sample
 from tabscore.operators.schema import DataSchema
 from tabscore.operators.specs import TaskType
 
+#: The most labels that a target may have: their list goes to the driver and into expressions.
+MOST_CLASSES = 1_000
+#: Of a Parzen search: trials drawn at random first, the share of trials that count as good, candidates a draw, draws at once.
+FIRST_TRIALS, GOOD_SHARE, CANDIDATES, AT_ONCE = 10, 0.25, 24, 8
+#: The settings of the classifiers that tell real rows from synthetic ones.
+C2ST = {"gbt": {"rounds": 300, "depth": 6, "rate": 0.05}, "random_forest": {"trees": 300, "depth": 10}}
+
 # Scores
 
 
@@ -85,16 +90,17 @@ def coded(df: DataFrame, classes: list[str]) -> DataFrame:
     return df.withColumn("y", ordinal(F.col("label"), classes))
 
 
-def models(task: TaskType, trees: int, seed: int) -> dict:
-    """The three models of a task. Spark's boosted trees know two classes; several are told one against the rest."""
-    if task is TaskType.REGRESSION:
-        return {"gbt": GBTRegressor(labelCol="y", maxIter=trees, maxDepth=4, seed=seed), "random_forest": RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=6, seed=seed), "ridge": LinearRegression(labelCol="y", regParam=0.1, elasticNetParam=0.0)}
-    gbt = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=4, seed=seed)
-    return {
-        "gbt": gbt if task is TaskType.BINARY else OneVsRest(classifier=gbt, labelCol="y"),
-        "random_forest": RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=6, seed=seed),
-        "logistic": LogisticRegression(labelCol="y", maxIter=50) if task is TaskType.BINARY else OneVsRest(classifier=LogisticRegression(labelCol="y", maxIter=50), labelCol="y"),
-    }
+def classes_of(*frames: DataFrame) -> list[str]:
+    """The labels of all frames, in order; an error if they are more than MOST_CLASSES."""
+    labels = reduce(DataFrame.union, [v.select("label") for v in frames]).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(labels) > MOST_CLASSES:
+        raise ValueError(f"the target has more than {MOST_CLASSES} labels; bin it, or take it as a number")
+    return sorted(r["label"] for r in labels)
+
+
+def models(task: TaskType) -> tuple[str, ...]:
+    """The three models of a task, by name."""
+    return ("gbt", "random_forest", "ridge") if task is TaskType.REGRESSION else ("gbt", "random_forest", "logistic")
 
 
 def _draw(rng: np.random.Generator, kind: str, *args):
@@ -113,10 +119,6 @@ def random_draws(space: dict[str, tuple], n: int, seed: int) -> list[dict]:
     return [{k: _draw(rng, *v) for k, v in space.items()} for _ in range(n)]
 
 
-#: Of a Parzen search: trials drawn at random first, the share of trials that count as good, candidates a draw.
-FIRST_TRIALS, GOOD_SHARE, CANDIDATES = 10, 0.25, 24
-
-
 def parzen_draw(space: dict[str, tuple], tried: list[tuple[dict, float]], rng: np.random.Generator) -> dict:
     """The next setting: of candidates drawn around good settings, name by name, that which is likeliest among the good
     ones against all others, as densities of normal kernels tell (shares, for choices). Random for the first trials."""
@@ -143,60 +145,58 @@ def parzen_draw(space: dict[str, tuple], tried: list[tuple[dict, float]], rng: n
     return out
 
 
-SPACES = {
-    "gbt": {"maxIter": ("int", 10, 40), "maxDepth": ("int", 3, 7), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("uniform", 0.6, 1.0)},
-    "random_forest": {"numTrees": ("int", 10, 60), "maxDepth": ("int", 3, 12), "minInstancesPerNode": ("int", 1, 10)},
-    "logistic": {"regParam": ("log", 1e-4, 10.0)},
-    "ridge": {"regParam": ("log", 1e-3, 100.0)},
-}
-
+def folds_of(x: np.ndarray, y: np.ndarray, folds: int, seed: int, strata: bool) -> np.ndarray:
+    """A fold for each row: dealt in turn, in every stratum, in an order drawn from the rows' values, not from where they lay."""
+    rng, out = np.random.default_rng(seed), np.empty(len(y), np.int64)
+    at = np.lexsort((*x.T, y))
+    at = at[rng.permutation(len(at))]
+    if strata:
+        at = at[np.argsort(y[at], kind="stable")]
+    _, first, n = np.unique(y[at], return_index=True, return_counts=True) if strata else (None, [0], [len(at)])
+    for start, size in zip(first, n, strict=True):
+        out[at[start : start + size]] = np.arange(size) % folds
+    return out
 
-def with_params(model, params: dict):
-    inner = model.getClassifier() if isinstance(model, OneVsRest) else model
-    tuned = inner.copy({inner.getParam(k): v for k, v in params.items()})
-    return model.copy({model.classifier: tuned}) if isinstance(model, OneVsRest) else tuned
 
+def tuned(names: tuple[str, ...], train: DataFrame, task: TaskType, n_classes: int, n_trials: int, folds: int = 3, seed: int = 42, search: str = "random") -> dict[str, dict]:
+    """The best of n_trials settings of each model by the mean of the folds' macro-F1 or R², drawn at random or by a
+    Parzen search (search='tpe'); nothing set for no trials.
 
-def tuned(name: str, model, train: DataFrame, task: TaskType, n_trials: int, folds: int = 3, seed: int = 42, search: str = "random"):
-    """The best of n_trials settings, drawn at random or by a Parzen search (search='tpe'), by the mean of the folds'
-    macro-F1 or R²; the model itself for no trials."""
+    Trials are fitted on up to TUNING_ROWS rows, a uniform sample. Random trials of all models and folds are tasks of
+    one job; a Parzen search draws AT_ONCE settings at a time.
+    """
     if not n_trials:
-        return model
-    own = train.select("features", "y", "label")
-    shuffled = F.xxhash64(F.lit(seed), vector_to_array("features"), "y")
-    data = fold_of(own, folds, None if task is TaskType.REGRESSION else "label", [shuffled]).persist()
-    metric = "r2" if task is TaskType.REGRESSION else "value"
-    best, best_value, tried, rng = model, -np.inf, [], np.random.default_rng(seed)
-    at_random = random_draws(SPACES[name], n_trials, seed)
-    for trial in range(n_trials):
-        params = at_random[trial] if search == "random" else parzen_draw(SPACES[name], tried, rng)
-        values = []
-        for k in range(folds):
-            fitted = with_params(model, params).fit(data.filter(F.col("fold") != k))
-            scored = fitted.transform(data.filter(F.col("fold") == k))
-            scores = r2_wmape(scored, "y") if task is TaskType.REGRESSION else macro_f1(scored, "y")
-            values.append(scores.first()[metric])
-        value = np.mean([v for v in values if v is not None]) if any(v is not None for v in values) else -np.inf
-        tried.append((params, value))
-        if value > best_value:
-            best, best_value = with_params(model, params), value
-    data.unpersist()
-    return best
-
-
-def scores_of(fitted: Model, test: DataFrame, task: TaskType, classes: list[str]) -> dict[str, float | None]:
-    scored = fitted.transform(test)
-    if task is TaskType.REGRESSION:
-        return r2_wmape(scored, "y").first().asDict()
-    out = {"macro_f1": macro_f1(scored, "y").first()["value"]}
-    if "probability" in scored.columns:
-        p = scored.select("y", vector_to_array("probability").alias("p")).persist()
+        return {name: {} for name in names}
+    x, y = gathered(uniform_sample(train.select("features", "y"), TUNING_ROWS, seed))
+    held = (x, y, folds_of(x, y, folds, seed, task is not TaskType.REGRESSION))
+    spark = train.sparkSession
+    if search == "random":
+        trials = [(name, p) for name in names for p in random_draws(SPACES[name], n_trials, seed)]
+        tried = list(zip(trials, trial_values(spark, held, trials, n_classes, folds, seed), strict=True))
+    else:
+        tried, rng = [], np.random.default_rng(seed)
+        while len(tried) < n_trials * len(names):
+            n = min(AT_ONCE, n_trials - len(tried) // len(names))
+            own = {name: [(p, v) for (m, p), v in tried if m == name] for name in names}
+            trials = [(name, parzen_draw(SPACES[name], own[name], rng)) for name in names for _ in range(n)]
+            tried += zip(trials, trial_values(spark, held, trials, n_classes, folds, seed), strict=True)
+    return {name: max(((p, v) for (m, p), v in tried if m == name), key=lambda t: t[1])[0] for name in names}
+
+
+def scores_of(fitted, test: DataFrame, task: TaskType, classes: list[str]) -> dict[str, float | None]:
+    """The scores of a fitted model on a table (features, y)."""
+    scored = fitted.transform(test.select("features", "y")).select("y", "scores", "prediction").persist()
+    try:
+        if task is TaskType.REGRESSION:
+            return r2_wmape(scored, "y").first().asDict()
+        out = {"macro_f1": macro_f1(scored, "y").first()["value"]}
         which = [len(classes) - 1] if task is TaskType.BINARY else range(len(classes))
-        aucs = [rank_auc(p.withColumn("s", F.get("p", F.lit(c))), F.col("y") == c, "s").first()["value"] for c in which]
+        aucs = [rank_auc(scored.withColumn("s", F.get("scores", F.lit(c))), F.col("y") == c, "s").first()["value"] for c in which]
         known = [a for a in aucs if a is not None]
         out["roc_auc"] = sum(known) / len(known) if known else None
-        p.unpersist()
-    return out
+        return out
+    finally:
+        scored.unpersist()
 
 
 @dataclass
@@ -218,75 +218,94 @@ class Dim3Result:
 
 
 class MLUtilityEvaluator:
-    def __init__(self, schema: DataSchema, target_col: str, task_type: TaskType | str, tuning_mode: str = "shared", n_tuning_trials: int = 50, trees: int = 20, random_state: int = 42, search: str = "random"):
+    def __init__(self, schema: DataSchema, target_col: str, task_type: TaskType | str, tuning_mode: str = "shared", n_tuning_trials: int = 50, trees: int = 100, random_state: int = 42, search: str = "random", cv_folds: int = 3):
         if search not in ("random", "tpe"):
             raise ValueError(f"search is random or tpe, not {search!r}")
         if tuning_mode not in ("shared", "independent"):
             raise ValueError(f"tuning_mode is shared or independent, not {tuning_mode!r}")
         self.schema, self.target, self.task = schema, target_col, TaskType(task_type)
-        self.mode, self.trials, self.trees, self.seed, self.search = tuning_mode, n_tuning_trials, trees, random_state, search
+        self.mode, self.trials, self.trees, self.seed, self.search, self.folds = tuning_mode, n_tuning_trials, trees, random_state, search, cv_folds
 
     def evaluate(self, train_synth: DataFrame, test_real: DataFrame, train_real: DataFrame | None = None) -> Dim3Result:
         columns = [c for c in self.schema.column_names if c != self.target]
         sides = {"synth": train_synth, "test": test_real} | ({"real": train_real} if train_real is not None else {})
         rows = {k: labelled(ingest(v), self.target, self.task) for k, v in sides.items()}
-        classes: list[str] = []
-        if self.task is not TaskType.REGRESSION:
-            classes = sorted(r["label"] for r in reduce(DataFrame.union, [v.select("label") for v in rows.values()]).distinct().collect())
-        fit = rows["test"]
-        data = {}
+        regression = self.task is TaskType.REGRESSION
+        classes = [] if regression else classes_of(*rows.values())
+        fit, data = rows["test"], {}
         for k, v in rows.items():
             f = ordinal_features(v, fit, self.schema, columns)
-            f = f.withColumn("y", F.col("label")) if self.task is TaskType.REGRESSION else coded(f, classes)
-            data[k] = f.select("features", "label", "y").persist()
+            f = f.withColumn("y", F.col("label")) if regression else coded(f, classes)
+            data[k] = written(f.select(vector_to_array("features").alias("features"), "label", "y"), "utility")
         out = Dim3Result()
-        try:
-            varied = {k: data[k].select("label").distinct().limit(2).count() > 1 for k in data if k != "test"}
-            for name, model in models(self.task, self.trees, self.seed).items():
-                shared = tuned(name, model, data["real"], self.task, self.trials, seed=self.seed, search=self.search) if self.mode == "shared" and varied.get("real") else None
-                for k, into in (("synth", out.tstr), ("real", out.trtr)):
-                    if varied.get(k):
-                        try:
-                            chosen = shared or tuned(name, model, data[k], self.task, self.trials, seed=self.seed, search=self.search)
-                            into[name] = scores_of(chosen.fit(data[k]), data["test"], self.task, classes)
-                        except Exception as e:  # a model that can't be fitted has no scores; the others have
-                            out.errors[f"{k}/{name}"] = f"{type(e).__name__}: {e}"
-                            into[name] = {m: None for m in (("r2", "wmape") if self.task is TaskType.REGRESSION else ("macro_f1", "roc_auc"))}
-        finally:
-            for v in data.values():
-                v.unpersist()
+        into = {k: side for k, side in (("synth", out.tstr), ("real", out.trtr)) if k in data and data[k].select("label").distinct().limit(2).count() > 1}
+        names, n_classes = models(self.task), len(classes)
+        tune = lambda k: tuned(names, data[k], self.task, n_classes, self.trials, self.folds, self.seed, self.search)
+        if self.mode == "shared" and into:
+            shared = tune("real" if "real" in into else "synth")
+            chosen = dict.fromkeys(into, shared)
+        else:
+            chosen = {k: tune(k) for k in into}
+        size = {"gbt": "rounds", "random_forest": "trees"}
+        jobs = [(k, name, ({size[name]: self.trees} if name in size else {}) | chosen[k][name]) for k in into for name in names]
+        for (k, name, _), (fitted, error) in zip(jobs, fit_all(train_synth.sparkSession, {k: data[k] for k in into}, jobs, n_classes, self.seed), strict=True):
+            if error is None:
+                into[k][name] = scores_of(fitted, data["test"], self.task, classes)
+            else:  # a model that can't be fitted has no scores; the others have
+                out.errors[f"{k}/{name}"] = error
+                into[k][name] = dict.fromkeys(("r2", "wmape") if regression else ("macro_f1", "roc_auc"))
         return out
 
 
-def fit_predict(train: DataFrame, test: DataFrame, schema: DataSchema, target: str, task: TaskType, trees: int = 20, seed: int = 42) -> DataFrame:
-    """test with label and prediction (labels again, or numbers) of a forest trained on train, of all other columns."""
+def fitted_on(train: DataFrame, name: str, params: dict, n_classes: int, seed: int):
+    """A model of a table (features, y), in a task or by Spark; its error is raised."""
+    (fitted, error), *_ = fit_all(train.sparkSession, {"train": train}, [("train", name, params)], n_classes, seed)
+    if error is not None:
+        raise ValueError(error)
+    return fitted
+
+
+def fit_predict(train: DataFrame, test: DataFrame, schema: DataSchema, target: str, task: TaskType, trees: int = 100, seed: int = 42) -> DataFrame:
+    """test with label and prediction (labels again, or numbers) of boosted trees fitted on train, of all other columns."""
     columns = [c for c in schema.column_names if c != target]
     a, b = labelled(ingest(train), target, task), labelled(ingest(test), target, task)
+    arrays = lambda df: df.withColumn("features", vector_to_array("features"))
+    rows, params = arrays(ordinal_features(b, b, schema, columns)), {"rounds": trees, "depth": 6}
     if task is TaskType.REGRESSION:
-        model = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=6, seed=seed)
-        fitted = model.fit(ordinal_features(a, b, schema, columns).withColumn("y", F.col("label")))
-        return fitted.transform(ordinal_features(b, b, schema, columns))
-    classes = sorted(r["label"] for r in a.select("label").union(b.select("label")).distinct().collect())
-    model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=6, seed=seed).fit(coded(ordinal_features(a, b, schema, columns), classes))
+        return fitted_on(arrays(ordinal_features(a, b, schema, columns)).withColumn("y", F.col("label")), "gbt", params, 0, seed).transform(rows).drop("scores")
+    classes = classes_of(a, b)
+    fitted = fitted_on(arrays(coded(ordinal_features(a, b, schema, columns), classes)), "gbt", params, len(classes), seed)
     names = F.array(*[F.lit(c) for c in classes])
-    return model.transform(ordinal_features(b, b, schema, columns)).withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
+    return fitted.transform(rows).drop("scores").withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
+
+
+def fold_auc(held: tuple, job: tuple[str, dict, int, int]) -> float:
+    """The AUC of a classifier of two sides on a fold that it wasn't fitted on."""
+    (x, y, fold), (name, params, k, seed) = held, job
+    own = fold == k
+    return auc_of(y[own] == 1, fit_rows(name, params, x[~own], y[~own], 2, seed).predict(x[own])[:, 1])
 
 
-def c2st_auc(real: DataFrame, synth: DataFrame, schema: DataSchema, folds: int = 5, max_samples: int = 50_000, seed: int = 42, trees: int = 20) -> dict[str, float | None]:
-    """Mean AUC over folds of telling real (1) from synthetic (0) rows, of two models."""
+def c2st_auc(real: DataFrame, synth: DataFrame, schema: DataSchema, folds: int = 5, max_samples: int = 50_000, seed: int = 42, trees: int = 300) -> dict[str, float | None]:
+    """Mean AUC over stratified folds of telling real (1) from synthetic (0) rows, of two models; folds and models are
+    tasks of one job, where the rows fit a task."""
     encoder = build_feature_encoder(schema, real)
-    parts = [encoder.vectors(uniform_sample(ingest(d), max_samples, seed)).select(F.lit(y).alias("y"), "features") for d, y in ((real, 1.0), (synth, 0.0))]
-    # Stratified: each side is dealt to the folds in turn, in the order of a hash.
-    data = fold_of(parts[0].unionByName(parts[1]), folds, "y", [F.xxhash64(F.lit(seed), vector_to_array("features"))]).persist()
+    parts = [encoder.compact(uniform_sample(ingest(d), max_samples, seed), "_nums", "_codes").select(F.lit(y).alias("y"), F.concat("_nums", "_codes").alias("features")) for d, y in ((real, 1.0), (synth, 0.0))]
+    data = written(parts[0].unionByName(parts[1]), "c2st")
+    settings = {"gbt": C2ST["gbt"] | {"rounds": trees}, "random_forest": C2ST["random_forest"] | {"trees": trees}}
+    jobs = [(name, p, k, seed) for name, p in settings.items() for k in range(folds)]
+    if fits_a_task(data):
+        x, y = gathered(data)
+        got = [v for v, _ in at_once(real.sparkSession, jobs, fold_auc, (x, y, folds_of(x, y, folds, seed, True)))]
+    else:
+        dealt, got = written(fold_of(data, folds, "y", [F.xxhash64(F.lit(seed), "features")]), "folds"), []
+        for name, p, k, _ in jobs:
+            scored = fit_spread(name, p, dealt.filter(F.col("fold") != k), 2, seed).transform(dealt.filter(F.col("fold") == k).select("features", "y"))
+            got.append(rank_auc(scored.select("y", F.get("scores", F.lit(1)).alias("s")), F.col("y") == 1, "s").first()["value"])
     out = {}
-    for name, model in (("gbt", GBTClassifier(labelCol="y", maxIter=trees, maxDepth=4, seed=seed)), ("random_forest", RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=8, seed=seed))):
-        values = []
-        for k in range(folds):
-            scored = model.fit(data.filter(F.col("fold") != k)).transform(data.filter(F.col("fold") == k))
-            values.append(rank_auc(scored.select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("s")), F.col("y") == 1, "s").first()["value"])
-        known = [v for v in values if v is not None]
+    for i, name in enumerate(settings):
+        known = [v for v in got[i * folds : (i + 1) * folds] if v is not None and not np.isnan(v)]
         out[name] = sum(known) / len(known) if known else None
-    data.unpersist()
     return out
 
 
@@ -311,11 +330,12 @@ def numeric_utility(synth: DataFrame, train_real: DataFrame, test_real: DataFram
     test, out = labelled(ingest(test_real), target, TaskType.MULTI), {}
     for name, rows in (("tstr", synth), ("real", train_real)):
         train = labelled(ingest(rows), target, TaskType.MULTI)
-        classes = sorted(r["label"] for r in train.select("label").distinct().collect())
+        classes = classes_of(train)
         seen = drop_unseen_labels(test, train)
         if len(classes) < 2:
             out[name] = None
             continue
-        model = RandomForestClassifier(labelCol="y", numTrees=trees, seed=seed).fit(coded(ordinal_features(train, train, schema, columns), classes))
-        out[name] = macro_f1(model.transform(coded(ordinal_features(seen, train, schema, columns), classes)), "y").first()["value"]
+        rows = lambda df, train=train, classes=classes: coded(ordinal_features(df, train, schema, columns), classes)
+        model = fitted_on(rows(train), "random_forest", {"trees": trees}, len(classes), seed)
+        out[name] = macro_f1(model.transform(rows(seen).select("features", "y")), "y").first()["value"]
     return out

@@ -228,7 +228,7 @@ def test_utility_and_probe(spark, small):
 
 def test_tuning_draws():
     a, b = (utility.random_draws(utility.SPACES["gbt"], 3, 1) for _ in range(2))
-    assert a == b and all(3 <= x["maxDepth"] <= 7 and 0.01 <= x["stepSize"] <= 0.3 for x in a)
+    assert a == b and all(3 <= x["depth"] <= 9 and 100 <= x["rounds"] <= 500 and 0.01 <= x["rate"] <= 0.3 for x in a)
 
 
 def test_privacy(spark, small):
@@ -321,7 +321,7 @@ def test_registered_bundle_is_whole(spark, monkeypatch):
     monkeypatch.setattr(BenchmarkPipeline, "run", lambda self, synth: seen.append(self.config))
     bundle_of(spark, DATA)
     (c,), plain_ = seen, PipelineConfig(None)
-    for name in ("dimensions", "max_samples", "max_privacy_rows", "trees", "n_tuning_trials", "min_clean_rows"):
+    for name in ("dimensions", "max_samples", "max_privacy_rows", "trees", "c2st_trees", "n_tuning_trials", "min_clean_rows"):
         assert getattr(c, name) == getattr(plain_, name), name
     assert c.dimensions == (0, 1, 2, 3, 4, 5) and c.target_col and c.task_type and c.fair_spec
     real = P.li(spark, DATA)[0]

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, logic, neighbors, ordering, sampling, search, structural, utility
+from tabscore.operators import bootstrap, density, encoders, fairness, fidelity, leaderboard, learners, logic, neighbors, ordering, sampling, search, structural, trees, utility
 from tabscore.operators import schema as schema_module
 from tabscore.operators.schema import DataSchema
 from tabscore.operators.specs import FairSpec, LogicSpec, TaskType
@@ -296,21 +296,125 @@ def test_parzen_search_draws_where_trials_were_good():
     assert np.mean(late) > np.mean(early) + 2 and max(late) > max(early)
 
 
-def test_models_that_cannot_be_fitted_say_why(spark, people):
-    class Broken(utility.MLUtilityEvaluator):
-        pass
+@pytest.mark.parametrize("large", [False, True])
+def test_models_that_cannot_be_fitted_say_why(spark, people, monkeypatch, large):
+    monkeypatch.setattr(utility, "models", lambda task: ("bad", "logistic"))
+    if large:
+        monkeypatch.setattr(learners, "TASK_ROWS", 0)
+    r = utility.MLUtilityEvaluator(DataSchema(people), "y", TaskType.BINARY, n_tuning_trials=0, trees=3).evaluate(people, people)
+    assert r.tstr["bad"] == {"macro_f1": None, "roc_auc": None} and "KeyError" in r.errors["synth/bad"]
+    assert r.tstr["logistic"]["roc_auc"] > 0.5 and list(r.errors) == ["synth/bad"]
 
-    e = Broken(DataSchema(people), "y", TaskType.BINARY, n_tuning_trials=0, trees=3)
-    old = utility.models
-    utility.models = lambda *a: {"bad": type("Bad", (), {"fit": lambda self, d: 1 / 0})()}
-    try:
-        r = e.evaluate(people, people)
-    finally:
-        utility.models = old
-    assert r.tstr["bad"] == {"macro_f1": None, "roc_auc": None} and "ZeroDivisionError" in r.errors["synth/bad"]
 
+# Trees and trials
+
+
+def best_split(bins: np.ndarray, stats: np.ndarray, ridge: float) -> float:
+    """The gain of the best split, by trying all."""
+    score = lambda s: (s[:-1] ** 2).sum() / (s[-1] + ridge + 1e-12)
+    whole = stats.sum(axis=0)
+    out = 0.0
+    for j in range(bins.shape[1]):
+        for limit in np.unique(bins[:, j]):
+            left = stats[bins[:, j] <= limit].sum(axis=0)
+            if min(left[-1], whole[-1] - left[-1]) >= 1:
+                out = max(out, score(left) + score(whole - left) - score(whole))
+    return out
 
-# The rest
+
+def test_trees_split_where_all_tries_say(spark):
+    rng = np.random.default_rng(2)
+    for trial in range(20):
+        n = int(rng.integers(4, 200))
+        bins = rng.integers(0, trees.BINS, (n, 3)).astype(np.uint8)
+        labels = rng.integers(0, 3, n)
+        stats = np.concatenate([np.eye(3)[labels], np.ones((n, 1))], axis=1)
+        g = trees.Growth(depth=4, ridge=0.0)
+        locals_ = trees.Local(bins, stats), trees.Local(bins, None, labels, 3)
+        one, two = (trees.grow(x.sums, x.split, g, np.random.default_rng(1), 3) for x in locals_)
+        assert one.feature == two.feature and one.bin == two.bin and np.allclose(np.array(one.value), np.array(two.value))
+        assert (locals_[0].node == one.leaves(bins)).all()
+        # Of every inner node, the split is the best of all; a leaf's value is its mean.
+        rows = {0: np.arange(n)}
+        for node, (f, limit, left) in enumerate(zip(one.feature, one.bin, one.left, strict=True)):
+            own = rows[node]
+            assert np.allclose(one.value[node], np.eye(3)[labels[own]].mean(axis=0))
+            if f >= 0:
+                went = bins[own, f] > limit
+                rows[left], rows[left + 1] = own[~went], own[went]
+                score = lambda s: (s[:-1] ** 2).sum() / s[-1]
+                gain = sum(score(stats[r].sum(axis=0)) for r in (own[~went], own[went])) - score(stats[own].sum(axis=0))
+                assert gain == pytest.approx(best_split(bins[own], stats[own], 0.0))
+
+
+@pytest.mark.parametrize("n_classes", [0, 2, 3])
+def test_histograms_of_spark_grow_the_trees_of_a_task(spark, n_classes, monkeypatch):
+    monkeypatch.setattr(trees, "REFRESH", 2)
+    rng = np.random.default_rng(n_classes)
+    x = rng.normal(size=(400, 3))
+    z = x[:, 0] * x[:, 1] + x[:, 2]
+    y = (np.digitize(z, [0.0, 1.0][: max(0, n_classes - 1)]) if n_classes else z).astype(float)
+    df = spark.createDataFrame([(list(map(float, r)), float(t)) for r, t in zip(x, y, strict=True)], "x array<double>, y double").repartition(3)
+    binner = trees.Binner.of_rows(x)
+    growth = trees.Growth(depth=2)
+    here = trees.boost(binner.bins(x), y, n_classes, 3, 0.5, growth=growth)
+    there = trees.spread_boost(trees.quantised(df, binner), 3, n_classes, 3, 0.5, growth=growth)
+    a, b = here.predict(binner.bins(x)), there.predict(binner.bins(x))
+    assert a.shape == (400, max(1, n_classes)) and np.allclose(a, b)
+    assert not n_classes or (a.argmax(axis=1) == y).mean() > 0.6
+    close = trees.Binner.of(df, 3)
+    assert all(abs(len(e) - len(f)) <= 1 for e, f in zip(close.edges, binner.edges, strict=True))
+
+
+@pytest.mark.parametrize("task", [TaskType.BINARY, TaskType.REGRESSION])
+def test_models_of_tasks_and_of_spark_score_alike(spark, monkeypatch, task):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), "uvw"[c], str(int(a + b > 0) + (int(b > 1) if task is TaskType.MULTI else 0)), float(a - b + c)) for a, b, c in zip(rng.normal(size=400), rng.normal(size=400), rng.integers(0, 3, 400), strict=True)]
+    target = "t" if task is TaskType.REGRESSION else "y"
+    df = spark.createDataFrame(rows, "a double, b double, c string, y string, t double").drop("y" if target == "t" else "t")
+    s = DataSchema(df)
+    found = []
+    for limit in (100_000, 0):
+        monkeypatch.setattr(learners, "TASK_ROWS", limit)
+        r = utility.MLUtilityEvaluator(s, target, task, n_tuning_trials=0, trees=3).evaluate(df, df)
+        assert not r.errors
+        found.append(r.tstr)
+    assert set(found[0]) == set(utility.models(task))
+    for name in found[0]:
+        for score in found[0][name]:
+            assert found[0][name][score] == pytest.approx(found[1][name][score], abs=0.2), (name, score)
+
+
+@pytest.mark.parametrize("search", ["random", "tpe"])
+def test_trials_of_all_models_and_folds_are_tasks_of_few_jobs(spark, monkeypatch, search):
+    monkeypatch.setattr(utility, "SPACES", {"gbt": {"rounds": ("int", 1, 4), "depth": ("int", 1, 3)}, "logistic": {"c": ("log", 1e-3, 10.0)}})
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame([([float(a), float(b)], float(a + b > 0)) for a, b in x], "features array<double>, y double")
+    calls = []
+    at_once = learners.at_once
+    monkeypatch.setattr(learners, "at_once", lambda spark, jobs, *rest: calls.append(len(jobs)) or at_once(spark, jobs, *rest))
+    best = utility.tuned(("gbt", "logistic"), df, TaskType.BINARY, 2, 12, 3, 1, search)
+    assert set(best) == {"gbt", "logistic"} and sum(calls) == 2 * 12 * 3 and len(calls) == (1 if search == "random" else 2)
+    again = utility.tuned(("gbt", "logistic"), df.repartition(5), TaskType.BINARY, 2, 12, 3, 1, search)
+    assert best == again
+
+
+def test_scores_of_arrays_are_those_of_tables(spark):
+    rng = np.random.default_rng(9)
+    y, p, s = rng.integers(0, 3, 200), rng.integers(0, 3, 200), rng.normal(size=200).round(1)
+    df = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(y, p, s, strict=True)], "y int, p int, s double")
+    assert learners.f1_of(y, p) == pytest.approx(utility.macro_f1(df, "y", "p").first()["value"])
+    assert learners.auc_of(y == 1, s) == pytest.approx(utility.rank_auc(df, F.col("y") == 1, "s").first()["value"])
+    x = rng.normal(size=(300, 2))
+    m = learners.logistic(x, (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float), 2, 1.0)
+    assert (m.predict(x).argmax(axis=1) == (x[:, 0] > 0)).mean() > 0.9
+
+
+def test_targets_of_too_many_labels_are_named(spark, monkeypatch):
+    monkeypatch.setattr(utility, "MOST_CLASSES", 3)
+    with pytest.raises(ValueError, match="more than 3 labels"):
+        utility.classes_of(spark.createDataFrame([(str(i),) for i in range(5)], "label string"))
 
 
 def test_pareto_front_over_many_ranges_is_that_of_all_pairs(spark):
