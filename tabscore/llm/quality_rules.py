@@ -1,9 +1,14 @@
 """Quality rules: word and line counts, and how well public tokenizers fit a text.
 
-Three measures of fertility over the whole text: characters for each token of a byte-level BPE vocabulary, the share
-of its words' bytes that a piece vocabulary falls back to, as it has no other piece for them, and the entropy of the
-token ids in bits. A text's language is told by its function words, its script by its letters; each has its own bands, and a text
-outside one of them is rejected.
+Measures of fertility over the whole text: tokens a word and characters a token of a byte-level BPE vocabulary made for
+many languages, the share of its words' bytes that a piece vocabulary falls back to, as it has no other piece for them,
+and the entropy of the token ids in bits. A text's language is told by its function words, its script by its letters.
+
+The bands of each language or script come from the table itself: quartiles of the measures over all texts that pass
+the base rule, from counts of rounded values, by one aggregation. A band reaches from the median by a factor, or
+further where the quartiles lie far apart. Latin script in no known language is held to the bands of all known Latin
+languages together, as it may be anything that isn't prose; a language with few texts is held to those too. A text
+outside one of its bands is rejected, and nothing else is asked.
 """
 
 from __future__ import annotations
@@ -12,27 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscore.llm.common import materialize
 from tabscore.llm.language import FUNCTION_WORDS, Language
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
-MEASURES = "language string, chars_per_token double, byte_share double, entropy double"
-MIN_WORDS = 50
-#: Bands by language or script: least and most characters a token, most byte share, least and most bits of entropy. The
-#: bands are wide: they are to catch texts that no tokenizer was made for, not unusual prose.
-BANDS = {
-    "en": (1.5, 7.0, 0.05, 3.5, 13.0),
-    "de": (1.2, 7.0, 0.05, 3.5, 13.0),
-    "fr": (1.2, 7.0, 0.05, 3.5, 13.0),
-    "es": (1.2, 7.0, 0.05, 3.5, 13.0),
-    # Latin script without the function words of a known language: any of its languages, however an English vocabulary fits.
-    "latin": (1.2, 8.0, 0.10, 3.0, 13.5),
-    "other": (0.3, 8.0, 0.50, 3.0, 14.0),
-}
-#: Most symbols (those of n_symbols) a word in Latin script without a known language: prose of any language has few.
-MOST_SYMBOLS = 0.1
+MEASURES = "language string, tokens_per_word double, chars_per_token double, byte_share double, entropy double"
+MIN_WORDS, VOCABULARY = 50, "byte_bpe_multi_50k"
+LATIN = tuple(FUNCTION_WORDS)
+#: By measure: how many times more or less than the median a text may have, and how many quartile distances beyond the quartiles.
+WIDTH = {"tokens_per_word": 1.5, "chars_per_token": 2.0, "entropy": 2.0}
+FENCE, LEAST_TEXTS, PLACES = 6.0, 30, 3
+#: The most bytes that fall back, in Latin and in any other script: most vocabularies lack whole scripts.
+MOST_BYTES, MOST_BYTES_OTHER = 0.10, 0.50
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -110,56 +109,89 @@ class Fertility:
     def __init__(self):
         from tabscore.llm.tokens import ByteBPE
 
-        self.bpe, self.words = ByteBPE(), Words()
+        self.bpe, self.words = ByteBPE(VOCABULARY), Words()
 
-    def __call__(self, text: bytes) -> tuple[tuple, tuple[str, float | None, float, float | None]]:
-        """The base columns, and language or script, characters a token, byte share, bits of entropy; nulls without words."""
+    def __call__(self, text: bytes) -> tuple[tuple, tuple[str, float | None, float | None, float, float | None]]:
+        """The base columns, and language or script, tokens a word, characters a token, byte share, bits of entropy; nulls without words."""
         words = text.split()
         places = self.words.places(words)
         base = base_counts(text, words, places)
         sums = self.words.columns[places].sum(axis=0).tolist()
         tag = self.words.language.told(sums[1:], len(words), text)
         if not words:
-            return base, (tag, None, 0.0, None)
+            return base, (tag, None, None, 0.0, None)
         plain = text.decode("utf-8", "replace")
         ids = self.bpe.encode(plain)
         p = (np.unique(ids, return_counts=True)[1] if len(ids) < 4000 else np.bincount(ids)) / len(ids)
         p = p[p > 0]
-        return base, (tag, len(plain) / len(ids), sums[0] / sum(map(len, words)), float(-(p * np.log2(p)).sum()))
-
-
-def verdict(tag: str, chars: float | None, share: float, entropy: float | None, symbols: float = 0.0) -> bool:
-    """symbols: symbols a word."""
-    if tag == "latin" and symbols > MOST_SYMBOLS:
-        return False
-    low, high, most_bytes, least_bits, most_bits = BANDS.get(tag, BANDS["other"])
-    return chars is not None and low <= chars <= high and share <= most_bytes and least_bits <= entropy <= most_bits
+        return base, (tag, len(ids) / len(words), len(plain) / len(ids), sums[0] / sum(map(len, words)), float(-(p * np.log2(p)).sum()))
 
 
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fertility = Fertility()
-    names = [x.split()[0] for x in f"{BASE}, {MEASURES}, kept boolean".split(", ")]
-    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.string(), *[pa.float64()] * 3, pa.bool_()]
+    names = [x.split()[0] for x in f"{BASE}, {MEASURES}".split(", ")]
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.string(), *[pa.float64()] * 4]
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch, rows = whole.slice(at, 1024), []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 base, measured = fertility(text or b"")
-                rows.append((*base, *measured, not base[-1] and verdict(*measured, base[2] / max(base[0], 1))))
+                rows.append((*base, *measured))
             cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])
 
 
+def measures(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts and verdict, and the measures, for every row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_kernel, f"doc_id {kind}, {BASE}, {MEASURES}")
+
+
+def quartiles(measured: DataFrame) -> dict[tuple[str, str], tuple[int, float, float, float]]:
+    """(group, measure) -> (texts, quartiles), over texts that pass the base rule; the group latin is of all known Latin languages."""
+    groups = F.array(F.when(F.col("language") != "latin", F.col("language")), F.when(F.col("language").isin(*LATIN), F.lit("latin")))
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, PLACES).alias("value")) for m in WIDTH])
+    rows = measured.filter(~F.col("base_failed")).select(F.explode(F.array_compact(groups)).alias("group"), cells.alias("cells")).select("group", F.inline("cells"))
+    counts = rows.groupBy("group", "measure", "value").agg(F.count("*").alias("n"))
+    found = counts.groupBy("group", "measure").agg(F.sum("n").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    return {(r["group"], r["measure"]): (r["n"], *r["q"]) for r in found.collect()}
+
+
+def bands(measured: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
+    """The least and most of each measure, by language or script; a group with too few texts has those of latin, if that has enough."""
+    found, out = quartiles(measured), {}
+    for group in (*LATIN, "latin", "other"):
+        for m, width in WIDTH.items():
+            n, low, middle, high = found.get((group, m), (0, None, None, None))
+            if n < LEAST_TEXTS and group in LATIN:
+                n, low, middle, high = found.get(("latin", m), (0, None, None, None))
+            if n >= LEAST_TEXTS:
+                out.setdefault(group, {})[m] = (min(middle / width, low - FENCE * (high - low)), max(middle * width, high + FENCE * (high - low)))
+    return out
+
+
+def within(of: dict[str, dict[str, tuple[float, float]]]) -> Column:
+    """Whether a row's measures lie in its group's bands."""
+    byte_share = F.col("byte_share") <= F.when(F.col("language") == "other", MOST_BYTES_OTHER).otherwise(MOST_BYTES)
+    out = F.col("tokens_per_word").isNotNull() & byte_share
+    for group, own in of.items():
+        for m, (low, high) in own.items():
+            if group != "other" or m != "tokens_per_word":  # other scripts may not put blanks between words
+                out &= (F.col("language") != group) | F.col(m).between(low, high)
+    return out
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts and verdict, the measures, and kept, for every row of docs.
 
     Null, empty and blank texts have no words: they fail the base rule, their measures are null and they are not
-    kept. Rows are judged one by one, so repeated ones agree. Other columns are not used.
+    kept. Repeated rows agree, and count each for themselves in the bands; where a group has too few texts for bands,
+    only the share of fallback bytes is asked. No rows give no rows. Other columns are not used.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_kernel, f"doc_id {kind}, {BASE}, {MEASURES}, kept boolean")
+    measured = materialize(measures(docs), "measures")
+    return measured.withColumn("kept", ~F.col("base_failed") & within(bands(measured)))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """The registered query."""
-    return quality_rules(docs).withColumn("kept", F.col("kept") & ~F.col("base_failed"))
+    return quality_rules(docs)
