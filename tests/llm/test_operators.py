@@ -111,11 +111,46 @@ def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark):
     assert out and max(Counter(r["label"] for r in out).values()) < 40
     for label in (0, 1):
         assert sum(len(r["text"]) for r in out if r["label"] == label) <= 600
+    # A text above a text's share is left out, wherever it comes, and one that doesn't fit any more is passed over.
+    long = docs.union(spark.createDataFrame([(i, "y" * 9000) for i in range(0, 400, 7)] + [(i, "z" * 700) for i in range(400)], docs.schema))
+    out = toxicity.sample(long, labels, most_rows=400, most_bytes=40_000).collect()
+    lengths = Counter(r["label"] for r in out)
+    assert max(len(r["text"]) for r in out) == 700 and min(lengths.values()) > 50
+    for label in (0, 1):
+        assert 18_000 < sum(len(r["text"]) for r in out if r["label"] == label) <= 20_000
+    # A label that has longer texts only keeps its shortest.
+    only = spark.createDataFrame([(i, "a" * (i + 1)) if i % 2 == 0 else (i, "b" * (5000 + i)) for i in range(100)], "doc_id int, text string")
+    out = toxicity.sample(only, labels.filter("doc_id < 100"), most_rows=60, most_bytes=20_000).collect()
+    assert [len(r["text"]) for r in out if r["label"] == 1] == [min(5000 + i for i in range(1, 100, 2) if zlib.crc32(str(i).encode()) % 5)]
     held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
     everything = {r["text"] for r in toxicity.sample(docs, labels).collect()}
     assert everything == {t for i, t in [*[r[:2] for r in table], *[(1, f"another text of 1, {k}") for k in range(300)]] if i not in held}
 
 
+def plain_score(model, text: str) -> float:
+    """The network by loops: hashed rows of each word, every filter at every place, the maximum, the weights, the threshold."""
+    t = (text or "").encode()
+    words = toxicity.words_in(t)
+    vectors = np.zeros((max(1, len(words)) + toxicity.PAD, toxicity.DIM))
+    for i, w in enumerate(words):
+        vectors[i] = sum(model.embed[r].astype(float) for r in toxicity.unpacked(toxicity.rows_of(w))[0])
+    n = max(1, len(words))
+    pooled = np.concatenate([sum(vectors[k : n + k] @ f[k] for k in range(len(f))).max(axis=0) for f in model.filters])
+    z = np.maximum(pooled, 0) @ model.out + model.bias - model.thresholds.get(plain_language(text or ""), model.thresholds[""])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_query_scores_every_row_by_the_fitted_model(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 2, raising=False)
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    want = sorted((r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, plain_score(model, r["text"])) for r in docs.collect())
+    got_ = sorted((r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in queries()["op2_toxicity"](spark, d).collect())
+    assert [g[:2] for g in got_] == [w[:2] for w in want]
+    assert [g[2] for g in got_] == pytest.approx([w[2] for w in want], abs=1e-4) and all(0 <= g[2] <= 1 and g[3] == (g[2] >= 0.5) for g in got_)
+
+
 def test_every_language_has_a_threshold_of_its_own():
     rng = np.random.default_rng(3)
     model = toxicity.train([])
@@ -601,23 +636,28 @@ def test_fingerprints_of_short_texts_hang_on_no_single_bin(spark):
 
 
 def plain_measures(text: str, encoders: dict) -> tuple:
-    """characters a token, byte share, bits of entropy, from the public encoders over the whole text."""
+    """tokens a word, characters a token, byte share, bits of entropy, from the public encoders over the whole text."""
     w = re.findall("[^\x20\x09-\x0d]+", text)
     if not w:
-        return None, 0.0, None
-    ids = encoders["bytes"].encode(text, add_special_tokens=False).ids
+        return None, None, 0.0, None
+    ids = encoders["bytes"].encode_ordinary(text)
     pieces = encoders["pieces"].encode(" ".join(w))
     bits = -sum(n / len(ids) * np.log2(n / len(ids)) for n in Counter(ids).values())
-    return len(text) / len(ids), sum(map(encoders["pieces"].is_byte, pieces)) / sum(len(x.encode()) for x in w), bits
+    return len(ids) / len(w), len(text) / len(ids), sum(map(encoders["pieces"].is_byte, pieces)) / sum(len(x.encode()) for x in w), bits
 
 
 @pytest.fixture(scope="module")
 def encoders():
+    import base64
+
     import public_tokenizers
     import sentencepiece
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    return {"bytes": Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "pieces": sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    many = tiktoken.Encoding("many", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {"bytes": many, "pieces": sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))}
 
 
 def test_quality_rules(docs, empty, encoders):
@@ -634,17 +674,26 @@ def test_quality_rules(docs, empty, encoders):
                 seen.add(x)
         symbols = len(re.findall("[#*$%&|<>]", t))
         failed = len(w) < 50 or 100 * len(marked) > 50 * len(w)
-        chars, share, bits = plain_measures(t, encoders)
-        measured[doc_id].append((chars, share, bits))
-        tag = plain_language(t)
-        low, high, most, least_bits, most_bits = quality_rules.BANDS[tag]
-        kept = not failed and low <= chars <= high and share <= most and least_bits <= bits <= most_bits and not (tag == "latin" and symbols > quality_rules.MOST_SYMBOLS * len(w))
-        want.append((doc_id, len(w), sum(map(len, w)), symbols, dup, len(marked), failed, kept))
+        measured[doc_id].append(plain_measures(t, encoders))
+        want.append([doc_id, len(w), sum(map(len, w)), symbols, dup, len(marked), failed, plain_language(t), *measured[doc_id][-1]])
+    # The bands anew: quartiles of what passes the base rule, of a language or of all known Latin ones.
+    passed = [r for r in want if not r[6]]
+    for r in want:
+        tag, kept = r[7], not r[6] and r[10] <= (0.5 if r[7] == "other" else 0.1)
+        for at, times in ((8, 1.5), (9, 2.0), (11, 2.0)):
+            own = [round(x[at], 3) for x in passed if x[7] == tag and tag != "latin" or tag == "latin" and x[7] in ("en", "de", "fr", "es")]
+            if len(own) < 30 and tag in ("en", "de", "fr", "es"):
+                own = [round(x[at], 3) for x in passed if x[7] in ("en", "de", "fr", "es")]
+            if kept and len(own) >= 30 and (tag != "other" or at != 8):
+                q1, q2, q3 = np.quantile(own, [0.25, 0.5, 0.75])
+                kept = min(q2 / times, q1 - 6 * (q3 - q1)) <= r[at] <= max(q2 * times, q3 + 6 * (q3 - q1))
+        r.append(bool(kept))
+    want = [(*r[:7], r[-1]) for r in want]
     out = quality_rules.verdicts(docs)
     assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted(want, key=str)
     assert 5 < sum(w[-1] for w in want) < len(want)
     for r in out.collect():
-        own = (r["chars_per_token"], r["byte_share"], r["entropy"])
+        own = (r["tokens_per_word"], r["chars_per_token"], r["byte_share"], r["entropy"])
         assert any(own == pytest.approx(m) for m in measured[r["doc_id"]])
     assert quality_rules.verdicts(empty).count() == 0
 
@@ -686,11 +735,11 @@ def test_words_forget_and_grow(monkeypatch):
 
 
 def test_fertility_bands_keep_prose_and_reject_what_no_vocabulary_knows(spark):
-    english = "The quick brown fox jumps over the lazy dog and runs to the river, which is not far from the old mill. " * 3
+    english = "The quick brown fox jumps over the lazy dog and runs to the river, which is not far from the old mill. "
     noise = " ".join(chr(0x1200 + (7 * i) % 300) * 9 + str(i) for i in range(120))
-    d = spark.createDataFrame([(1, " ".join(f"{w}" for w in (english + " It was a day like many others in that small town by the sea, said the woman with her book, as they had been told.").split())), (2, noise)], "doc_id int, text string")
+    d = spark.createDataFrame([(1, " ".join(f"{w}" for w in (english + " It was a day like many others in that small town by the sea, said the woman with her book, as they had been told by one who came from there. Nobody knew why he left.").split())), (2, noise)], "doc_id int, text string")
     tags = {r["doc_id"]: r for r in quality_rules.quality_rules(d).collect()}
-    assert tags[1]["language"] == "en" and quality_rules.verdict("en", tags[1]["chars_per_token"], tags[1]["byte_share"], tags[1]["entropy"])
+    assert tags[1]["language"] == "en" and tags[1]["kept"]
     assert not tags[2]["kept"] and tags[2]["byte_share"] > 0.5
 
 
@@ -703,12 +752,19 @@ def test_quality_rules_keep_prose_of_other_latin_languages(spark):
     sazlıkların arasında ötmeye başlamıştı. Torunu kürekleri ve içinde ekmek bulunan küçük sepeti taşıyordu. Bir süre ikisi de konuşmadan karşı kıyıya
     baktılar. Sonra küçük kız bugün büyük bir balık tutup tutamayacaklarını sordu. Dedesi yalnızca gülümsedi, kayığa bindi ve buna her zaman olduğu gibi
     gölün karar vereceğini söyledi."""
+    vietnamese = """Sáng sớm, ông lão đánh cá bước ra khỏi nhà và đi theo con đường nhỏ xuống hồ. Sương mù vẫn còn phủ trên mặt nước, nhưng chim chóc đã
+    bắt đầu hót trong đám lau sậy. Cháu gái ông mang theo mái chèo và một giỏ bánh mì nhỏ. Hai ông cháu im lặng một lúc lâu, nhìn sang bờ bên kia.
+    Rồi cô bé hỏi hôm nay họ có bắt được con cá nào thật to không. Ông chỉ mỉm cười, bước xuống thuyền và nói rằng hồ nước sẽ tự quyết định như mọi khi."""
     junk = " ".join(f"{w}{m}" for w, m in zip(polish.split(), ["***", "&&&", "%%%"] * 99, strict=False))
-    menu = " | ".join(polish.split())
-    d = spark.createDataFrame(list(enumerate([polish, turkish, junk, menu])), "doc_id int, text string")
-    out = sorted(quality_rules.verdicts(d).collect(), key=lambda r: r["doc_id"])
-    assert [r["language"] for r in out] == ["latin"] * 4 and all(r["chars_per_token"] < 2.6 for r in out[:2])
-    assert [r["kept"] for r in out] == [True, True, False, False]
+    keys = " ".join(hashlib.sha256(w.encode()).hexdigest()[:12] for w in polish.split())
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang is not null").select("doc_id", "text")
+    odd = spark.createDataFrame(list(enumerate([polish, turkish, vietnamese, junk, keys], -5)), "doc_id int, text string")
+    d = given.unionByName(odd.withColumn("doc_id", F.col("doc_id").cast(given.schema["doc_id"].dataType)))
+    out = {r["doc_id"]: r for r in quality_rules.verdicts(d).collect()}
+    assert [out[i]["kept"] for i in range(-5, 0)] == [True, True, True, False, False]
+    assert not any(out[i]["base_failed"] for i in range(-5, 0)) and out[-2]["tokens_per_word"] > 1.5 * out[-5]["tokens_per_word"]
+    passed = [r for i, r in out.items() if i >= 0 and not r["base_failed"] and r["language"] in ("en", "de", "fr", "es")]
+    assert sum(r["kept"] for r in passed) >= 0.99 * len(passed)
 
 
 # 9
