@@ -6,8 +6,10 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,15 @@ def fd_softness(real: DataFrame, det: str, dep: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_det"), F.count(F.when(F.col("k") > 1, 1)).alias("n_soft")).withColumn("softness", ratio(F.col("n_soft"), F.col("n_det")))
 
 
-#: Rows of a lookup table that are sent to every task; a larger one is joined by a shuffle.
-LOOKUP_ROWS = 100_000
+#: Rows and bytes of a lookup table that is sent to every task; a larger one is joined by a shuffle.
+LOOKUP_ROWS, LOOKUP_BYTES = 100_000, 16 << 20
 
 
 def _lookup(table: DataFrame) -> DataFrame:
-    """table, as one that is sent to every task if it is known to be small: it is counted, up to LOOKUP_ROWS, first."""
-    return F.broadcast(table) if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else table
+    """table, of texts, as one that is sent to every task if it is known to be small: its rows and bytes are counted first."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in table.columns), F.lit(0))
+    n, held = table.select(size.alias("s")).agg(F.count("*"), F.sum("s")).first()
+    return F.broadcast(table) if n <= LOOKUP_ROWS and (held or 0) <= LOOKUP_BYTES else table
 
 
 def fd_flags(real: DataFrame, synth: DataFrame, fds: list[tuple[str, str]]) -> DataFrame:
@@ -143,6 +147,56 @@ def discover_fds(real_df: DataFrame, schema: DataSchema | None = None, max_uniqu
     return [(r["det"], r["dep"]) for r in fd_scan(real_df, columns, max_unique_determinant, min_rows).collect()]
 
 
+def partitions_of(codes: np.ndarray) -> np.ndarray:
+    """The class of each row by its codes."""
+    return np.unique(codes, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def composite_fds(df: DataFrame, columns: list[str], most: int = 3, sample_rows: int = 5_000) -> list[tuple[tuple[str, ...], str]]:
+    """All minimal dependencies (determinants, dependent) of up to `most` determinants that hold in every row of df.
+
+    Level by level, from one determinant on. A dependency that sample_rows rows break is dropped there and then, by the
+    classes into which their determinants part them. What is left is tested on all rows: a set of columns has as many
+    distinct tuples with the dependent as without it, if it determines it. All sets of a level are counted by one job,
+    on hashes of 128 bits of the tuples. Sets that hold aren't extended, and neither are keys, which determine all.
+    Missing values are values here: equal to each other.
+    """
+    n = len(columns)
+    rows = df.select(*[F.coalesce(F.concat(F.lit("+"), text_of(df, c, None)), F.lit("-")).alias(f"c{i}") for i, c in enumerate(columns)])
+    small = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(sample_rows).toArrow()
+    codes = np.stack([np.unique(small.column(i).to_numpy(zero_copy_only=False), return_inverse=True)[1] for i in range(n)], axis=1) if small.num_rows else np.empty((0, n), int)
+    known: dict[frozenset[int], int] = {}
+
+    def count(sets: set[frozenset[int]]) -> None:
+        new = sorted((s for s in sets if s not in known), key=sorted)
+        if not new:
+            return
+        tuples = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*[f"c{i}" for i in sorted(s)]).alias("h"), F.xxhash64(F.lit(1), *[f"c{i}" for i in sorted(s)]).alias("g")) for k, s in enumerate(new)])
+        found = rows.select(F.inline(tuples)).groupBy("k", "h", "g").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("*").alias("n")).collect()
+        known.update({s: 0 for s in new} | {new[r["k"]]: r["n"] for r in found})
+
+    out: list[tuple[tuple[int, ...], int]] = []
+    total = rows.count()
+    if not total:
+        return []
+    keys: list[frozenset[int]] = []
+    for size in range(1, most + 1):
+        tried = []
+        for dets in combinations(range(n), size):
+            if any(k <= set(dets) and len(k) < size for k in keys):
+                continue
+            classes = partitions_of(codes[:, list(dets)])
+            for dep in range(n):
+                if dep in dets or any(dep == d and set(s) <= set(dets) for s, d in out):
+                    continue
+                if len(np.unique(np.stack([classes, codes[:, dep]]), axis=1).T) == classes.max(initial=-1) + 1:
+                    tried.append((dets, dep))
+        count({frozenset(s) for s, _ in tried} | {frozenset((*s, d)) for s, d in tried})
+        out += [(s, d) for s, d in tried if known[frozenset(s)] == known[frozenset((*s, d))]]
+        keys += [frozenset(s) for s, _ in tried if known[frozenset(s)] == total]
+    return [(tuple(columns[i] for i in s), columns[d]) for s, d in out]
+
+
 def fd_violation_rate(df: DataFrame, det: str, dep: str, min_support: int = 10) -> DataFrame:
     """(n_groups, n_violating, value) over the determinants with min_support rows at least."""
     pairs = df.select(text_of(df, det, None).alias("det"), text_of(df, dep, None).alias("dep")).filter("det is not null and dep is not null").groupBy("det", "dep").agg(F.count("*").alias("n"))

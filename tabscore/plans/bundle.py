@@ -6,11 +6,13 @@ import dataclasses
 import json
 import logging
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabscore.operators.fairness import Dim5Result
 from tabscore.operators.fidelity import Dim1Result
@@ -19,6 +21,7 @@ from tabscore.operators.neighbors import Dim4Result
 from tabscore.operators.schema import DataSchema, schema_fingerprint
 from tabscore.operators.structural import Dim0Result
 from tabscore.operators.utility import Dim3Result
+from tabscore.sources.files import read_text, write_text
 
 FORMAT = "1.0"
 RESULTS = {"result0": Dim0Result, "result1": Dim1Result, "result2": Dim2Result, "result3": Dim3Result, "result4": Dim4Result, "result5": Dim5Result}
@@ -76,8 +79,8 @@ class ResultBundle:
         return to_json(out)
 
     def save(self, path: str, indent: int = 2) -> None:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps(self.as_dict(), indent=indent, ensure_ascii=False), encoding="utf-8")
+        """Written in whatever file system Spark writes (a plain path is of its default one), whole or not at all."""
+        write_text(SparkSession.active(), path, json.dumps(self.as_dict(), indent=indent, ensure_ascii=False))
 
     @classmethod
     def from_dict(cls, d: dict) -> ResultBundle:
@@ -89,7 +92,23 @@ class ResultBundle:
 
     @classmethod
     def load(cls, path: str) -> ResultBundle:
-        return cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+        return cls.from_dict(json.loads(read_text(SparkSession.active(), path)))
+
+
+def read_bundles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, model, dataset, metric, value) of all bundles at some paths or globs: each is read and unfolded where a task
+    reads it, so that thousands of runs go to a leaderboard without the driver."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"], f["value"], strict=True):
+                b = ResultBundle.from_dict(json.loads(text))
+                rows += [(path, b.metadata.model, b.metadata.dataset, m, v) for m, v in raw_scores(b).items()]
+            yield pd.DataFrame(rows, columns=["path", "model", "dataset", "metric", "value"])
+
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return texts.mapInPandas(kernel, "path string, model string, dataset string, metric string, value double")
 
 
 def _numbers(x) -> list[float]:

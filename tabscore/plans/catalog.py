@@ -545,7 +545,7 @@ def _(s, d):
 
 # Leaderboards and significance
 
-RUNS = f"runs(model, run, metric, value) AS ({values(P.RUNS)})"
+RUNS = P.RUNS
 _METRICS = ["irr", "mean_ks", "dsi_gap", "utility", "dcr_5th", "delta_eo"]
 _WIDE = f"{RUNS}, w AS (SELECT model, {', '.join(f'''avg(value::DOUBLE) FILTER (metric = '{m}') AS {m}''' for m in _METRICS)} FROM runs GROUP BY model)"
 _AXES = f"{_WIDE}, ax AS (" + " UNION ALL ".join(f"SELECT model, '{a}' AS axis, ({e})::DOUBLE AS value FROM w" for a, e in (("structural", "1 - irr"), ("fidelity", "1 - mean_ks"), ("logic", "1 / (1 + dsi_gap)"), ("utility", "utility"), ("privacy", "dcr_5th"), ("fairness", "1 - delta_eo"))) + ")"
@@ -556,46 +556,46 @@ _SCORE = f"sc AS (SELECT model, sum(value * CASE axis {' '.join(f'WHEN {chr(39)}
 
 @query("leaderboard", f"WITH {_RADAR}, {_SCORE} SELECT model, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)}, round(score, 6) AS score FROM w JOIN sc USING (model)")
 def _(s, d):
-    return leaderboard.leaderboard(P.runs(s))
+    return leaderboard.leaderboard(P.runs(s, d))
 
 
-def _axis_table(s):
-    return leaderboard.axis_values(leaderboard.wide(leaderboard.mean_metrics(P.runs(s)), _METRICS))
+def _axis_table(s, d):
+    return leaderboard.axis_values(leaderboard.wide(leaderboard.mean_metrics(P.runs(s, d)), _METRICS))
 
 
 @query("radar_minmax", f"WITH {_RADAR} SELECT model, axis, round(value, 6) AS value FROM rd")
 def _(s, d):
-    return leaderboard.radar_minmax(_axis_table(s))
+    return leaderboard.radar_minmax(_axis_table(s, d))
 
 
 @query("radar_baseline", f"WITH {_AXES}, b AS (SELECT axis, value AS ref FROM ax WHERE model = 'alpha') SELECT model, axis, round(CASE WHEN axis = 'privacy' THEN value / max(value) OVER (PARTITION BY axis) ELSE least(1.5, greatest(0, value / ref)) / 1.5 END, 6) AS value FROM ax JOIN b USING (axis)")
 def _(s, d):
-    return leaderboard.radar_baseline(_axis_table(s), "alpha")
+    return leaderboard.radar_baseline(_axis_table(s, d), "alpha")
 
 
-@query("pareto_front", f"WITH p(model, x, y) AS ({values(P.POINTS)}) SELECT model, x::DOUBLE AS x, y::DOUBLE AS y, NOT EXISTS (SELECT 1 FROM p q WHERE q.x >= p.x AND q.y >= p.y AND (q.x > p.x OR q.y > p.y)) AS is_optimal FROM p")
+@query("pareto_front", f"WITH {P.POINTS} SELECT model, round(x, 6) AS x, y, NOT EXISTS (SELECT 1 FROM p q WHERE q.x >= p.x AND q.y >= p.y AND (q.x > p.x OR q.y > p.y)) AS is_optimal FROM p")
 def _(s, d):
-    return leaderboard.pareto_front(s.createDataFrame(P.POINTS, "model string, x double, y double"))
+    return leaderboard.pareto_front(P.points(s, d))
 
 
-@query("best_model_metric", f"WITH l(model, learner, value) AS ({values(P.LEARNERS)}) SELECT model, max(value)::DOUBLE AS best FROM l GROUP BY model")
+@query("best_model_metric", f"WITH {P.LEARNERS} SELECT model, round(max(value), 6)::DOUBLE AS best FROM l GROUP BY model")
 def _(s, d):
-    return leaderboard.best_model_metric(s.createDataFrame(P.LEARNERS, "model string, learner string, value double"))
+    return leaderboard.best_model_metric(P.learners(s, d))
 
 
-@query("latest_run", f"WITH l(model, dataset, run, ts, status) AS ({values(P.LOG)}) SELECT model, dataset, run::INT AS run, ts::INT AS ts, status FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY ts DESC, run DESC) AS k FROM l) WHERE k = 1")
+@query("latest_run", f"WITH {P.LOG} SELECT model, dataset, run::INT AS run, ts::INT AS ts, status FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY ts DESC, run DESC) AS k FROM l) WHERE k = 1")
 def _(s, d):
-    return leaderboard.latest_run(s.createDataFrame(P.LOG, "model string, dataset string, run int, ts int, status string"), ["model", "dataset"], "ts")
+    return leaderboard.latest_run(P.log(s, d), ["model", "dataset"], "ts")
 
 
 @query("metric_heat_map", f"WITH {RUNS} SELECT model, run::INT AS run, metric, round(value::DOUBLE, 6) AS value, round(CASE WHEN metric IN ('irr', 'mean_ks', 'dsi_gap', 'delta_eo') THEN 1 - {_MM} ELSE {_MM} END, 6)::DOUBLE AS shade FROM (SELECT * REPLACE (value::DOUBLE AS value) FROM runs) WINDOW w AS (PARTITION BY metric)")
 def _(s, d):
-    return leaderboard.heat_map(P.runs(s), ["irr", "mean_ks", "dsi_gap", "delta_eo"])
+    return leaderboard.heat_map(P.runs(s, d), ["irr", "mean_ks", "dsi_gap", "delta_eo"])
 
 
-@query("holm_adjust", f"WITH t(metric, p) AS ({values(P.TESTS)}), k AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(p) OVER () AS m FROM t WHERE p IS NOT NULL) SELECT metric, p::DOUBLE AS p, round(max(least(1, p * (m - r + 1))) OVER (ORDER BY r), 6)::DOUBLE AS p_adjusted FROM k UNION ALL SELECT metric, NULL, NULL FROM t WHERE p IS NULL")
+@query("holm_adjust", f"WITH {P.TESTS}, k AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(p) OVER () AS m FROM t WHERE p IS NOT NULL) SELECT metric, p::DOUBLE AS p, round(max(least(1, p * (m - r + 1))) OVER (ORDER BY r), 6)::DOUBLE AS p_adjusted FROM k UNION ALL SELECT metric, NULL, NULL FROM t WHERE p IS NULL")
 def _(s, d):
-    return significance.holm_adjust(s.createDataFrame(P.TESTS, "metric string, p double"))
+    return significance.holm_adjust(P.tests(s, d))
 
 
 _PAIRED = f"{RUNS}, pr AS (SELECT a.metric, a.run, b.value::DOUBLE - a.value::DOUBLE AS d FROM runs a JOIN runs b USING (metric, run) WHERE a.model = 'alpha' AND b.model = 'beta')"
@@ -603,27 +603,27 @@ _PAIRED = f"{RUNS}, pr AS (SELECT a.metric, a.run, b.value::DOUBLE - a.value::DO
 
 @query("signed_ranks", f"WITH {_PAIRED}, z AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY round(abs(d), 9)) + (count(*) OVER (PARTITION BY metric, round(abs(d), 9)) - 1) / 2 AS rk FROM pr WHERE d <> 0), s AS (SELECT metric, coalesce(sum(rk) FILTER (d > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (d < 0), 0) AS w_minus, count(*) AS n_nonzero FROM z GROUP BY metric), n AS (SELECT metric, count(*) AS n FROM pr GROUP BY metric) SELECT metric, n, n_nonzero, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, round(1 - 2 * least(w_plus, w_minus) / (n * (n + 1) / 2), 6)::DOUBLE AS effect FROM n JOIN s USING (metric)")
 def _(s, d):
-    return significance.signed_ranks(significance.paired(P.runs(s), "alpha", "beta").withColumn("d", F.round("d", 9)))
+    return significance.signed_ranks(significance.paired(P.runs(s, d), "alpha", "beta").withColumn("d", F.round("d", 9)))
 
 
 @query("paired_t_stat", f"WITH {_PAIRED} SELECT metric, count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, round(avg(d) / stddev_samp(d), 6) AS effect FROM pr GROUP BY metric")
 def _(s, d):
-    return significance.paired_t(significance.paired(P.runs(s), "alpha", "beta"))
+    return significance.paired_t(significance.paired(P.runs(s, d), "alpha", "beta"))
 
 
-@query("ci_overlap", f"WITH i(metric, la, ha, lb, hb) AS ({values(P.INTERVALS)}) SELECT metric, greatest(la, lb) < least(ha, hb) AS overlap, NOT greatest(la, lb) < least(ha, hb) AS significant FROM i")
+@query("ci_overlap", f"WITH {P.INTERVALS} SELECT metric, greatest(a, b) - 40 < least(a, b) + 40 AS overlap, NOT greatest(a, b) - 40 < least(a, b) + 40 AS significant FROM i")
 def _(s, d):
-    return significance.ci_overlap(s.createDataFrame(P.INTERVALS, "metric string, lo_a double, hi_a double, lo_b double, hi_b double"))
+    return significance.ci_overlap(P.intervals(s, d))
 
 
 @query("run_alignment", f"WITH {_PAIRED} SELECT metric, run::INT AS run, round(d, 6) AS d FROM pr")
 def _(s, d):
-    return significance.paired(P.runs(s), "alpha", "beta")
+    return significance.paired(P.runs(s, d), "alpha", "beta")
 
 
-@query("probe_minimum", f"WITH l(model, learner, value) AS ({values(P.LEARNERS)}) SELECT model, coalesce(min(value), 0.5)::DOUBLE AS value FROM l GROUP BY model")
+@query("probe_minimum", f"WITH {P.LEARNERS} SELECT model, round(coalesce(min(value), 0.5), 6)::DOUBLE AS value FROM l GROUP BY model")
 def _(s, d):
-    return leaderboard.best_model_metric(s.createDataFrame(P.LEARNERS, "model string, learner string, value double"), higher=False).select("model", F.coalesce("best", F.lit(0.5)).alias("value"))
+    return leaderboard.best_model_metric(P.learners(s, d), higher=False).select("model", F.coalesce("best", F.lit(0.5)).alias("value"))
 
 
 # Samples, folds, texts

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscore.functions.stable import scratch, stable
-from tabscore.operators import encoders, fairness, logic, neighbors, ordering, sampling, structural, utility
+from tabscore.operators import bootstrap, encoders, fairness, logic, neighbors, ordering, sampling, structural, utility
 from tabscore.operators.schema import DataSchema
 from tabscore.plans import pairs as P
-from tabscore.plans.catalog import SYNTH, query, values
+from tabscore.plans.catalog import SYNTH, TAGGED, query, values
 from tabscore.sources import files
 
 # A categorical column with thousands of values: order keys. Two thirds of the orders are real; of the synthetic ones,
@@ -150,25 +151,20 @@ def _(s, d):
     return utility.drop_unseen_labels(t.filter("o_orderkey % 2 = 1"), t.filter("o_orderkey % 2 = 0 and label < '3'"))
 
 
-TRTR, TSTR = [("gbt", "macro_f1", 0.9), ("forest", "macro_f1", 0.85), ("gbt", "roc_auc", 0.95)], [("gbt", "macro_f1", 0.7), ("forest", "macro_f1", 0.8), ("gbt", "roc_auc", None)]
-
-
-@query("utility_gap", f"WITH r(model, metric, value) AS ({values(TRTR)}), s(model, metric, value) AS ({values(TSTR)}) SELECT model, metric, round(r.value - s.value, 6)::DOUBLE AS gap FROM r JOIN s USING (model, metric)")
+@query("utility_gap", f"WITH {P.GAPS} SELECT model, metric, round(r.value - s.value, 6)::DOUBLE AS gap FROM (SELECT * FROM g WHERE side = 0) r JOIN (SELECT * FROM g WHERE side = 1) s USING (model, metric)")
 def _(s, d):
-    kind = "model string, metric string, value double"
-    return utility.gap_by_model(s.createDataFrame(TRTR, kind), s.createDataFrame(TSTR, kind))
+    return utility.gap_by_model(P.gaps(s, d, 0), P.gaps(s, d, 1))
 
 
 @query(
     "remaining_orders",
-    "SELECT a || '>' || b || '>' || c AS ordering FROM (VALUES ('x'), ('y'), ('z')) p(a), (VALUES ('x'), ('y'), ('z')) q(b), (VALUES ('x'), ('y'), ('z')) r(c) WHERE a <> b AND b <> c AND a <> c EXCEPT SELECT 'y>x>z'",
+    "SELECT o_orderpriority || '>' || o_orderstatus || '>' || (o_custkey % 7) AS ordering FROM orders EXCEPT SELECT o_orderpriority || '>' || o_orderstatus || '>' || (o_custkey % 7) FROM orders WHERE o_totalprice > 350000",
 )
 def _(s, d):
-    """All orders of three columns but those that were tried already."""
-    from itertools import permutations
-
-    every = s.createDataFrame([(">".join(p),) for p in permutations("xyz")], "ordering string")
-    return every.exceptAll(s.createDataFrame([("y>x>z",)], "ordering string"))
+    """The sequences of all orders but those that dear ones have."""
+    t = P.orders(s, d)
+    every = t.select("o_totalprice", F.concat_ws(">", "o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 7).cast("string")).alias("ordering"))
+    return ordering.remaining_orders(every.select("ordering"), every.filter("o_totalprice > 350000").select("ordering"))
 
 
 @query("evenly_spaced", f"SELECT i::BIGINT AS place FROM (VALUES {', '.join(f'({round(i * 23 / 4)})' for i in range(5))}) t(i)")
@@ -274,3 +270,85 @@ def _(s, d):
     """Two numbers and five categories, all rows of both sides: the library's main pair."""
     real, synth = P.li(s, d)
     return neighbors.dcr_percentiles(neighbors.dcr_rows(real, stable(synth.withColumn("id", F.monotonically_increasing_id())), DataSchema(real), "id"))
+
+
+# Dependencies of several columns, the best order of columns
+
+_FD = ["o_custkey", "c_nationkey", "c_mktsegment", "market", "o_orderpriority"]
+_FD_ROWS = "t AS (SELECT o_custkey, c_nationkey, c_mktsegment, c_nationkey || '/' || c_mktsegment AS market, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def _fd_sql() -> str:
+    sets = [c for k in (1, 2, 3, 4) for c in combinations(_FD, k)]
+    counts = ", ".join(f"count(DISTINCT ({', '.join(c)})) AS n_{'_'.join(str(_FD.index(x)) for x in c)}" for c in sets)
+    name = lambda c: "n_" + "_".join(str(_FD.index(x)) for x in sorted(c, key=_FD.index))
+    holds = lambda s, d: f"{name(s)} = {name((*s, d))}"
+    rows = []
+    for k in (1, 2, 3):
+        for s in combinations(_FD, k):
+            for d in _FD:
+                if d not in s:
+                    smaller = " OR ".join(holds(x, d) for j in range(1, k) for x in combinations(s, j)) or "false"
+                    rows.append(f"SELECT '{'+'.join(s)}' AS determinants, '{d}' AS dependent FROM n WHERE {holds(s, d)} AND NOT ({smaller})")
+    return f"WITH {_FD_ROWS}, n AS (SELECT {counts} FROM t) " + " UNION ALL ".join(rows)
+
+
+@query("composite_fds", _fd_sql())
+def _(s, d):
+    t = P.orders(s, d).join(P.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    t = t.withColumn("market", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    return s.createDataFrame([("+".join(x), y) for x, y in logic.composite_fds(t, _FD)], "determinants string, dependent string")
+
+
+_BEST = ["l_returnflag", "l_linestatus", "l_linenumber", "l_tax", "l_discount"]
+_BEST_CELLS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, -sum(n / t * log2(n / t)) AS h FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY {a}, {b})" for a, b in [*((c, c) for c in _BEST), *combinations(_BEST, 2)]
+)
+
+
+@query(
+    "best_column_order",
+    f"""WITH RECURSIVE e AS ({_BEST_CELLS}), h AS (SELECT a, b, h FROM e UNION ALL SELECT b, a, h FROM e WHERE a <> b),
+  p AS (SELECT [a] AS path, a AS last, h AS ce FROM e WHERE a = b
+    UNION ALL SELECT list_append(path, h.b), h.b, ce + h.h - e.h FROM p JOIN h ON h.a = p.last AND h.b <> h.a AND NOT list_contains(path, h.b) JOIN e ON e.a = p.last AND e.b = p.last)
+  SELECT {len(_BEST)}::BIGINT AS n, round(min(ce), 6)::DOUBLE AS ce FROM p WHERE len(path) = {len(_BEST)}""",
+)
+def _(s, d):
+    order, ce = ordering.best_order(P.li(s, d)[0], _BEST)
+    return s.createDataFrame([(len(set(order)), float(ce))], "n bigint, ce double")
+
+
+# Statistics of tables with their intervals; results in any file system
+
+@query(
+    "table_bootstrap",
+    """SELECT 'mean' AS statistic, round(avg(o_totalprice), 6) AS value, true AS inside FROM orders UNION ALL SELECT 'median', round(quantile_cont(o_totalprice, 0.5), 6), true FROM orders
+  UNION ALL SELECT 'correlation', round(corr(o_totalprice, o_custkey), 6), true FROM orders""",
+)
+def _(s, d):
+    """The intervals are random; that they hold the value isn't, with 100 replicates."""
+    x, rows = F.col("o_totalprice"), []
+    for name, statistic in (("mean", bootstrap.mean_of(x)), ("median", bootstrap.median_of(x)), ("correlation", bootstrap.correlation_of(x, F.col("o_custkey")))):
+        value, lo, hi = bootstrap.table_bootstrap(P.orders(s, d), statistic, [F.col("o_orderkey")], 100)
+        rows.append((name, value, lo < value < hi))
+    return s.createDataFrame(rows, "statistic string, value double, inside boolean")
+
+
+@query("bundle_scores", f"WITH {TAGGED} SELECT 'raw' AS model, 'lineitem' AS dataset, 'irr' AS metric, round(count(defect) / count(*), 6) AS value FROM tagged")
+def _(s, d):
+    """A run's bundle, written to the shared folder and read back as a table."""
+    from tabscore.plans.bundle import read_bundles
+    from tabscore.plans.pipeline import BenchmarkPipeline, PipelineConfig
+
+    at = f"{scratch(s)}/bundles-{uuid.uuid4().hex}"
+    BenchmarkPipeline(PipelineConfig(P.li(s, d)[0], dimensions=(0,), model="raw", dataset="lineitem")).run(P.li_raw(s, d)).save(f"{at}/raw.json")
+    return read_bundles(s, f"{at}/*.json").filter("value is not null").select("model", "dataset", "metric", "value")
+
+
+@query("csv_inferred", "SELECT 'int' AS key_type, 'double' AS price_type, 'string' AS status_type, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS price FROM orders")
+def _(s, d):
+    at = f"{scratch(s)}/inferred-{uuid.uuid4().hex}"
+    files.write_csv(P.orders(s, d).select("o_orderkey", "o_totalprice", "o_orderstatus"), at)
+    t = files.read_csv(s, at)
+    kinds = [F.lit(t.schema[c].dataType.simpleString()).alias(k) for c, k in (("o_orderkey", "key_type"), ("o_totalprice", "price_type"), ("o_orderstatus", "status_type"))]
+    return t.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("price")).select(*kinds, "n", "keys", "price")

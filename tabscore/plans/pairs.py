@@ -82,24 +82,57 @@ def balances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s, c
 
 
-#: (model, run, metric, value) of four models.
-RUNS = [
-    (m, r, k, v + s * r)
-    for m, s, values in (
-        ("alpha", 0.010, (0.02, 0.08, 0.40, 0.81, 0.060, 0.05)),
-        ("beta", 0.020, (0.10, 0.05, 0.25, 0.84, 0.030, 0.08)),
-        ("delta", 0.005, (0.05, 0.12, 0.90, 0.70, 0.090, 0.02)),
-        ("gamma", 0.015, (0.03, 0.20, 1.50, 0.66, 0.010, 0.11)),
-    )
-    for r in range(6)
-    for k, v in zip(("irr", "mean_ks", "dsi_gap", "utility", "dcr_5th", "delta_eo"), values, strict=True)
-]
-TESTS = [("irr", 0.01), ("mean_ks", 0.04), ("mean_tvd", 0.03), ("dsi_gap", None), ("dcr_5th", 0.2)]
-POINTS = [("a", 0.9, 0.1), ("b", 0.7, 0.6), ("b2", 0.7, 0.6), ("c", 0.6, 0.5), ("d", 0.2, 0.9), ("e", 0.2, 0.8)]
-INTERVALS = [("mean_ks", 0.01, 0.05, 0.04, 0.09), ("mean_tvd", 0.01, 0.03, 0.03, 0.06), ("delta_eo", 0.10, 0.20, 0.25, 0.30)]
-LOG = [("alpha", "x", 1, 100, "failed"), ("alpha", "x", 2, 200, "done"), ("beta", "x", 1, 150, "done"), ("beta", "y", 3, 90, "done"), ("beta", "y", 4, 90, "again")]
-LEARNERS = [("alpha", "gbt", 0.8), ("alpha", "forest", 0.7), ("beta", "gbt", None), ("beta", "forest", 0.6)]
-
-
-def runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, "model string, run int, metric string, value double")
+#: What stands for runs of models, and for what is said about them: groups of the driver's tables.
+MODELS, METRICS = ("alpha", "beta", "delta", "gamma"), ("irr", "mean_ks", "dsi_gap", "utility", "dcr_5th", "delta_eo")
+RUNS = """rw AS (SELECT CASE o_custkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'delta' ELSE 'gamma' END AS model, (o_orderkey % 6)::INT AS run,
+    avg((o_totalprice > 400000)::INT) AS irr, avg(o_totalprice) / 1000000 AS mean_ks, (max(o_totalprice) - avg(o_totalprice)) / 100000 AS dsi_gap,
+    avg((o_totalprice < 300000)::INT) AS utility, min(o_totalprice) / 10000 AS dcr_5th, avg((o_orderstatus = 'F')::INT) AS delta_eo FROM orders GROUP BY ALL),
+  runs AS (SELECT model, run, unnest(['irr', 'mean_ks', 'dsi_gap', 'utility', 'dcr_5th', 'delta_eo']) AS metric, unnest([irr, mean_ks, dsi_gap, utility, dcr_5th, delta_eo]) AS value FROM rw)"""
+POINTS = "p AS (SELECT c_nationkey::VARCHAR AS model, avg(c_acctbal) AS x, count(*)::DOUBLE AS y FROM customer GROUP BY ALL)"
+LEARNERS = "l AS (SELECT o_orderpriority AS model, o_orderstatus AS learner, CASE WHEN o_orderstatus <> 'P' AND o_orderpriority < '4' THEN avg(o_totalprice) / 10000 END AS value FROM orders GROUP BY o_orderpriority, o_orderstatus)"
+LOG = "l AS (SELECT o_orderpriority AS model, o_orderstatus AS dataset, o_orderkey::INT AS run, (o_custkey % 50)::INT AS ts, o_orderstatus AS status FROM orders)"
+TESTS = "t AS (SELECT n_name AS metric, CASE WHEN n_nationkey % 6 > 0 THEN (n_nationkey * 7 % 25) / 500 END AS p FROM nation)"
+INTERVALS = """i AS (SELECT c_mktsegment AS metric, avg(c_acctbal) FILTER (c_custkey % 2 = 0) AS a, avg(c_acctbal) FILTER (c_custkey % 2 = 1) AS b FROM customer GROUP BY ALL)"""
+GAPS = """g AS (SELECT o_orderkey % 2 AS side, o_orderpriority AS model, o_orderstatus AS metric, CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 2 = 0 THEN avg(o_totalprice) / 10000 END AS value FROM orders GROUP BY o_orderkey % 2, o_orderpriority, o_orderstatus)"""
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, share = F.col("o_totalprice"), lambda c: F.avg(c.cast("int"))
+    model = F.get(F.array(*[F.lit(m) for m in MODELS]), (F.col("o_custkey") % 4).cast("int"))
+    each = (share(x > 400_000), F.avg(x) / 1_000_000, (F.max(x) - F.avg(x)) / 100_000, share(x < 300_000), F.min(x) / 10_000, share(F.col("o_orderstatus") == "F"))
+    wide = orders(spark, sf_dir).groupBy(model.alias("model"), (F.col("o_orderkey") % 6).cast("int").alias("run")).agg(*[c.cast("double").alias(m) for c, m in zip(each, METRICS, strict=True)])
+    return wide.select("model", "run", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("model")).agg(F.avg("c_acctbal").alias("x"), F.count("*").cast("double").alias("y"))
+
+
+def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = (F.col("o_orderstatus") != "P") & (F.col("o_orderpriority") < "4")
+    mean = F.avg("o_totalprice") / 10_000
+    return orders(spark, sf_dir).groupBy("o_orderpriority", "o_orderstatus").agg(mean.alias("v")).select(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("learner"), F.when(known, F.col("v")).alias("value"))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir).select(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").cast("int").alias("run"), (F.col("o_custkey") % 50).cast("int").alias("ts"), F.col("o_orderstatus").alias("status"))
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("metric"), F.when(k % 6 > 0, (k * 7 % 25) / 500).cast("double").alias("p"))
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda i: F.avg(F.when(F.col("c_custkey") % 2 == i, F.col("c_acctbal")))
+    both = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("metric")).agg(side(0).alias("a"), side(1).alias("b"))
+    return both.select("metric", (F.col("a") - 40).alias("lo_a"), (F.col("a") + 40).alias("hi_a"), (F.col("b") - 40).alias("lo_b"), (F.col("b") + 40).alias("hi_b"))
+
+
+def gaps(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    t = orders(spark, sf_dir).filter(F.col("o_orderkey") % 2 == side).groupBy(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("metric")).agg((F.avg("o_totalprice") / 10_000).alias("value"))
+    return t.withColumn("value", F.when((F.col("metric") != "P") | F.lit(side == 0), F.col("value")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +58,62 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def cached_table(spark: SparkSession, path: str, make) -> DataFrame:
-    """The Parquet table at path; made and written first if there is none."""
-    if not exists(spark, path):
-        make().write.parquet(path)
-    return spark.read.parquet(path)
+def listing(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of the files under some paths (names, sizes, times of change), in whatever file system they are."""
+    digest = hashlib.sha256()
+    for path in sorted(paths):
+        p, fs = _hadoop_path(spark, path)
+        files = fs.listFiles(p, True)
+        rows = []
+        while files.hasNext():
+            f = files.next()
+            rows.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        digest.update("\n".join([path, *sorted(rows)]).encode())
+    return digest.hexdigest()
+
+
+def cached_table(spark: SparkSession, path: str, make, inputs: list[str] = (), key: str = "") -> DataFrame:
+    """A Parquet table under path, made and published first if it isn't there for these inputs and this key.
+
+    The table is written aside, and renamed when it is whole, so a write that failed is never read as a result. Its name
+    tells the inputs' files and the key (a schema's fingerprint, parameters): if one changes, it is made anew. Of two
+    that make it at once, the first to rename publishes it.
+    """
+    name = hashlib.sha256("\n".join([listing(spark, list(inputs)), key]).encode()).hexdigest()[:32]
+    at = f"{path.rstrip('/')}/{name}"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        aside = f"{path.rstrip('/')}/.making-{uuid.uuid4().hex}"
+        make().write.parquet(aside)
+        (p, fs), (q, _) = _hadoop_path(spark, aside), _hadoop_path(spark, at)
+        if not fs.exists(q):
+            fs.rename(p, q)
+        if fs.exists(p):
+            fs.delete(p, True)
+        if not exists(spark, f"{at}/_SUCCESS"):
+            raise OSError(f"{at} could not be published")
+    return spark.read.parquet(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in whatever file system Spark writes: written aside and renamed, so it is whole or not there."""
+    p, fs = _hadoop_path(spark, path)
+    aside, _ = _hadoop_path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(aside, p):
+        raise OSError(f"{path} could not be published")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    found = spark.read.text(path, wholetext=True).collect()
+    if len(found) != 1:
+        raise FileNotFoundError(path)
+    return found[0][0]
 
 
 def align_columns(df: DataFrame, real: DataFrame) -> DataFrame:
@@ -102,12 +156,7 @@ def scenario_means(df: DataFrame, scenario: str, columns: list[str]) -> DataFram
 def write_config(spark: SparkSession, path: str, name: str, settings: dict[str, dict]) -> None:
     """A Python module with one assignment, `name = {data set: settings}`, in whatever file system Spark writes."""
     lines = [f"{name} = {{", *[f"    {k!r}: {{{', '.join(f'{a!r}: {b!r}' for a, b in v.items())}}}," for k, v in settings.items()], "}", ""]
-    p, fs = _hadoop_path(spark, path)
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray("\n".join(lines).encode()))
-    finally:
-        out.close()
+    write_text(spark, path, "\n".join(lines))
 
 
 def causal_data(spark: SparkSession, n: int, scenario: str = "normal", seed: int = 0) -> DataFrame:

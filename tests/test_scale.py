@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import random
 import re
 from collections import Counter
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -276,6 +278,106 @@ def test_mixtures_find_clusters_and_never_fail_on_equal_rows(spark):
     assert np.isfinite(density.fit_mixture(same, 5, 1).log_density(np.array([[1.0, 2.0]]))).all()
 
 
+def test_mixtures_are_fitted_together_and_summed_by_spark(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-4, 1, (200, 2)), rng.normal(5, 0.5, (100, 2))])
+    d = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    few, many = (density.fit_mixtures(d.repartition(n), (1, 2, 3), 1, 30) for n in (2, 9))
+    for k in (1, 2, 3):
+        assert np.allclose(few[k][0].means, many[k][0].means) and few[k][1] == pytest.approx(many[k][1]) and few[k][2] == 300
+    assert few[1][0].means[0] == pytest.approx(x.mean(axis=0)) and few[1][0].covariances[0] == pytest.approx(np.cov(x.T, bias=True))
+    assert few[2][1] == pytest.approx(few[2][0].log_density(x).mean()) and few[2][1] > few[1][1] + 0.5
+
+
+# Dependencies, orders, resamples, files
+
+
+def test_composite_dependencies_are_those_of_all_tries(spark):
+    rng = random.Random(3)
+    for trial in range(3):
+        rows = [(rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 2), i if trial else rng.randint(0, 5)) for i in range(60)]
+        rows = [(a, b, c, a * 10 + b if rng.random() < 2 or trial else 0, str((a + c) % 3), k) for a, b, c, k in rows]
+        columns = list("abcdef")
+        df = spark.createDataFrame([tuple(None if v == 3 else v for v in r) for r in rows], "a int, b int, c int, d int, e string, f int")
+        table = [tuple(None if v == 3 else v for v in r) for r in rows]
+        holds = lambda s, d: len({tuple(r[i] for i in s) for r in table}) == len({tuple(r[i] for i in (*s, d)) for r in table})  # noqa: E731, B023
+        want = set()
+        for size in (1, 2, 3):
+            for dets in combinations(range(6), size):
+                for dep in set(range(6)) - set(dets):
+                    if holds(dets, dep) and not any(holds(s, dep) for k in range(1, size) for s in combinations(dets, k)):
+                        want.add((tuple(columns[i] for i in dets), columns[dep]))
+        assert set(logic.composite_fds(df, columns, sample_rows=(60, 10, 0)[trial])) == want and len(want) > 2
+    assert logic.composite_fds(df.limit(0), columns) == []
+    order = ordering.composite_order(columns, [(("e", "f"), "a"), (("a",), "b")])
+    assert order.index("e") < order.index("a") < order.index("b") and order.index("f") < order.index("a")
+
+
+def test_best_order_by_subsets_is_that_of_all_orders(spark):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 4, 6):
+        for _ in range(5):
+            first, step = rng.random(n) * 3, rng.random((n, n))
+            order, total = ordering.cheapest_path(first, step)
+            every = [first[p[0]] + sum(step[a, b] for a, b in zip(p, p[1:], strict=False)) for p in permutations(range(n))]
+            assert total == pytest.approx(min(every)) and sorted(order) == list(range(n))
+            assert first[order[0]] + sum(step[a, b] for a, b in zip(order, order[1:], strict=False)) == pytest.approx(total)
+    d = spark.createDataFrame([(i % 2, i % 4, i % 3, i % 5) for i in range(60)], "a int, b int, c int, d int")
+    best, ce = ordering.best_order(d, ["a", "b", "c", "d"])
+    assert ce == pytest.approx(min(c for _, c, _ in ordering.score_all_permutations(d, ["a", "b", "c", "d"])))
+    with pytest.raises(ValueError, match="too many orders"):
+        ordering.score_all_permutations(d, [f"c{i}" for i in range(9)])
+    with pytest.raises(ValueError, match="at most"):
+        ordering.best_order(d, [f"c{i}" for i in range(17)])
+
+
+def test_resampled_statistics_of_tables(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(10, 2, 400).round(3)
+    y = (x + rng.normal(0, 1, 400)).round(3)
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, x double, y double")
+    d = d.unionByName(spark.createDataFrame([(1000, None, 1.0)], d.schema))
+    for statistic, value, spread in ((bootstrap.mean_of(F.col("x")), x.mean(), 2 / 20), (bootstrap.median_of(F.col("x")), np.median(x), 2 * 1.25 / 20), (bootstrap.correlation_of(F.col("x"), F.col("y")), np.corrcoef(x, y)[0, 1], (1 - 0.8) / 20)):
+        got, lo, hi = bootstrap.table_bootstrap(d, statistic, [F.col("id")], 60)
+        assert got == pytest.approx(value) and lo < got < hi and spread < hi - lo < 8 * spread
+    one = bootstrap.replicates_of(d.repartition(5), bootstrap.mean_of(F.col("x")), [F.col("id")], 7, at_once=3)
+    two = bootstrap.replicates_of(d, bootstrap.mean_of(F.col("x")), [F.col("id")], 7)
+    assert len(one) == 8 and np.allclose(one, two)
+
+
+def test_cached_tables_are_published_whole_and_by_their_inputs(spark, tmp_path):
+    source, at, made = str(tmp_path / "in"), str(tmp_path / "kept"), []
+    spark.range(3).write.parquet(source)
+
+    def fail():
+        bad = F.udf(lambda i: 1 // (i - 2), "int")
+        return spark.read.parquet(source).select(bad("id").alias("v"))
+
+    with pytest.raises(Exception, match="ZeroDivision|Python"):
+        files.cached_table(spark, at, fail, [source])
+    make = lambda: made.append(1) or spark.read.parquet(source)
+    for _ in range(2):
+        assert files.cached_table(spark, at, make, [source]).count() == 3
+    assert files.cached_table(spark, at, make, [source], key="other").count() == 3
+    spark.range(4).write.mode("append").parquet(source)
+    assert files.cached_table(spark, at, make, [source]).count() == 7 and len(made) == 3
+
+
+def test_bundles_are_a_table_in_any_file_system(spark, tmp_path):
+    from tabscore.operators.structural import Dim0Result
+    from tabscore.plans.bundle import read_bundles
+
+    for i in range(3):
+        result = Dim0Result(**{f.name: (0.1 * i if f.name == "irr" else None) for f in dataclasses.fields(Dim0Result)})
+        ResultBundle(BundleMetadata(f"m{i}", "d"), result0=result).save(f"file://{tmp_path}/deep/m{i}.json")
+    t = read_bundles(spark, f"file://{tmp_path}/deep/*.json")
+    assert {(r["model"], round(r["value"], 3)) for r in t.filter("metric = 'irr'").collect()} == {("m0", 0.0), ("m1", 0.1), ("m2", 0.2)}
+    assert t.filter("metric = 'mean_ks' and value is null").count() == 3
+    assert ResultBundle.load(f"file://{tmp_path}/deep/m1.json").metadata.model == "m1"
+    with pytest.raises(Exception, match="m9"):
+        ResultBundle.load(f"file://{tmp_path}/deep/m9.json")
+
+
 def test_numeric_utility_has_an_upper_bound(spark, people):
     s = DataSchema(people)
     noise = people.withColumn("x", F.rand(3))
