@@ -158,13 +158,13 @@ def _(s, d):
 
 @query(
     "remaining_orders",
-    "SELECT o_orderpriority || '>' || o_orderstatus || '>' || (o_custkey % 7) AS ordering FROM orders EXCEPT SELECT o_orderpriority || '>' || o_orderstatus || '>' || (o_custkey % 7) FROM orders WHERE o_totalprice > 350000",
+    "SELECT o_orderpriority || '>' || o_orderstatus || '>' || (o_custkey % 7) AS ordering FROM orders EXCEPT SELECT o_orderpriority || '>' || o_orderstatus || '>' || (o_custkey % 7) FROM orders WHERE o_totalprice > 495000",
 )
 def _(s, d):
     """The sequences of all orders but those that dear ones have."""
     t = P.orders(s, d)
     every = t.select("o_totalprice", F.concat_ws(">", "o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 7).cast("string")).alias("ordering"))
-    return ordering.remaining_orders(every.select("ordering"), every.filter("o_totalprice > 350000").select("ordering"))
+    return ordering.remaining_orders(every.select("ordering"), every.filter("o_totalprice > 495000").select("ordering"))
 
 
 @query("evenly_spaced", f"SELECT i::BIGINT AS place FROM (VALUES {', '.join(f'({round(i * 23 / 4)})' for i in range(5))}) t(i)")
