@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabscore.llm.license_scan import PHRASES, STRIDE, catalogue
-from tabscore.llm.secret_scan import ALLOWED, ALPHANUMERIC, CLASSES
+from tabscore.llm.secret_scan import ALLOWED, ENTROPY
 
 _CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -83,6 +83,7 @@ _KINDS = {
     "hex": r"[0-9a-f]+",
     "run": r"[0-9A-Za-z+/_-]+=*",
     "alnum": r"[0-9A-Za-z]+=*",
+    "dashed": r"[0-9A-Za-z-]+",
 }
 #: What a candidate is a maximal run of, the shapes that it has, and what can't follow it.
 _SHAPES = {
@@ -90,8 +91,10 @@ _SHAPES = {
     "entropy-base64": ("run", ["[0-9A-Za-z+/_-]{20,}={0,2}", ".*[0-9].*", ".*[a-z].*", ".*[A-Z].*"]),
     "entropy-lower": ("alnum", ["[0-9a-z]{20,}={0,6}", ".*[0-9].*", ".*[g-z].*"]),
     "entropy-upper": ("alnum", ["[0-9A-Z]{20,}={0,6}", ".*[0-9].*", ".*[G-Z].*"]),
+    "entropy-letters": ("run", ["[A-Za-z]{32,}={0,2}", ".*[A-Z]{2}[a-z].*[A-Z]{2}.*"]),
+    "entropy-dashed": ("dashed", ["([0-9A-Z]{4,6}-){3}[0-9A-Z]{4,6}[0-9A-Z-]*", ".{0,24}([0-9][A-Z]|[A-Z][0-9])[0-9A-Z]{0,6}-.{0,20}([0-9][A-Z]|[A-Z][0-9]).*"]),
 }
-_AFTER = {"run": "[0-9A-Za-z+/_=-]", "alnum": "[0-9A-Za-z=]"}
+_AFTER = {"run": "[0-9A-Za-z+/_=-]", "alnum": "[0-9A-Za-z=]", "dashed": "[0-9A-Za-z-]"}
 
 
 def secret_scan() -> str:
@@ -104,17 +107,21 @@ def secret_scan() -> str:
     )
     least = {"assign": "length(part) >= 6", "access": "length(hit) >= 20", "hex": "length(hit) >= 24"}
     base = " OR ".join(f"kind = '{k}' AND {v}" for k, v in least.items())
+    shape = lambda kind, of: " AND ".join(f"regexp_full_match({of}, '{p}')" for p in _SHAPES[kind][1])
     shaped = " UNION ALL ".join(
-        f"SELECT rid, {3 + k} AS rank, '{kind}' AS kind, start, hit, {window} AS width, {threshold} AS least FROM f JOIN d USING (rid) WHERE kind = '{_SHAPES[kind][0]}' AND length(hit) >= 20 AND NOT regexp_matches(hit, {_text(ALLOWED)}) "
-        + f"AND NOT regexp_matches(substr(t, (start + length(hit) + 1)::BIGINT, 1), '{_AFTER[_SHAPES[kind][0]]}') AND "
-        + " AND ".join(f"regexp_full_match(hit, '{p}')" for p in _SHAPES[kind][1])
-        for k, (kind, _, window, threshold) in enumerate([*CLASSES, *ALPHANUMERIC])
+        f"SELECT rid, {3 + k} AS rank, '{kind}' AS kind, start, hit, {window} AS width, {threshold} AS least FROM f JOIN d USING (rid) WHERE kind = '{_SHAPES[kind][0]}' AND length(hit) >= {window} "
+        + f"AND NOT regexp_matches(substr(t, (start + length(hit) + 1)::BIGINT, 1), '{_AFTER[_SHAPES[kind][0]]}') AND {shape(kind, 'hit')}"
+        for k, (kind, _, window, threshold) in enumerate(ENTROPY)
     )
+    still = " OR ".join(f"kind = '{kind}' AND {shape(kind, 'part')}" for kind, *_ in ENTROPY)
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
     f AS MATERIALIZED ({found}),
     b AS (SELECT rid, rank, kind, start, stop FROM f WHERE {base}),
-    s AS (SELECT row_number() OVER () AS sid, * FROM ({shaped})),
+    r AS (SELECT row_number() OVER () AS run, * FROM ({shaped})),
+    u AS (SELECT *, unnest(regexp_split_to_array(hit, {_text(ALLOWED)})) AS part, unnest(list_append(regexp_extract_all(hit, {_text(ALLOWED)}), '')) AS word, unnest(range(len(regexp_extract_all(hit, {_text(ALLOWED)})) + 1)) AS nth FROM r),
+    p AS (SELECT * EXCLUDE (start), start + sum(length(part) + length(word)) OVER (PARTITION BY run ORDER BY nth) - length(part) - length(word) AS start FROM u),
+    s AS (SELECT row_number() OVER () AS sid, rid, rank, kind, start, part AS hit, width, least FROM p WHERE {still}),
     v AS (SELECT *, unnest(range(length(hit) - width + 1)) AS place FROM s),
     c AS (SELECT sid, place, any_value(rid) AS rid, any_value(rank) AS rank, any_value(kind) AS kind, any_value(start) AS start, any_value(width) AS width, any_value(least) AS least, letter, count(*) AS n
       FROM (SELECT *, unnest(string_split(substr(hit, place + 1, width), '')) AS letter FROM v) GROUP BY sid, place, letter),

@@ -6,14 +6,21 @@ text at a pattern: the lengths of the gaps and of the matches, added up, give ev
 The entropy of a window of W characters is log2(W) - S / W, where S is the sum of c * log2(c) over the counts c of
 the window's characters. Sliding by one character changes two counts, so S is kept by two increments; each
 candidate is a maximal run of characters of one class (hexadecimal; base 64 with a digit, a lower-case and an
-upper-case letter; a digit and lower-case, or a digit and upper-case letters beyond hexadecimal, as base 32 has them),
-and a class has its own threshold. A run may stand right after '=', as the value of NAME=value; a run that '=' and
-more follow is a name. Spans of the allow-list (examples, placeholders, runs of the
-alphabet) are suppressed; spans of the fixed patterns never are.
+upper-case letter; a digit and lower-case, or a digit and upper-case letters beyond hexadecimal, as base 32 has them;
+letters alone, with capitals side by side in two places, as words joined by capitals have them hardly ever; groups of
+capitals and digits parted by dashes, two groups of which have both), and a class has its own window and threshold. A
+run may stand right after '=', as the value of NAME=value; a run that '=' and more follow is a name.
+
+No window reaches into a word of the allow-list (examples, placeholders, stretches of the alphabet): such words cut a
+run into pieces, and a piece that is still a run of its class is scored for itself, so that a listed word hides
+nothing beside it. Spans of the fixed patterns are never suppressed. Letters of one case without a digit are no class:
+by their entropy they can't be told from words.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +42,15 @@ ALPHANUMERIC = [
     ("entropy-lower", r"(?<![0-9A-Za-z])(?=[a-z]*[0-9])(?=[0-9a-z]*[g-z])[0-9a-z]{20,}={0,6}(?![0-9A-Za-z=])", 20, 3.35),
     ("entropy-upper", r"(?<![0-9A-Za-z])(?=[A-Z]*[0-9])(?=[0-9A-Z]*[G-Z])[0-9A-Z]{20,}={0,6}(?![0-9A-Za-z=])", 20, 3.3),
 ]
-#: A candidate that matches is no secret. Fixed values.
-ALLOWED = r"(?i)example|placeholder|your[_-]|changeme|x{6,}|0123456789|abcdefgh|qwerty|lorem"
+#: The same for letters alone, and for keys of dashed groups.
+SHAPED = [
+    ("entropy-letters", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z]*[A-Z]{2}[a-z][A-Za-z]*[A-Z]{2})[A-Za-z]{32,}={0,2}(?![0-9A-Za-z+/_=-])", 32, 4.1),
+    ("entropy-dashed", r"(?<![0-9A-Za-z-])(?=[0-9A-Z-]{0,24}(?:[0-9][A-Z]|[A-Z][0-9])[0-9A-Z]{0,6}-[0-9A-Z-]{0,20}(?:[0-9][A-Z]|[A-Z][0-9]))[0-9A-Z]{4,6}-[0-9A-Z]{4,6}-[0-9A-Z]{4,6}-[0-9A-Z]{4,6}[0-9A-Z-]*(?![0-9A-Za-z-])", 19, 3.35),
+]
+ENTROPY = [*CLASSES, *ALPHANUMERIC, *SHAPED]
+#: What is no secret. Fixed values, and every stretch of eight letters of the alphabet.
+_LISTED = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "example", "placeholder", "your[_-]", "changeme", "x{6,}", "0123456789", "qwerty", "asdfgh", "zxcvbn", "lorem"]
+ALLOWED = "(?i)" + "|".join([*_LISTED, *[ascii_lowercase[i : i + 8] for i in range(19)]])
 
 
 def running_sums(values: Column) -> Column:
@@ -110,15 +124,32 @@ def hot_window(candidate: Column, window: int, threshold: float) -> Column:
     return let(F.transform(F.split(candidate, ""), lambda c: F.ascii(c)), of_codes)
 
 
+def unlisted(run: Column) -> Column:
+    """array<struct<at, part>>: what the words of the allow-list leave of a run, and where it begins; the run itself without any."""
+    words = F.regexp_extract_all(run, F.lit(f"({ALLOWED})"), F.lit(0))
+
+    def parts(rows: Column) -> Column:
+        size = lambda x: F.coalesce(F.length(x["word"]), F.lit(0))
+        stops = running_sums(F.transform(rows, lambda x: F.length(x["part"]) + size(x)))
+        return F.zip_with(rows, stops, lambda x, stop: F.struct((stop - size(x) - F.length(x["part"])).alias("at"), x["part"].alias("part")))
+
+    cut = let(F.arrays_zip(F.split(run, ALLOWED, -1).alias("part"), words.alias("word")), parts)
+    return F.when(run.rlike(ALLOWED), cut).otherwise(F.array(F.struct(F.lit(0).alias("at"), run.alias("part"))))
+
+
 def _spans_of_class(text: Column, kind: str, pattern: str, window: int, threshold: float) -> Column:
-    runs = F.filter(located(text, pattern, 0, window, kind), lambda x: ~x["match"].rlike(ALLOWED))
-    scored = F.transform(runs, lambda x: F.struct(x.alias("x"), hot_window(x["match"], window, threshold).alias("h")))
+    def pieces(x: Column) -> Column:
+        whole = F.filter(unlisted(x["match"]), lambda p: p["part"].rlike(f"^(?:{pattern})$"))
+        return F.transform(whole, lambda p: F.struct((x["start"] + p["at"]).alias("start"), p["part"].alias("part")))
+
+    runs = F.flatten(F.transform(located(text, pattern, 0, window, kind), pieces))
+    scored = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), hot_window(x["part"], window, threshold).alias("h")))
     hot = F.filter(scored, lambda y: y["h"]["first"].isNotNull())
-    return F.transform(hot, lambda y: F.struct(y["x"]["kind"].alias("kind"), (y["x"]["start"] + y["h"]["first"]).alias("start"), (y["x"]["start"] + y["h"]["last"] + window).alias("stop")))
+    return F.transform(hot, lambda y: F.struct(F.lit(kind).alias("kind"), (y["start"] + y["h"]["first"]).alias("start"), (y["start"] + y["h"]["last"] + window).alias("stop")))
 
 
 def entropy_spans(text: Column) -> Column:
-    return F.concat(*[_spans_of_class(text, *c) for c in [*CLASSES, *ALPHANUMERIC]])
+    return F.concat(*[_spans_of_class(text, *c) for c in ENTROPY])
 
 
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -135,7 +166,7 @@ def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def joined(spans: Column) -> Column:
     """kind:start:stop by start, then by kind as listed, then by stop; joined by commas."""
-    order = {k: i for i, k in enumerate([*[p[0] for p in PATTERNS], *[c[0] for c in [*CLASSES, *ALPHANUMERIC]]])}
+    order = {k: i for i, k in enumerate([*[p[0] for p in PATTERNS], *[c[0] for c in ENTROPY]])}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     rows = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")

@@ -862,11 +862,13 @@ def test_secret_scan(docs, empty):
         t, base, more = text or "", [], []
         for k, (kind, p) in enumerate(kinds):
             base += [(m.start(), k, m.end(), kind) for m in re.finditer(p, t) if enough[kind](m)]
-        for k, (kind, p, window, least) in enumerate([*secret_scan.CLASSES, *secret_scan.ALPHANUMERIC]):
+        for k, (kind, p, window, least) in enumerate(secret_scan.ENTROPY):
             for m in re.finditer(p, t):
-                hot = [] if re.search(secret_scan.ALLOWED, m[0]) else entropy_hot(m[0], window, least)
-                if hot:
-                    more.append((m.start() + hot[0], 3 + k, m.start() + hot[-1] + window, kind))
+                listed = [(0, 0), *[x.span() for x in re.finditer(secret_scan.ALLOWED, m[0])], (len(m[0]), 0)]
+                for (_, at), (end, _) in zip(listed, listed[1:]):
+                    hot = entropy_hot(m[0][at:end], window, least) if re.fullmatch(p, m[0][at:end]) else []
+                    if hot:
+                        more.append((m.start() + at + hot[0], 3 + k, m.start() + at + hot[-1] + window, kind))
         text_of = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
         n = Counter(x[3] for x in base)
         want.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(base + more)))
@@ -878,11 +880,17 @@ def test_secret_scan(docs, empty):
 
 def test_secret_scan_finds_values_of_names(spark):
     mixed, lower, upper = "wJa7rXUtnF3MK2MDENGbPxRf1CYzQ9vKt5LhS8oA", "k7w2zq9mx4tv8rpj3nhy5ugs6wlz", "K5QW2ZTV7JXR4M6PYHN3UGLSIO2A"
+    letters, dashed = "qWJalrXUtnFEMIkKMDENGbPxRfiCYzvQhTsO", "K7Q2W-9ZMX4-TV8RP-J3NHY-5UGS6"
     lines = [
         (f"AWS_SECRET_ACCESS_KEY={mixed}", mixed, "entropy-base64"), (f"https://x.org/?a=1&sig={mixed}&b=2", mixed, "entropy-base64"), (f"auth={mixed}==", mixed, "entropy-base64"),
         ("private_key=f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "entropy-hex"),
         (f"auth={lower} end", lower, "entropy-lower"), (f"say sk-{lower}", lower, "entropy-lower"), (f"seed={upper}====", upper, "entropy-upper"), (f"é {upper}", upper, "entropy-upper"),
-        (f"{lower}=name", None, None), (f"{mixed}=name", None, None), ("a plain sentence of 2026 with internationalizations1 in it", None, None), (f"auth=example{lower}", None, None),
+        (f"{lower}=name", None, None), (f"{mixed}=name", None, None), ("a plain sentence of 2026 with internationalizations1 in it", None, None),
+        (f"auth=example{lower}", lower, "entropy-lower"), ("pw=aB3dE5gH7jK9mN1pQ3sT5vloremX9", "aB3dE5gH7jK9mN1pQ3sT5v", "entropy-base64"), (f"see example/{mixed}", mixed, "entropy-base64"),
+        ("key: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", None, None), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", None, None), ("example" * 9 + "A1", None, None),
+        (f"pass: {letters}", letters, "entropy-letters"), (f"pass={letters}=", letters, "entropy-letters"), ("theQuickBrownFoxJumpsOverTheLazyDogAndRunsAway", None, None), ("getHTTPResponseFromTheRemoteServerOfTheCompany", None, None),
+        ("Donaudampfschifffahrtsgesellschaftskapitaen", None, None), (f"licence {dashed}.", dashed, "entropy-dashed"), (f"licence {dashed}-x", dashed, "entropy-base64"),
+        ("550E8400-E29B-41D4-A716-446655440000", None, None), ("MODEL-TYPE-SIZE-0042", None, None), ("2024-0001-0002-0003", None, None), ("ABCD-1234-ABCD-1234", None, None),
     ]
     d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(lines)], "doc_id int, text string")
     for r in secret_scan.secret_scan(d).collect():
@@ -890,7 +898,7 @@ def test_secret_scan_finds_values_of_names(spark):
         assert [x["kind"] for x in r["entropy_spans"]] == ([kind] if kind else []), text
         for x in r["entropy_spans"]:
             at = text.index(value)
-            assert at <= x["start"] < at + 12 and at + 20 <= x["stop"] <= len(text)
+            assert at - 1 <= x["start"] < at + 12 and at + 19 <= x["stop"] <= len(text)
 
 
 def test_running_sums_and_slides_agree_with_counting(spark):
@@ -923,18 +931,19 @@ def test_secret_scan_agrees_with_its_sql_on_planted_keys(spark):
     import duckdb
     from tabscore.llm import oracles
 
-    rng, kinds = random.Random(10), ["abcdef0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"]
+    rng, kinds = random.Random(10), ["abcdef0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     texts = [None, ""]
     for _ in range(400):
         key = lambda: "".join(rng.choices(rng.choice(kinds), k=rng.randint(15, 60)))
-        texts.append("".join(rng.choice(["NAME=", "sig=", " ", "=", "==", "Authorization: ", "é", "-", "\n", ""]) + rng.choice([key(), "word", "token: "]) for _ in range(rng.randint(1, 9))))
+        dashed = lambda: "-".join("".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=rng.randint(4, 6))) for _ in range(rng.randint(3, 6)))
+        texts.append("".join(rng.choice(["NAME=", "sig=", " ", "=", "==", "Authorization: ", "é", "-", "\n", ""]) + rng.choice([key(), key() + rng.choice(["example", "LOREM/", "xxxxxxx"]) + key(), dashed(), "word", "token: "]) for _ in range(rng.randint(1, 9))))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     db = duckdb.connect()
     db.register("documents", d.toPandas())
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     found = got(secret_scan.spans_of(secret_scan.secret_scan(d)), *columns)
     assert found == sorted(db.sql(f"SELECT {', '.join(columns)} FROM ({oracles.secret_scan()})").fetchall(), key=str)
-    for kind, *_ in [*secret_scan.CLASSES, *secret_scan.ALPHANUMERIC]:
+    for kind, *_ in secret_scan.ENTROPY:
         assert sum(kind in r[-1] for r in found) > 10
 
 
