@@ -170,7 +170,7 @@ class FairnessEvaluator:
         return tuple(float(x) for x in np.percentile(gaps, [50 * (1 - self.ci), 100 - 50 * (1 - self.ci)])) if gaps else None
 
     def evaluate(self, synth: DataFrame, test_real: DataFrame) -> Dim5Result:
-        from tabscore.operators.utility import fit_predict
+        from tabscore.operators.utility import classes_of, fit_predict
 
         spec, out = self.spec, Dim5Result()
         tagged = synth.select(self.group(synth, spec.target_col).alias("t"), *[self.group(synth, c).alias(f"g{i}") for i, c in enumerate(spec.protected_cols)])
@@ -180,7 +180,7 @@ class FairnessEvaluator:
             scored = fit_predict(synth, test_real, self.schema, spec.target_col, spec.task_type, self.trees, self.seed)
             scored = scored.select("label", "prediction", *[self.group(test_real, c).alias(f"g{i}") for i, c in enumerate(spec.protected_cols)]).persist()
             regression = spec.task_type is TaskType.REGRESSION
-            classes = [] if regression else sorted(r["label"] for r in scored.select("label").distinct().collect())
+            classes = [] if regression else classes_of(scored)
             if spec.task_type is TaskType.BINARY:
                 classes = classes[-1:]
             if not regression:

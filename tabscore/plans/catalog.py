@@ -533,7 +533,10 @@ _orders = " UNION ALL ".join(
 )
 
 
-@query("ordering_scores", f"WITH {GEO}, e AS ({_ent}), o AS (" + re.sub(r"h\('(\w+)', '(\w+)'\)", r"(SELECT max(h) FROM e WHERE a = '\1' AND b = '\2' OR a = '\2' AND b = '\1')", _orders) + ") SELECT ordering, round(ce, 6) AS ce, round(mi, 6) AS mi FROM o")
+ORDERS = f"{GEO}, e AS ({_ent}), o AS (" + re.sub(r"h\('(\w+)', '(\w+)'\)", r"(SELECT max(h) FROM e WHERE a = '\1' AND b = '\2' OR a = '\2' AND b = '\1')", _orders) + ")"
+
+
+@query("ordering_scores", f"WITH {ORDERS} SELECT ordering, round(ce, 6) AS ce, round(mi, 6) AS mi FROM o")
 def _(s, d):
     return s.createDataFrame([(">".join(o), float(ce), float(mi)) for o, ce, mi in ordering.score_all_permutations(P.geo(s, d)[0], _ORD)], "ordering string, ce double, mi double")
 
@@ -669,13 +672,28 @@ def _(s, d):
     return drift.drift_by_window(drift.window_counts(e, "ts", "event_type"), e.groupBy(F.col("event_type").alias("v")).agg(F.count("*").alias("n")))
 
 
-# What SQL can't express
+_draw = lambda k: f"(('0x' || substr(md5('{k}|' || c_custkey), 1, 13))::BIGINT / 4503599627370496.0)"
+_normal = lambda k: f"sqrt(-2 * ln(1 - {_draw(k)})) * cos(2 * pi() * {_draw(k + 1)})"
 
 
-@query("scm_generate")
+@query(
+    "scm_generate",
+    f"""WITH i AS (SELECT c_custkey, scenario, bad, greatest(10000.0, CASE WHEN bad THEN 35000 ELSE 50000 END + 15000 * (c_acctbal - 4500)::DOUBLE / 3000) AS income
+    FROM customer, (VALUES ('normal', false), ('recession', true)) t(scenario, bad)),
+  c AS (SELECT *, least(850.0, greatest(300.0, 550 + income / 500 + 40 * {_normal(2)})) AS credit FROM i),
+  l AS (SELECT *, greatest(1000.0, 0.3 * income + 20 * credit + 3000 * {_normal(4)}) AS loan FROM c)
+  SELECT scenario, count(*) AS n, round(avg(income), 4) AS income, round(avg(credit), 6) AS credit_score, round(avg(loan), 4) AS loan_amount,
+    round(avg(({_draw(6)} < 1 / (1 + exp(-(CASE WHEN bad THEN 1.0 ELSE 0.0 END + loan / income * 4 - credit / 200))))::INT), 6) AS default_rate FROM l GROUP BY scenario""",
+)
 def _(s, d):
-    both = files.causal_data(s, 20_000).withColumn("scenario", F.lit("normal")).unionByName(files.causal_data(s, 20_000, "recession").withColumn("scenario", F.lit("recession")))
-    return both.groupBy("scenario").agg(F.avg("Default").alias("default_rate"), F.avg("Income").alias("income"))
+    """The customers' structural model in two scenarios; the income's shock is their balance."""
+    shock = (F.col("c_acctbal") - 4500).cast("double") / 3000
+    made = [files.causal_rows(P.table(s, d, "customer"), ["c_custkey"], k, shock).withColumn("scenario", F.lit(k)) for k in ("normal", "recession")]
+    means = [F.round(F.avg(c), k).alias(n) for c, n, k in (("Income", "income", 4), ("Credit_Score", "credit_score", 6), ("Loan_Amount", "loan_amount", 4), ("Default", "default_rate", 6))]
+    return made[0].unionByName(made[1]).groupBy("scenario").agg(F.count("*").alias("n"), *means)
+
+
+# What SQL can't express
 
 
 @query("bootstrap_ci")

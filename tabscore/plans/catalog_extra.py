@@ -12,7 +12,8 @@ from tabscore.functions.stable import scratch, stable
 from tabscore.operators import bootstrap, encoders, fairness, logic, neighbors, ordering, sampling, structural, utility
 from tabscore.operators.schema import DataSchema
 from tabscore.plans import pairs as P
-from tabscore.plans.catalog import SYNTH, TAGGED, query, values
+from tabscore.plans.catalog import _ORD as ORDER_COLUMNS
+from tabscore.plans.catalog import ORDERS, SYNTH, TAGGED, query, values
 from tabscore.sources import files
 
 # A categorical column with thousands of values: order keys. Two thirds of the orders are real; of the synthetic ones,
@@ -167,10 +168,11 @@ def _(s, d):
     return ordering.remaining_orders(every.select("ordering"), every.filter("o_totalprice > 495000").select("ordering"))
 
 
-@query("evenly_spaced", f"SELECT i::BIGINT AS place FROM (VALUES {', '.join(f'({round(i * 23 / 4)})' for i in range(5))}) t(i)")
+@query("evenly_spaced", f"WITH {ORDERS}, r AS (SELECT ordering, round(ce, 6) AS ce, row_number() OVER (ORDER BY round(ce, 6), ordering) - 1 AS place FROM o) SELECT ordering, ce FROM r WHERE place IN (0, 2, 3, 5)")
 def _(s, d):
-    """Five of 24 scored orders, from the first to the last."""
-    return s.createDataFrame([(i,) for i in ordering.select_orderings(list(range(24)), 5)], "place bigint")
+    """Four of the six orders of three columns, from the one whose conditional entropy is least to the one where it is greatest."""
+    scored = sorted((round(float(ce), 6), ">".join(o)) for o, ce, _ in ordering.score_all_permutations(P.geo(s, d)[0], ORDER_COLUMNS))
+    return s.createDataFrame(ordering.select_orderings(scored, 4), "ce double, ordering string")
 
 
 @query(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscore.operators.sampling import chance
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, as_text: bool = False) -> DataFrame:
     """A CSV with a header: typed by schema, all texts, or inferred."""
@@ -159,14 +162,29 @@ def write_config(spark: SparkSession, path: str, name: str, settings: dict[str,
     write_text(spark, path, "\n".join(lines))
 
 
-def causal_data(spark: SparkSession, n: int, scenario: str = "normal", seed: int = 0) -> DataFrame:
-    """Income -> Credit_Score -> Loan_Amount -> Default rows of a structural model; a recession lowers income and
-    raises the chance of a default. Made where it is used: no data moves."""
+def causal_rows(df: DataFrame, keys: list[str], scenario: str = "normal", shock: Column | None = None, seed: int = 0) -> DataFrame:
+    """df with Income -> Credit_Score -> Loan_Amount -> Default of a structural model; a recession lowers income and
+    raises the chance of a default.
+
+    A row's draws follow from its keys, whatever the partitions, so reruns agree; equal keys have equal draws. shock is
+    what a row's income has of its own, in standard deviations: a draw without it, 0 where it is null. Made where rows
+    lie: no data moves.
+    """
     if scenario not in ("normal", "recession"):
         raise ValueError(f"scenario is normal or recession, not {scenario!r}")
     bad = scenario == "recession"
-    d = spark.range(n).withColumn("Income", F.greatest(F.lit(10_000.0), (35_000 if bad else 50_000) + 15_000 * F.randn(seed)))
-    d = d.withColumn("Credit_Score", F.least(F.lit(850.0), F.greatest(F.lit(300.0), 550 + F.col("Income") / 500 + 40 * F.randn(seed + 1))))
-    d = d.withColumn("Loan_Amount", F.greatest(F.lit(1_000.0), 0.3 * F.col("Income") + 20 * F.col("Credit_Score") + 3_000 * F.randn(seed + 2)))
+
+    def normal(k: int) -> Column:
+        return F.sqrt(-2 * F.log(1 - chance(keys, seed + k))) * F.cos(2 * math.pi * chance(keys, seed + k + 1))
+
+    own = normal(0) if shock is None else F.coalesce(shock.cast("double"), F.lit(0.0))
+    d = df.withColumn("Income", F.greatest(F.lit(10_000.0), (35_000 if bad else 50_000) + 15_000 * own))
+    d = d.withColumn("Credit_Score", F.least(F.lit(850.0), F.greatest(F.lit(300.0), 550 + F.col("Income") / 500 + 40 * normal(2))))
+    d = d.withColumn("Loan_Amount", F.greatest(F.lit(1_000.0), 0.3 * F.col("Income") + 20 * F.col("Credit_Score") + 3_000 * normal(4)))
     risk = (1.0 if bad else 0.0) + F.col("Loan_Amount") / F.col("Income") * 4 - F.col("Credit_Score") / 200
-    return d.withColumn("Default", (F.rand(seed + 3) < 1 / (1 + F.exp(-risk))).cast("int")).drop("id")
+    return d.withColumn("Default", (chance(keys, seed + 6) < 1 / (1 + F.exp(-risk))).cast("int"))
+
+
+def causal_data(spark: SparkSession, n: int, scenario: str = "normal", seed: int = 0) -> DataFrame:
+    """n rows of that model, without other columns."""
+    return causal_rows(spark.range(n), ["id"], scenario, seed=seed).drop("id")
