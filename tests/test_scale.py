@@ -581,3 +581,16 @@ def test_config_sink_and_order_of_bundles(spark, tmp_path):
     assert scope["CONFIGS"] == settings
     bundles = [ResultBundle(BundleMetadata(m, d)) for m, d in (("b", "x"), ("a", "z"), ("a", "y"))]
     assert [(b.metadata.model, b.metadata.dataset) for b in leaderboard.in_order(bundles)] == [("a", "y"), ("a", "z"), ("b", "x")]
+
+
+def test_rows_of_the_structural_model_follow_from_their_keys(spark):
+    df = spark.range(3000).withColumn("balance", (F.col("id") % 7).cast("double") - 3)
+    one = {tuple(r) for r in files.causal_rows(df, ["id"]).collect()}
+    assert one == {tuple(r) for r in files.causal_rows(df.repartition(7, "balance"), ["id"]).collect()}
+    assert one != {tuple(r) for r in files.causal_rows(df, ["id"], seed=100).collect()}
+    given = files.causal_rows(df.withColumn("balance", F.when(F.col("id") > 0, F.col("balance"))), ["id"], "recession", F.col("balance")).collect()
+    assert all(r["Income"] == max(10_000, 35_000 + 15_000 * (r["balance"] or 0)) and 300 <= r["Credit_Score"] <= 850 and r["Loan_Amount"] >= 1_000 for r in given)
+    income = files.causal_data(spark, 20_000).agg(F.avg("Income").alias("m"), F.stddev("Income").alias("s")).first()
+    assert abs(income["m"] - 50_000) < 600 and abs(income["s"] - 15_000) < 400
+    with pytest.raises(ValueError, match="scenario"):
+        files.causal_rows(df, ["id"], "boom")
