@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.functions.stable import scratch, stable
+from tabscore.functions.stable import scratch
 from tabscore.operators import bootstrap, encoders, fairness, logic, neighbors, ordering, sampling, structural, utility
 from tabscore.operators.schema import DataSchema
 from tabscore.plans import pairs as P
@@ -271,7 +271,7 @@ def _(s, d):
 def _(s, d):
     """Two numbers and five categories, all rows of both sides: the library's main pair."""
     real, synth = P.li(s, d)
-    return neighbors.dcr_percentiles(neighbors.dcr_rows(real, stable(synth.withColumn("id", F.monotonically_increasing_id())), DataSchema(real), "id"))
+    return neighbors.dcr_percentiles(neighbors.dcr_counts(real, synth, DataSchema(real)))
 
 
 # Dependencies of several columns, the best order of columns
