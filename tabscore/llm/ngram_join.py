@@ -42,7 +42,9 @@ LEAST_BITS, BITS_A_ROW, MOST_BITS = 24, 64, 28
 #: Rows of a tile that are compared with each other, or with as many others, at once.
 BLOCK = 256
 #: Sets that a task remembers, to give equal ones once; what it forgets is given again and merged later.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
+#: Rows whose sets are made at once, shingles that are held to count them (32 MB), parts by hash in which they are counted, words whose hashes are kept.
+ROWS, HELD, PARTS, WORDS = 256, 4 << 20, 16, 100_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -50,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets them when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -105,8 +107,8 @@ def least_overlap(n: int, m: int) -> int:
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hashes = WordHashes()
     for whole in batches:
-        for at in range(0, whole.num_rows, 2048):
-            batch = whole.slice(at, 2048)
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
             yield batch, [shingles(t, hashes) for t in batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()]
 
 
@@ -118,26 +120,46 @@ def mark_bits(n_rows: int) -> int:
     return max(LEAST_BITS, min(MOST_BITS, (BITS_A_ROW * n_rows).bit_length()))
 
 
+def frequent(sets: list[np.ndarray]) -> np.ndarray:
+    """The first MOST_BITS bits of the shingles that FREQUENT or more of the sets have, counted by parts of the hashes."""
+    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    out = []
+    for i in range(PARTS):
+        values, counts = np.unique(np.concatenate([s[cut[i] : cut[i + 1]] for s, cut in zip(sets, cuts, strict=True)]), return_counts=True)
+        out.append(np.unique(values[counts >= FREQUENT] >> np.uint64(64 - MOST_BITS)).astype(np.int32))
+    return np.concatenate(out)
+
+
 def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, k, sig, marks): every row's set by its digest; the signature once for equal sets of a task's rows; at
-    a batch's first row, the first MOST_BITS bits of the shingles that are in several different sets of the batch."""
-    hashes, seen = WordHashes(), set()
-    for batch in batches:
-        sets = [shingles(t.as_py(), hashes) for t in batch.column(1).cast(pa.large_binary())]
-        ks, sigs, own = [_digest(s) for s in sets], [], {}
+    the last row of a run of up to HELD shingles, the first MOST_BITS bits of those that are in several different sets of the run."""
+    seen: set[bytes] = set()
+    own: dict[bytes, np.ndarray] = {}
+    held, last = 0, None
+
+    def made(ids: pa.Array, ns: list[int], ks: list, sigs: list, marks: np.ndarray | None) -> pa.RecordBatch:
+        each = pa.array([*[None] * (len(ns) - 1), marks], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary()), each], ["doc_id", "n", "k", "sig", "marks"])
+
+    for batch, sets in _each_set(batches):
+        if last:
+            full = held >= HELD
+            yield made(*last, frequent(list(own.values())) if full and own else None)
+            if full:
+                own, held = {}, 0
+        ks, sigs = [_digest(s) for s in sets], []
         for k, s in zip(ks, sets, strict=True):
             sigs.append(None if k is None or k in seen else signature(s))
             if k is not None:
-                own[k] = s
+                if k not in own:
+                    own[k], held = s, held + len(s)
                 if len(seen) < REMEMBERED:
                     seen.add(k)
-        marks = [None] * len(sets)
-        if own:
-            values, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
-            marks[0] = np.unique(values[counts >= FREQUENT] >> np.uint64(64 - MOST_BITS)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary()), pa.array(marks, pa.list_(pa.int32()))], ["doc_id", "n", "k", "sig", "marks"]
-        )
+        # Copied: a slice would keep the whole batch with its texts.
+        last = pa.array(batch.column(0).to_pylist(), batch.column(0).type), [len(s) for s in sets], ks, sigs
+    if last:
+        yield made(*last, frequent(list(own.values())) if own else None)
 
 
 def _bitmap(marks: DataFrame, bits: int, before: bytes | None = None) -> bytes:
