@@ -11,7 +11,8 @@ A set is made of 64-bit hashes of its shingles. The join loses no pair and never
    as they need, each sorted by size and streamed.
 4. A pair's bitmap signatures (parities of hashed shingles, as long as the set's size band asks for, folded to the
    shorter) differ in no more bits than the sets differ in shingles: bit counts bound the overlap from above.
-5. The pairs that are left are verified by intersecting the sorted arrays, which are made of these pairs' sets alone.
+5. The pairs that are left are verified by intersecting the sorted arrays, which are made of these pairs' sets alone:
+   a set is found again by a text that has it, so no other text is cut into shingles once more.
 
 A group of n near copies isn't expanded: first rounds test each set with a few neighbours of its tile and join what
 is linked. Then a tile's sets of its largest component and all others are cut, by size, into blocks of their own, and
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,7 +78,9 @@ def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
         sums = h[: n - SHINGLE + 1] * _MULTIPLIERS[0]
         for k in range(1, SHINGLE):
             sums += h[k : n - SHINGLE + 1 + k] * _MULTIPLIERS[k]
-        return np.unique(_mixed(sums))
+        sums = _mixed(sums)
+        sums.sort()
+        return sums[np.append(True, sums[1:] != sums[:-1])]
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -116,6 +119,14 @@ def _digest(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def _first_bits(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:4], "big") >> 32 - bits
+
+
+def _text_digest(text: bytes | None) -> bytes:
+    return xxhash.xxh3_128_digest(text or b"")
+
+
 def mark_bits(n_rows: int) -> int:
     return max(LEAST_BITS, min(MOST_BITS, (BITS_A_ROW * n_rows).bit_length()))
 
@@ -132,15 +143,17 @@ def frequent(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, k, sig, marks): every row's set by its digest; the signature once for equal sets of a task's rows; at
-    the last row of a run of up to HELD shingles, the first MOST_BITS bits of those that are in several different sets of the run."""
+    """(doc_id, n, k, sig, text_mark, marks): every row's set by its digest; the signature, and the first MOST_BITS bits of the
+    text's digest, once for equal sets of a task's rows; at the last row of a run of up to HELD shingles, the first
+    MOST_BITS bits of those that are in several different sets of the run."""
     seen: set[bytes] = set()
     own: dict[bytes, np.ndarray] = {}
     held, last = 0, None
 
-    def made(ids: pa.Array, ns: list[int], ks: list, sigs: list, marks: np.ndarray | None) -> pa.RecordBatch:
+    def made(ids: pa.Array, ns: list[int], ks: list, sigs: list, texts: list, marks: np.ndarray | None) -> pa.RecordBatch:
         each = pa.array([*[None] * (len(ns) - 1), marks], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary()), each], ["doc_id", "n", "k", "sig", "marks"])
+        columns = [ids, pa.array(ns, pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary()), pa.array(texts, pa.int32()), each]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k", "sig", "text_mark", "marks"])
 
     for batch, sets in _each_set(batches):
         if last:
@@ -148,16 +161,18 @@ def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made(*last, frequent(list(own.values())) if full and own else None)
             if full:
                 own, held = {}, 0
-        ks, sigs = [_digest(s) for s in sets], []
-        for k, s in zip(ks, sets, strict=True):
-            sigs.append(None if k is None or k in seen else signature(s))
+        ks, sigs, texts = [_digest(s) for s in sets], [], []
+        for k, s, text in zip(ks, sets, batch.column(batch.num_columns - 1).cast(pa.large_binary()), strict=True):
+            known = k is None or k in seen
+            sigs.append(None if known else signature(s))
+            texts.append(None if known else _first_bits(_text_digest(text.as_py()), MOST_BITS))
             if k is not None:
                 if k not in own:
                     own[k], held = s, held + len(s)
                 if len(seen) < REMEMBERED:
                     seen.add(k)
         # Copied: a slice would keep the whole batch with its texts.
-        last = pa.array(batch.column(0).to_pylist(), batch.column(0).type), [len(s) for s in sets], ks, sigs
+        last = pa.array(batch.column(0).to_pylist(), batch.column(0).type), [len(s) for s in sets], ks, sigs, texts
     if last:
         yield made(*last, frequent(list(own.values())) if own else None)
 
@@ -321,31 +336,30 @@ def linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def array_rows(wanted, bits: int):
-    """(k, x): the sorted arrays of the sets whose digests the bitmap has, equal ones of a task's rows once."""
+    """(k, x): the sorted arrays of the sets of texts whose digests the bitmap has, equal texts of a task's rows once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = np.frombuffer(wanted.value, np.uint8), set()
-        for _, sets in _each_set(batches):
-            found = []
-            for s in sets:
-                k = _digest(s)
-                if k is not None and k not in seen:
-                    mark = int.from_bytes(k[:4], "big") >> 32 - bits
-                    if bitmap[mark >> 3] >> (mark & 7) & 1:
-                        if len(seen) < REMEMBERED:
-                            seen.add(k)
-                        found.append((k, s.tobytes()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["k", "x"])
+        bitmap, seen, hashes = np.frombuffer(wanted.value, np.uint8), set(), WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                found = []
+                for value in whole.slice(at, ROWS).column(whole.num_columns - 1).cast(pa.large_binary()):
+                    text = value.as_py()
+                    digest = _text_digest(text)
+                    mark = _first_bits(digest, bits)
+                    if not bitmap[mark >> 3] >> (mark & 7) & 1 or digest in seen:
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(digest)
+                    s = shingles(text, hashes)
+                    if len(s):
+                        found.append((_digest(s), s.tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["k", "x"])
 
     return kernel
 
 
-def digest_marks(k: Column, bits: int) -> Column:
-    """The first bits of a digest, as a number."""
-    return F.shiftright(F.conv(F.hex(F.substring(k, 1, 4)), 16, 10).cast("long"), 32 - bits)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, root): the smallest node of each one's component, by alternating large and small stars (edges to smaller nodes only)."""
 
@@ -385,7 +399,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = materialize(rows.mapInArrow(member_rows, f"doc_id {kind}, n bigint, k binary, sig binary, marks array<int>"), "sets")
+    members = materialize(rows.mapInArrow(member_rows, f"doc_id {kind}, n bigint, k binary, sig binary, text_mark int, marks array<int>"), "sets")
     spark, bits = docs.sparkSession, mark_bits(members.count())
 
     marked = _bitmap(members.select(F.explode("marks").alias("mark")).select(F.shiftright("mark", MOST_BITS - bits).alias("mark")).distinct(), bits)
@@ -409,16 +423,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Tiles with the same sets have the same pairs: one of them is enough.
     kept = alike.groupBy("x", "y", "count").agg(F.min("h").alias("h")).select("h")
     every, tiles = tiles, materialize(spread_join(tiles, kept, alike.select("h", "count"), "h", "left_semi"), "tiles")
-    sigs = members.filter("sig is not null").select("k", "n", "sig").join(tiles.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    sigs = members.filter("sig is not null").select("k", "n", "sig", "text_mark").join(tiles.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     sigs = materialize(sigs, "signatures")
     discard(every, alike)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are links: arrays are made, in one more pass over the texts, of their sets only."""
+        """The pairs that are links: arrays are made, of one text of each of their sets, in one more pass that only hashes all others."""
         pairs = materialize(pairs, f"{name}-pairs")
         if pairs.isEmpty():
             return pairs
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(digest_marks(F.col("k"), bits).alias("mark")).distinct()
+        ends = sigs.join(pairs.select(F.explode(F.array("a", "b")).alias("k")), "k", "left_semi").select(F.shiftright("text_mark", MOST_BITS - bits).alias("mark")).distinct()
         wanted = spark.sparkContext.broadcast(_bitmap(ends, bits))
         arrays = materialize(docs.select("text").mapInArrow(array_rows(wanted, bits), "k binary, x binary").repartition("k").dropDuplicates(["k"]), f"{name}-arrays")
         x, y = (arrays.select(F.col("k").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")

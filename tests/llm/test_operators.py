@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -512,6 +513,26 @@ def test_ngram_join_of_one_large_tile_in_small_blocks(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_arrays_are_made_of_wanted_texts_only(monkeypatch):
+    """Once for equal texts, and no other text is cut into shingles."""
+    made, shingles = [], ngram_join.shingles
+    monkeypatch.setattr(ngram_join, "shingles", lambda text, hashes: made.append(text) or shingles(text, hashes))
+    texts = [f"one two three four five six {i}" for i in range(30)] + [None, ""]
+    digest = xxhash.xxh3_128_intdigest(texts[7].encode())
+    bits, bitmap = 24, bytearray(1 << 21)
+    mark = digest >> 128 - bits
+    bitmap[mark >> 3] |= 1 << (mark & 7)
+
+    class Wanted:
+        value = bytes(bitmap)
+
+    batches = pa.table({"text": pa.array(texts * 2)}).to_batches(max_chunksize=9)
+    out = [r for b in ngram_join.array_rows(Wanted, bits)(iter(batches)) for r in b.to_pylist()]
+    assert made == [texts[7].encode()]
+    s = shingles(texts[7].encode(), ngram_join.WordHashes())
+    assert out == [{"k": xxhash.xxh3_128_digest(s.tobytes()), "x": s.tobytes()}] and len(s) == 3
+
+
 def test_shared_rows_stream_in_batches_of_any_size(monkeypatch):
     import pyarrow as pa
 
