@@ -2,11 +2,13 @@
 
 A word is the sum of hashed rows of an embedding table, its own and those of its beginnings, so words that are new
 are told by kin; filters of several widths slide over the whole text, the largest
-response of each filter, rectified, goes to a logistic unit. The model is trained on a bounded sample of labelled
-rows (MOST_ROWS rows and MOST_BYTES of text at most, evenly of both labels) by stochastic gradients; of the sample,
-every fifth row is left out of training and sets the thresholds: one for each language that function words tell, drawn
-towards the common one by SHRINK, so that the fewer rows a language has the less it departs. A score is the
-probability with its language's threshold moved to 0.5.
+response of each filter, rectified, goes to a logistic unit. The model is trained by stochastic gradients on all
+labelled rows. It begins with several passes over MOST_ROWS rows and MOST_BYTES of text at most, evenly of both labels,
+on the driver. If there are more, all of them are dealt, by hashes, to shards of about SHARD rows, each of which goes on
+from that beginning with one pass over its rows in a task; what the shards changed is averaged, a row of numbers over
+the shards that changed it. About every fifth row is left out of training, and all of these set the thresholds: one for
+each language that function words tell, drawn towards the common one by SHRINK, so that the fewer rows a language has
+the less it departs. A score is the probability with its language's threshold moved to 0.5.
 
 Only the text of a row goes into its score. The model is a few megabytes and is broadcast; a text is scored in
 blocks, so a long one needs no more memory than a short one.
@@ -14,6 +16,7 @@ blocks, so a long one needs no more memory than a short one.
 
 from __future__ import annotations
 
+import copy
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import materialize
+from tabscore.llm.common import discard, materialize
 from tabscore.llm.language import Language
 
 BUCKETS, DIM, FILTERS, WIDTHS, BLOCK, CACHED = 1 << 15, 16, 16, (1, 2, 3), 1 << 15, 1 << 17
 PAD = max(WIDTHS) - 1
-#: The bounds on labelled rows that are gathered and on the bytes of their texts.
+#: The bounds on labelled rows that are gathered to begin with and on the bytes of their texts.
 MOST_ROWS, MOST_BYTES, SHARES = 6000, 64 << 20, 16
-#: Passes over the rows, step size, weight decay, rows of a language that weigh as much as the common threshold.
+#: Rows of a shard, rows of numbers that are summed up together, steps of a logit in which rows for thresholds are counted.
+SHARD, PIECE, FINE = 8192, 2048, 256
+#: Passes over the rows to begin with, step size, weight decay, rows of a language that weigh as much as the common threshold.
 EPOCHS, RATE, DECAY, SHRINK = 6, 0.1, 1e-4, 30
 #: How much worse it is to reject a clean document, by share of its label, than to keep a toxic one.
 ALARM = 4.0
@@ -116,8 +121,83 @@ class Scorer(dict):
         return float(np.maximum(best, 0) @ self.model.out) + self.model.bias
 
 
-def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 11) -> Model:
-    """rows: embedding rows of each word, label, language; every fifth of each label is left for the thresholds."""
+def flat(model: Model) -> np.ndarray:
+    """All of a model's numbers but the thresholds, in rows of DIM."""
+    rest = np.concatenate([*[w.ravel() for w in model.filters], model.out, [np.float32(model.bias)]])
+    return np.concatenate([model.embed, np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)]).astype(np.float32)
+
+
+def unflat(numbers: np.ndarray) -> Model:
+    """The model of which flat gives these numbers, with thresholds of 0."""
+    embed, rest, at, filters = numbers[: BUCKETS + 1].copy(), numbers[BUCKETS + 1 :].ravel(), 0, []
+    for w in WIDTHS:
+        filters.append(rest[at : at + w * DIM * FILTERS].reshape(w, DIM, FILTERS).copy())
+        at += w * DIM * FILTERS
+    n = len(WIDTHS) * FILTERS
+    return Model(embed, filters, rest[at : at + n].copy(), float(rest[at + n]), {"": 0.0})
+
+
+class Trainer:
+    """A model in training, with the squares of its gradients so far, by which each number's steps get smaller."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.grads = [np.full_like(model.embed, 1e-2), *[np.full_like(w, 1e-2) for w in model.filters], np.full_like(model.out, 1e-2)]
+        self.g_bias = 1e-2
+
+    def step(self, h: np.ndarray, y: int) -> None:
+        """h: embedding rows of each word. A long text is read in blocks, of which only the largest responses are kept."""
+        model, grads, columns = self.model, self.grads, np.arange(FILTERS)
+        embed, filters = model.embed, model.filters
+        n = max(1, len(h))
+        h = np.concatenate([h, np.full((PAD + 1, 4), BUCKETS, np.uint16)])
+        tops, best = [None] * len(filters), [None] * len(filters)
+        for at in range(0, n, BLOCK):
+            m = min(BLOCK, n - at)
+            vectors = embed[h[at : at + m + PAD]].sum(axis=1)
+            for j, w in enumerate(filters):
+                made = vectors[:m] @ w[0]
+                for k in range(1, len(w)):
+                    made += vectors[k : m + k] @ w[k]
+                t = made.argmax(axis=0)
+                value = made[t, columns]
+                if at:
+                    more = value > best[j]
+                    tops[j], best[j] = np.where(more, at + t, tops[j]), np.where(more, value, best[j])
+                else:
+                    tops[j], best[j] = t, value
+        met = [[embed[h[tops[j] + k]].sum(axis=1) for k in range(len(w))] for j, w in enumerate(filters)]
+        flat_ = np.concatenate(best)
+        live = np.maximum(flat_, 0)
+        p = 1 / (1 + np.exp(-np.clip(live @ model.out + model.bias, -30, 30)))
+        e = np.float32(p - y)
+        back = e * model.out * (flat_ > 0)
+        g = e * live + DECAY * model.out
+        grads[-1] += g * g
+        model.out -= RATE * g / np.sqrt(grads[-1])
+        self.g_bias += e * e
+        model.bias -= float(RATE * e / np.sqrt(self.g_bias))
+        for j, w in enumerate(filters):
+            own = back[j * FILTERS : (j + 1) * FILTERS]
+            on = np.flatnonzero(own)
+            if not len(on):
+                continue
+            for k in range(len(w)):
+                rows_ = h[tops[j][on] + k]
+                gw = np.zeros_like(w[k])
+                gw[:, on] = met[j][k][on].T * own[on]
+                gw += DECAY * w[k]
+                ge = w[k][:, on].T * own[on][:, None]
+                grads[1 + j][k] += gw * gw
+                w[k] -= RATE * gw / np.sqrt(grads[1 + j][k])
+                for part in range(4):
+                    np.add.at(grads[0], rows_[:, part], ge * ge)
+                    np.add.at(embed, rows_[:, part], -RATE * ge / np.sqrt(grads[0][rows_[:, part]]))
+        embed[BUCKETS] = 0
+
+
+def begin(rows: list[tuple[np.ndarray, int, str]], seed: int = 11) -> tuple[Trainer, list[tuple[np.ndarray, int, str]], bool]:
+    """A trained model, the rows left for its thresholds, every fifth of each label, and whether it had both labels."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.15, (BUCKETS + 1, DIM)).astype(np.float32)
     embed[BUCKETS] = 0
@@ -128,57 +208,23 @@ def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 11) -> Model:
     for row in rows:
         seen[row[1]] += 1
         (held if seen[row[1]] % 5 == 0 else fit).append(row)
+    trainer = Trainer(model)
     if not min(sum(y for _, y, _ in fit), sum(1 - y for _, y, _ in fit)):
         share = sum(y for _, y, _ in rows) / len(rows) if rows else 0.0
         model.out[:], model.bias = 0, 1.0 if share > 0.5 else -1.0
-        return model
-    grads = [np.full_like(embed, 1e-2), *[np.full_like(w, 1e-2) for w in filters], np.full_like(model.out, 1e-2)]
-    g_bias = 1e-2
-    pad = np.full((PAD + 1, 4), BUCKETS, np.uint16)
-    columns = np.arange(FILTERS)
+        return trainer, held, False
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
-            h, y, _ = fit[i]
-            n = max(1, len(h))
-            h = np.concatenate([h, pad])
-            vectors = embed[h].sum(axis=1)
-            tops, best = [], []
-            for w in filters:
-                made = vectors[:n] @ w[0]
-                for k in range(1, len(w)):
-                    made += vectors[k : n + k] @ w[k]
-                t = made.argmax(axis=0)
-                tops.append(t)
-                best.append(made[t, columns])
-            flat = np.concatenate(best)
-            live = np.maximum(flat, 0)
-            p = 1 / (1 + np.exp(-np.clip(live @ model.out + model.bias, -30, 30)))
-            e = np.float32(p - y)
-            back = e * model.out * (flat > 0)
-            g = e * live + DECAY * model.out
-            grads[-1] += g * g
-            model.out -= RATE * g / np.sqrt(grads[-1])
-            g_bias += e * e
-            model.bias -= float(RATE * e / np.sqrt(g_bias))
-            for j, w in enumerate(filters):
-                own = back[j * FILTERS : (j + 1) * FILTERS]
-                on = np.flatnonzero(own)
-                if not len(on):
-                    continue
-                for k in range(len(w)):
-                    rows_ = h[tops[j][on] + k]
-                    gw = np.zeros_like(w[k])
-                    gw[:, on] = vectors[tops[j][on] + k].T * own[on]
-                    gw += DECAY * w[k]
-                    ge = w[k][:, on].T * own[on][:, None]
-                    grads[1 + j][k] += gw * gw
-                    w[k] -= RATE * gw / np.sqrt(grads[1 + j][k])
-                    for part in range(4):
-                        np.add.at(grads[0], rows_[:, part], ge * ge)
-                        np.add.at(embed, rows_[:, part], -RATE * ge / np.sqrt(grads[0][rows_[:, part]]))
-            embed[BUCKETS] = 0
-    calibrate(model, [(logit_of(model, h), y, language) for h, y, language in held])
-    return model
+            trainer.step(*fit[i][:2])
+    return trainer, held, True
+
+
+def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 11) -> Model:
+    """rows: embedding rows of each word, label, language; every fifth of each label is left for the thresholds."""
+    trainer, held, both = begin(rows, seed)
+    if both:
+        calibrate(trainer.model, [(logit_of(trainer.model, h), y, language) for h, y, language in held])
+    return trainer.model
 
 
 def logit_of(model: Model, h: np.ndarray) -> float:
@@ -189,29 +235,32 @@ def logit_of(model: Model, h: np.ndarray) -> float:
     return float(np.maximum(np.concatenate(best), 0) @ model.out) + model.bias
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+def best_threshold(logits: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
     """The cut with the largest share of label 1 above it less ALARM times the share of label 0: of several equally good
-    ones the middle one, halfway between two values."""
+    ones the middle one, halfway between two different values. counts: how many rows each one stands for."""
     if not len(labels) or labels.min() == labels.max():
         return 0.0
     order = np.argsort(logits)
     z, y = logits[order], labels[order]
-    below_1 = np.concatenate([[0], np.cumsum(y)])
-    below_0 = np.concatenate([[0], np.cumsum(1 - y)])
-    value = (y.sum() - below_1) / y.sum() + ALARM * below_0 / (1 - y).sum()
+    ones, zeros = (of if counts is None else of * counts[order] for of in (y, 1 - y))
+    below_1 = np.concatenate([[0], np.cumsum(ones)])
+    below_0 = np.concatenate([[0], np.cumsum(zeros)])
+    value = (ones.sum() - below_1) / ones.sum() + ALARM * below_0 / zeros.sum()
+    value[1:-1][z[1:] == z[:-1]] = -np.inf
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     good = np.flatnonzero(value >= value.max() - 1e-12)
     return float(cuts[good[len(good) // 2]])
 
 
-def calibrate(model: Model, rows: list[tuple[float, int, str]]) -> None:
+def calibrate(model: Model, rows: list[tuple[float, int, str]], counts: list[int] | None = None) -> None:
     z, y, tags = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    model.thresholds[""] = common = best_threshold(z, y) if len(rows) else 0.0
+    each = np.ones(len(rows), np.int64) if counts is None else np.array(counts, np.int64)
+    model.thresholds[""] = common = best_threshold(z, y, each) if len(rows) else 0.0
     for tag in sorted(set(tags)):
         own = tags == tag
-        n = min(int(y[own].sum()), int((1 - y[own]).sum()))
+        n = min(int((y * each)[own].sum()), int(((1 - y) * each)[own].sum()))
         if n:
-            model.thresholds[str(tag)] = (n * best_threshold(z[own], y[own]) + SHRINK * common) / (n + SHRINK)
+            model.thresholds[str(tag)] = (n * best_threshold(z[own], y[own], each[own]) + SHRINK * common) / (n + SHRINK)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -223,11 +272,11 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features, language = Features(), Language()
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([language(t or b"") for t in texts]), pa.array([b"".join(map(features.__getitem__, words_in(t))) for t in texts], pa.binary())], ["label", "language", "h"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([language(t or b"") for t in texts]), pa.array([b"".join(map(features.__getitem__, words_in(t))) for t in texts], pa.binary()), batch.column(2)], ["label", "language", "h", "left_out"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(label, text) of the rows to learn from, none of them held out: at most most_rows and most_bytes of UTF-8.
+    """(label, text) of the rows to begin with, none of them held out: at most most_rows and most_bytes of UTF-8.
 
     Both bounds hold after the join with docs, half of each for either label: of rows that share a doc_id each counts
     for itself, but equal texts of one doc_id count once. No text has more than 1 / SHARES of a label's bytes; a label
@@ -256,15 +305,129 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_
     return found.join(F.broadcast(chosen), ["doc_id", "key", "label"], "left_semi").select("label", "text")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc_id, key, label, text) of all rows to learn from; rows of one doc_id and key, a hash of the text, are equal.
+
+    parts: into how many partitions they are dealt by doc_id. Texts are shuffled once, at every size.
+    """
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    text = docs.filter("text is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    marks = marks.filter(~held_out(F.col("doc_id")))
+    if parts:
+        text, marks = text.repartition(parts, "doc_id"), marks.repartition(parts, "doc_id")
+    return text.join(marks.hint("merge"), "doc_id").select("doc_id", "key", "label", "text")
+
+
+def for_thresholds(text: Column) -> Column:
+    """A fifth of all texts, by their hashes: where not all rows are gathered these set the thresholds; copies stay together."""
+    return F.pmod(F.xxhash64(text, F.lit(7)), F.lit(5)) == 0
+
+
+def learn_rows(start):
+    """(shard, piece, change, label, text) from (shard, doc_id, key, label, left_out, text) sorted by shard: what a
+    shard's rows change in the numbers of start, in pieces, and the rows that are left out, as they are."""
+    names, kinds = ["shard", "piece", "change", "label", "text"], [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.large_binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].cast(pa.string())], names)
+
+    def changes(shard: int, own: Trainer) -> Iterator[pa.RecordBatch]:
+        made = flat(own.model) - flat(start.value.model)
+        for i, at in enumerate(range(0, len(made), PIECE)):
+            yield batch_of([(shard, i, made[at : at + PIECE].tobytes(), None, None)])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, own, group, before = Features(), None, None, None
+        for batch in batches:
+            heads, apart = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True), []
+            for (shard, doc_id, key, label, left_out), value in zip(heads, batch.column(5).cast(pa.large_binary()), strict=True):
+                if shard != group:
+                    if own:
+                        yield from changes(group, own)
+                    group, own = shard, copy.deepcopy(start.value)
+                if (doc_id, key) == before:
+                    continue
+                before, text = (doc_id, key), value.as_py()
+                if left_out:
+                    apart.append((shard, None, None, label, text))
+                else:
+                    own.step(unpacked(b"".join(map(features.__getitem__, words_in(text)))), label)
+            if apart:
+                yield batch_of(apart)
+        if own:
+            yield from changes(group, own)
+
+    return kernel
+
+
+def summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, mean) from (piece, change) sorted by piece: the changes of each row of numbers, averaged over those that aren't 0."""
+    group, total, count = None, None, None
+
+    def batch_of() -> pa.RecordBatch:
+        mean = (total / np.maximum(count, 1)[:, None]).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["piece", "mean"])
+
+    for batch in batches:
+        for piece, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            change = np.frombuffer(value.as_buffer(), np.float32).reshape(-1, DIM)
+            if piece != group:
+                if group is not None:
+                    yield batch_of()
+                group, total, count = piece, np.zeros(change.shape), np.zeros(len(change), np.int64)
+            total += change
+            count += change.any(axis=1)
+    if group is not None:
+        yield batch_of()
+
+
+def logit_rows(shared):
+    """(language, label, z) from (label, text): logits in steps of 1 / FINE."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, language = Scorer(shared.value), Language()
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1).cast(pa.large_binary())]
+            z = [round(scorer.logit(t) * FINE) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([language(t) for t in texts], pa.string()), batch.column(0), pa.array(z, pa.int64())], ["language", "label", "z"])
+
+    return kernel
+
+
+def learn_all(rows: DataFrame, start: Trainer) -> Model:
+    """start, after one pass over all rows of labelled(), each partition a shard, and with thresholds of all those left out."""
+    spark = rows.sparkSession
+    dealt = rows.select(F.spark_partition_id().alias("shard"), "doc_id", "key", "label", for_thresholds(F.col("text")).alias("left_out"), "text", F.xxhash64("doc_id", "key", F.lit(3)).alias("order"))
+    dealt = dealt.sortWithinPartitions("shard", "order", "doc_id", "key").drop("order")
+    learnt = dealt.mapInArrow(learn_rows(spark.sparkContext.broadcast(start)), "shard int, piece int, change binary, label int, text string")
+    learnt = materialize(learnt, "learnt")
+    pieces = learnt.filter("piece is not null").repartition("piece").sortWithinPartitions("piece", "shard").select("piece", "change")
+    mean = {r["piece"]: r["mean"] for r in pieces.mapInArrow(summed_rows, "piece int, mean binary").collect()}
+    model = unflat(flat(start.model) + np.frombuffer(b"".join(mean[i] for i in sorted(mean)), np.float32).reshape(-1, DIM))
+    logits = learnt.filter("piece is null").select("label", "text").mapInArrow(logit_rows(spark.sparkContext.broadcast(model)), "language string, label int, z bigint")
+    # As many rows as there are steps between logits, of each language and label, whatever the table's size.
+    found = logits.groupBy("language", "label", "z").count().collect()
+    calibrate(model, [(r["z"] / FINE, r["label"], r["language"]) for r in found], [r["count"] for r in found])
+    discard(learnt)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
-    """Trains on sample(docs, labels, most_rows, most_bytes).
+    """Trains on all labelled rows: on sample(docs, labels, most_rows, most_bytes), then, if there are more, on all of them.
 
     A doc_id with several labels counts as toxic if one of them is; rows without a label or a text are not used.
     """
-    hashed_rows = sample(docs, labels, most_rows, most_bytes).mapInArrow(_hash_rows, "label int, language string, h binary")
+    first = sample(docs, labels, most_rows, most_bytes).withColumn("left_out", for_thresholds(F.col("text")))
+    hashed_rows = first.select("label", "text", "left_out").mapInArrow(_hash_rows, "label int, language string, h binary, left_out boolean")
     # Sorted by content, so that training doesn't depend on the order in which partitions arrive.
-    found = sorted((r["h"], r["label"], r["language"]) for r in hashed_rows.toLocalIterator())
-    return train([(unpacked(h), label, language) for h, label, language in found])
+    found = sorted((r["h"], r["label"], r["language"], r["left_out"]) for r in hashed_rows.toLocalIterator())
+    n = labelled(docs, labels).select("doc_id", "key").distinct().count()
+    if n > len(found):
+        start, _, both = begin([(unpacked(h), label, language) for h, label, language, left_out in found if not left_out])
+        if both:
+            return learn_all(labelled(docs, labels, -(-n // SHARD)), start)
+    return train([(unpacked(h), label, language) for h, label, language, _ in found])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -186,6 +186,59 @@ def test_toxicity_learns_words_and_beginnings(spark, empty):
     assert toxicity.classify(empty, d.select("doc_id", "toxic")).count() == 0
 
 
+def test_toxicity_learns_from_rows_beyond_the_first(spark, monkeypatch):
+    """Toxic rows that aren't among those of the beginning have a word of their own; the shards don't depend on partitions."""
+    monkeypatch.setattr(toxicity, "SHARD", 700)
+    rng = random.Random(8)
+    clean = [f"w{rng.randint(0, 300)}" for _ in range(3000)]
+    texts = [[rng.choice(clean) for _ in range(30)] for _ in range(2400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(len(texts))], "doc_id int, toxic int")
+
+    def table() -> list[tuple]:
+        return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    first = {r["text"] for r in toxicity.sample(spark.createDataFrame(table(), "doc_id int, text string"), labels, 200).collect()}
+    later = [i for i, text in table() if i % 3 == 0 and text not in first]
+    for i in range(0, len(texts), 3):
+        texts[i][rng.randint(0, 29)] = "blarney" if i in later else "grumble"
+    docs = spark.createDataFrame(table(), "doc_id int, text string")
+    assert sum("grumble" in r["text"] for r in toxicity.sample(docs, labels, 200).collect()) == 100
+    model = toxicity.fit(docs, labels, 200)
+    right = Counter()
+    for r in toxicity.score(docs, model).collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0:
+            right[r["doc_id"] % 3 == 0, (r["score"] >= 0.5) == (r["doc_id"] % 3 == 0)] += 1
+    for toxic in (True, False):
+        assert right[toxic, True] / (right[toxic, True] + right[toxic, False]) > 0.95
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), 200)
+    assert np.array_equal(toxicity.flat(again), toxicity.flat(model)) and again.thresholds == model.thresholds
+
+
+def test_toxicity_thresholds_of_counts_are_those_of_rows():
+    rng = np.random.default_rng(4)
+    z, y = rng.integers(-9, 9, 300) / 4.0, rng.integers(0, 2, 300)
+    z += y
+    pairs, counts = np.unique(np.stack([z, y]), axis=1, return_counts=True)
+
+    def worth(cut: float) -> float:
+        return (z[y == 1] > cut).mean() - toxicity.ALARM * (z[y == 0] > cut).mean()
+
+    best = max(worth(c) for c in np.append(np.unique(z) + 0.01, z.min() - 1))
+    assert worth(toxicity.best_threshold(pairs[0], pairs[1], counts)) == pytest.approx(best)
+
+
+def test_toxicity_steps_read_long_texts_in_blocks(monkeypatch):
+    h = toxicity.unpacked(b"".join(map(toxicity.rows_of, (b"word%d" % (i * i % 61) for i in range(300)))))
+    made = []
+    for block in (1 << 15, 7):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        trainer, _, _ = toxicity.begin([(h[i : i + 9], i % 2, "en") for i in range(20)])
+        trainer.step(h, 1)
+        made.append(toxicity.flat(trainer.model))
+    assert made[1] == pytest.approx(made[0], abs=1e-4)
+    assert np.array_equal(toxicity.flat(toxicity.unflat(made[0])), made[0])
+
+
 def test_toxicity_scores_whole_texts_in_blocks(monkeypatch):
     model = toxicity.train([(toxicity.unpacked(b"".join(map(toxicity.rows_of, w.encode().split()))), y, "en") for w, y in [("a b c", 0), ("d bad", 1), ("e f", 0), ("bad g", 1), ("h i", 0), ("bad", 1)] * 5])
     text = ("alpha beta gamma " * 50 + "bad").encode()
