@@ -4,7 +4,7 @@ A word is the sum of hashed rows of an embedding table, its own and those of its
 are told by kin; filters of several widths slide over the whole text, the largest
 response of each filter, rectified, goes to a logistic unit. The model is trained by stochastic gradients on all
 labelled rows. It begins with several passes over MOST_ROWS rows and MOST_BYTES of text at most, evenly of both labels,
-on the driver. If there are more, all of them are dealt, by hashes, to shards of about SHARD rows, each of which goes on
+on the driver. If there are more, all of them are dealt, by hashes, to shards of about SHARD rows at most, each of which goes on
 from that beginning with one pass over its rows in a task; what the shards changed is averaged, a row of numbers over
 the shards that changed it. About every fifth row is left out of training, and all of these set the thresholds: one for
 each language that function words tell, drawn towards the common one by SHRINK, so that the fewer rows a language has
